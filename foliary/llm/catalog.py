@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import exact_dedup
+from foliary.llm import bitpack, exact_dedup, packing, token_count
 from foliary.llm.scratch import tune
 
 
@@ -17,7 +17,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.token_ids(_docs(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(_docs(spark, sf_dir))
+
+
 QUERIES = {
+    "op4_token_ids": op4_token_ids,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
