@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import bitpack, exact_dedup, packing, token_count
+from foliary.llm import bitpack, exact_dedup, langid, packing, quality_gam, token_count
 from foliary.llm.scratch import tune
 
 
@@ -17,10 +17,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_ids(_docs(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_docs(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
@@ -30,7 +38,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op4_token_ids": op4_token_ids,
+    "op5_language_id": op5_language_id,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op7_exact_dedup": op7_exact_dedup,

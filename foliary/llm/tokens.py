@@ -18,9 +18,10 @@ import pyarrow as pa
 import regex
 
 #: Chunks that a task remembers (about 200 bytes each); at the bound it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 LONGEST = 64
 CUT = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ".,;:!?|"
 #: How byte-level vocabularies split a text into the pieces that are merged.
 PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Only chunks of these letters and ASCII are split here, as Unicode versions may differ on others.
@@ -55,14 +56,15 @@ class Chunks(dict):
         self.model, self.chars = self.tokenizer.model, _char_of_byte()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.space = self.chars[32]
         self.pieces: dict[str, bytes] = {}
+        self.marks = {m: self.plain(m) for m in MARKS}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def merged(self, piece: str) -> bytes:
-        """Merged by the library, which needs no splitting for it."""
-        written = piece if piece.isascii() and piece.isalnum() else "".join(map(self.chars.__getitem__, piece.encode()))
+    def merged(self, written: str) -> bytes:
+        """The library's ids of one piece, which needs no splitting."""
         return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
@@ -70,22 +72,32 @@ class Chunks(dict):
             return self[piece[1:]]
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.merged(piece)
+            ids = self.merged("".join(map(self.chars.__getitem__, piece.encode())))
             if len(piece) <= LONGEST:
-                if len(self.pieces) >= REMEMBERED:
+                if len(self.pieces) >= REMEMBERED // 10:
                     self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        if chunk.isalpha():
+            if chunk.isascii():
+                ids = self.merged(self.space + chunk)
+            elif COMMON.fullmatch(chunk):
+                ids = self.merged(self.space + "".join(map(self.chars.__getitem__, chunk.encode())))
+            else:
+                ids = self.plain(f" {chunk}")
+        elif chunk[:-1].isalpha() and chunk[-1] in self.marks:
+            seen = chunk[:-1] in self
+            ids = self[chunk[:-1]] + self.marks[chunk[-1]]
+            if not seen:  # a new word is remembered once
+                return ids
+        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Odd
-        if not COMMON.fullmatch(chunk):
-            ids = self.plain(f" {chunk}")
-        elif chunk.isalpha():
-            ids = self.merged(f" {chunk}")
+        elif COMMON.fullmatch(chunk):
+            return b"".join(map(self.piece, PIECE.findall(f" {chunk}")))
         else:
-            ids = b"".join(map(self.piece, PIECE.findall(f" {chunk}")))
+            ids = self.plain(f" {chunk}")
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
