@@ -1,24 +1,69 @@
-"""A training-corpus pipeline over `documents`."""
+"""A training-corpus pipeline over `documents`.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next one's docs. All but the
+last keep the columns of documents. Sources below the largest are repeated up to
+`MOST_REPEATS` times by the mixture, so a doc_id can stand in more than one row after it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import exact_dedup
-from foliary.llm.scratch import tune
+from foliary.llm import exact_dedup, jaccard_rtree, langid, mixing, packing
+from foliary.llm.scratch import Scratch, tune
+
+MOST_REPEATS = 1.25
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that can be told go."""
+    tune(spark)
+    return langid.keep_known(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest original stays."""
     tune(spark)
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    tune(spark)
+    return jaccard_rtree.drop_near_copies(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources up to the repetition limit."""
+    tune(spark)
+    return mixing.mix(docs, max_repeats=MOST_REPEATS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences of 1024 tokens."""
+    tune(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard", near_copies),
+    ("mixing", mixed_sources),
+    ("packing", packed),
+]
+#: Language ID and packing can't be said in SQL; tests compare the pipeline with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs, name)
+            if k:
+                scratch.drop(STAGES[k - 1][0])
     return docs

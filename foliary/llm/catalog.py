@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import bitpack, exact_dedup, langid, packing, quality_gam, token_count
+from foliary.llm import bitpack, exact_dedup, flac, jaccard_rtree, langid, license_join, mixing, packing, quality_gam, token_count
 from foliary.llm.scratch import tune
 
 
@@ -13,6 +13,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_features(_docs(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
@@ -21,6 +25,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan_licenses(_docs(spark, sf_dir))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_docs(spark, sf_dir))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_ids(_docs(spark, sf_dir))
 
@@ -37,15 +49,26 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_docs(spark, sf_dir))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.jaccard_components(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_license_scan": op2_license_scan,
+    "op3_mixing": op3_mixing,
     "op4_token_ids": op4_token_ids,
     "op5_language_id": op5_language_id,
+    "op6_media": op6_media,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
-    "op7_exact_dedup": op7_exact_dedup,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL = {
+    "op2_license_scan": license_join.oracle_sql(),
+    "op3_mixing": mixing.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_jaccard": jaccard_rtree.ORACLE_SQL,
 }
