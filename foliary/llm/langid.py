@@ -22,6 +22,7 @@ other columns are never inputs of a prediction.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,20 +30,21 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import tokens
 from foliary.llm.scratch import Scratch
 
-WORD = regex.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 LONGEST_WORD = 48
 #: Characters in the longest piece that is used.
-LONGEST_PIECE = 8
-#: Words whose scores a task remembers; at the bound it starts anew.
-REMEMBERED = 200_000
+LONGEST_PIECE = 5
+#: About the inverse of a character's probability.
+SCALE = 16.0
+#: Words whose scores a task remembers (about 150 bytes each); at the bound it starts anew.
+REMEMBERED = 800_000
 MAX_LANGUAGES = 500
 #: Added to every piece's expected count.
 PRIOR_COUNT = 0.01
@@ -75,70 +77,76 @@ def words_of(text: str | None) -> list[str]:
 
 
 def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, place and piece length, the id of the piece that ends there, or -1."""
+    """For each word, place and piece length, the id of the piece that ends there; the last id
+    but one stands for any other character, the last for no piece."""
     vocab = vocabulary(path)
-    other, most = len(vocab), max(map(len, words)) + 1
+    other, none = len(vocab), len(vocab) + 1
+    most = max(map(len, words)) + 1
     get = vocab.get
-    ids = np.full((len(words), most, LONGEST_PIECE), -1, dtype=np.int32)
+    ids = np.full((len(words), most, LONGEST_PIECE), none, dtype=np.int32)
     size = np.zeros(len(words), dtype=np.int64)
     for k, word in enumerate(words):
         marked = MARK + word
-        n = len(marked)
-        size[k] = n
-        ids[k, :n] = [[get(marked[j - m : j], -1) if m <= j else -1 for m in range(1, LONGEST_PIECE + 1)] for j in range(1, n + 1)]
-        ids[k, :n, 0][ids[k, :n, 0] < 0] = other
+        n = size[k] = len(marked)
+        row = [get(marked[max(j - m, 0) : j], none) for j in range(1, n + 1) for m in range(1, LONGEST_PIECE + 1)]
+        ids[k, :n] = np.array(row, dtype=np.int32).reshape(n, LONGEST_PIECE)
+    single = ids[:, :, 0]
+    single[(single == none) & (np.arange(most) < size[:, None])] = other
+    for m in range(2, LONGEST_PIECE + 1):  # longer than what stands before
+        ids[:, : m - 1, m - 1] = none
     return ids, size
 
 
-def forward(ids: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-    """Log of the summed probability of all segmentations of each prefix: words x places x languages."""
+def scaled(log_p: np.ndarray) -> np.ndarray:
+    """Probabilities times SCALE for each place they cover, so that long words don't vanish; and
+    zero for no piece. A piece's length is applied in the recurrence."""
+    return np.vstack([np.exp(log_p), np.zeros((1, log_p.shape[1]))])
+
+
+def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Summed probability of all segmentations of each prefix, times SCALE to the number of its
+    characters: words x places x languages."""
     n, most, longest = ids.shape
-    table = np.vstack([log_p, np.full((1, log_p.shape[1]), -np.inf)])  # -1 is no piece
-    alpha = np.full((n, most + 1, log_p.shape[1]), -np.inf)
-    alpha[:, 0] = 0
+    alpha = np.zeros((n, most + 1, p.shape[1]))
+    alpha[:, 0] = 1
     for j in range(1, most + 1):
-        reach = min(j, longest)
-        terms = np.stack([alpha[:, j - m] + table[ids[:, j - 1, m - 1]] for m in range(1, reach + 1)])
-        top = terms.max(axis=0)
-        safe = np.where(np.isfinite(top), top, 0)
-        with np.errstate(divide="ignore"):
-            alpha[:, j] = np.log(np.exp(terms - safe).sum(axis=0)) + safe
+        for m in range(1, min(j, longest) + 1):
+            alpha[:, j] += alpha[:, j - m] * (p[ids[:, j - 1, m - 1]] * SCALE**m)
     return alpha
 
 
 def word_scores(words: list[str], log_p: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word in each language."""
-    out = np.zeros((len(words), log_p.shape[1]))
+    out, p = np.zeros((len(words), log_p.shape[1])), scaled(log_p)
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     for at in range(0, len(order), 2000):
         part = order[at : at + 2000]
         ids, size = lattice([words[k] for k in part], path)
-        out[part] = forward(ids, log_p)[np.arange(len(part)), size]
+        out[part] = np.log(forward(ids, p)[np.arange(len(part)), size]) - size[:, None] * np.log(SCALE)
     return out
 
 
 def expected_counts(words: list[str], times: np.ndarray, log_p: np.ndarray, path: str) -> np.ndarray:
     """Of one language: each piece's expected number over all segmentations of all words."""
-    out = np.zeros(len(log_p))
-    table = np.append(log_p, -np.inf)
-    for at in range(0, len(words), 2000):
-        ids, size = lattice(words[at : at + 2000], path)
-        weight = times[at : at + 2000]
-        alpha = forward(ids, log_p[:, None])[:, :, 0]
+    p = scaled(log_p[:, None])
+    out = np.zeros(len(p))
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    for at in range(0, len(order), 2000):
+        part = order[at : at + 2000]
+        ids, size = lattice([words[k] for k in part], path)
+        alpha = forward(ids, p)[:, :, 0]
         n, most, longest = ids.shape
         rows = np.arange(n)
-        beta = np.full((n, most + 1), -np.inf)
-        beta[rows, size] = 0
-        total = alpha[rows, size]
+        beta = np.zeros((n, most + 1))
+        beta[rows, size] = 1
+        weight = times[part] / alpha[rows, size]
         for j in range(most, 0, -1):
             for m in range(1, min(j, longest) + 1):
                 piece = ids[:, j - 1, m - 1]
-                through = table[piece] + beta[:, j]
-                use = np.isfinite(through)
-                beta[use, j - m] = np.logaddexp(beta[use, j - m], through[use])
-                share = np.exp(alpha[use, j - m] + through[use] - total[use]) * weight[use]
-                np.add.at(out, piece[use], share)
-    return out
+                through = p[piece, 0] * SCALE**m * beta[:, j]
+                beta[:, j - m] += through
+                out += np.bincount(piece, alpha[:, j - m] * through * weight, len(out))
+    return out[:-1]
 
 
 def labelled(docs: DataFrame, learn: Column, max_docs: int) -> DataFrame:
@@ -154,7 +162,7 @@ def labelled(docs: DataFrame, learn: Column, max_docs: int) -> DataFrame:
     return rows.where(chance < share[F.col("lang")]).select("lang", "text")
 
 
-def train(docs: DataFrame, learn: Column, path: str | None = None, max_docs: int = 3000, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(docs: DataFrame, learn: Column, path: str | None = None, max_docs: int = 1500, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log piece probabilities: pieces x languages, log priors)."""
     path, scratch = path or default_path(), Scratch(docs.sparkSession, "langid")
     pieces = len(vocabulary(path)) + 1
@@ -203,22 +211,25 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p, prior = shared.value
-        known: dict[str, np.ndarray] = {}
+        place: dict[str, int] = {}
+        known = np.zeros((0, len(langs)), dtype=np.float32)
         for batch in batches:
             texts = [Counter(words_of(t)) for t in tokens.columns(batch, "text")[0]]
-            fresh = list({w for c in texts for w in c if w not in known})
-            if len(known) + len(fresh) > REMEMBERED:
-                known = {}
-                fresh = list({w for c in texts for w in c})
+            fresh = list(set().union(*texts) - place.keys())
+            if len(place) + len(fresh) > REMEMBERED:
+                place, known = {}, known[:0]
+                fresh = list(set().union(*texts))
             if fresh and langs:
-                known.update(zip(fresh, word_scores(fresh, log_p, path), strict=True))
+                place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
+                known = np.concatenate([known, word_scores(fresh, log_p, path).astype(np.float32)])
             names, scores = [], []
             for c in texts:
                 if not c or not langs:
                     names.append("und")
                     scores.append(0.0)
                     continue
-                sums = prior + np.array(list(c.values()), dtype=float) @ np.array([known[w] for w in c])
+                at = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
+                sums = prior + np.fromiter(c.values(), np.float64, len(c)) @ known[at].astype(np.float64)
                 best = int(sums.argmax())
                 names.append(langs[best])
                 scores.append(float(1 / np.exp(sums - sums[best]).sum()))
