@@ -31,6 +31,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,7 +47,9 @@ REMEMBERED = 500_000
 #: Rows of a key that one cell holds from each of two buckets.
 CELL = 4096
 LEAF = 32
-#: doc_ids that may be broadcast (8 bytes each); beyond it the join shuffles.
+#: Bits of a key: a chance match only costs a comparison, and short keys shuffle cheaper.
+KEY_BITS = 44
+#: Rows of a few numbers that may be broadcast (at most 40 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 U = np.uint64
 
@@ -128,28 +131,54 @@ class Limits:
             out.append(np.sort(own)[: self.differ(n) + 1])
         if single:
             out.append(np.sort(mix(s, 3))[: self.missing(n) + 1])
-        return np.unique(np.concatenate(out))
+        return np.unique(np.concatenate(out) & U((1 << KEY_BITS) - 1))
 
 
-def sets(docs: DataFrame, k: int, limits: Limits, with_sets: bool) -> DataFrame:
-    """doc_id, n, hi, lo (the set's hash), and either keys and the point, or the set."""
-    names = ["doc_id", "n", "hi", "lo", *(["shingles"] if with_sets else ["keys", "point"])]
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    return tuple(int(mix(s, seed).sum(dtype=np.uint64).view(np.int64)) for seed in (5, 6))
+
+
+def longs(xs: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
+
+
+def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
+    """row (a number of its own), doc_id, n, hi, lo (the set's hash), keys, point of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
+        words, row = Words(), TaskContext.get().partitionId() << 36
         for batch in batches:
             own = [shingles(t, k, words) for t in tokens.columns(batch, "text")[0]]
-            hashes = [pa.array(np.array([mix(s, seed).sum(dtype=np.uint64) for s in own], dtype=np.uint64).view(np.int64)) for seed in (5, 6)]
-            if with_sets:
-                rest = [longs(own)]
-            else:
-                points = [np.bincount((mix(s, 4) % U(GROUPS)).astype(np.int64), minlength=GROUPS) for s in own]
-                rest = [longs([limits.keys(s) for s in own]), pa.array([p.astype(np.int32) for p in points], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, own)), pa.int64()), *hashes, *rest], names=names)
+            hi, lo = np.array([set_hash(s) for s in own], dtype=np.int64).reshape(-1, 2).T
+            points = [np.bincount((mix(s, 4) % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32) for s in own]
+            columns = [pa.array(np.arange(row, row + len(own))), batch.column("doc_id"), pa.array(list(map(len, own)), pa.int64()), pa.array(hi), pa.array(lo)]
+            columns += [longs([limits.keys(s) for s in own]), pa.array(points, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "hi", "lo", "keys", "point"])
+            row += len(own)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(read, "row long, doc_id long, n long, hi long, lo long, keys array<long>, point array<int>")
+
 
-    rest = "shingles array<long>" if with_sets else "keys array<long>, point array<int>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, f"doc_id long, n long, hi long, lo long, {rest}")
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """class, shingles of the wanted classes (class, rep, hi, lo), from the text of each one's rep.
+    Rows that repeat a doc_id and the text give a set more than once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            texts, classes, hi, lo = tokens.columns(batch, "text", "class", "hi", "lo")
+            own = [shingles(t, k, words) for t in texts]
+            good = [j for j, s in enumerate(own) if set_hash(s) == (hi[j], lo[j])]
+            yield pa.RecordBatch.from_arrays([pa.array([classes[j] for j in good], pa.int64()), longs([own[j] for j in good])], names=["class", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").alias("d").join(bounded(wanted).alias("w"), F.expr("d.rep <=> w.rep"))
+    return rows.select("text", "class", "hi", "lo").mapInArrow(read, "class long, shingles array<long>")
 
 
 # --- the R-tree -----------------------------------------------------------------
@@ -264,70 +293,68 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 
 
 def verify(pairs: DataFrame, found: DataFrame, limits: Limits) -> DataFrame:
-    """Of pairs (a, b), those whose sets are linked."""
+    """Of pairs (a, b), a written table, those whose sets are linked. The pairs go to the sets of
+    b, if there are few enough, so that only those sets and the ones of a are shuffled."""
     left = found.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = found.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     linked = limits.den * shared >= limits.num * (F.size("x") + F.size("y") - shared)
-    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
-
-
-def classes_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per set: class (64 bits, unique), n, hi, lo, rep (smallest doc_id), keys, point."""
-    for seed in range(10):
-        own = rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("point").alias("point"))
-        own = scratch.save(own.withColumn("class", F.xxhash64("n", "hi", "lo", F.lit(seed))), f"classes-{seed}")
-        if own.groupBy("class").count().where("count > 1").isEmpty():
-            return own
-    raise RuntimeError("no seed tells the classes apart")
+    return right.join(bounded(pairs), "b").join(left, "a").where(linked).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     limits, scratch = Limits(num, den), Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.save(sets(docs, k, limits, with_sets=False), "rows")
-    classes = classes_of(rows, scratch)
+    whole = scratch.save(measured(docs, k, limits), "whole")
+    rows = scratch.save(whole.drop("keys"), "rows")
+    # A class is one set; its number is the first of its rows'.
+    classes = rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("row").alias("class"), F.min("doc_id").alias("rep"))
+    classes = scratch.save(classes, "classes")
+    copies = scratch.save(rows.where("n > 0").select("row").join(classes.select(F.col("class").alias("row")), "row", "left_anti"), "copies")
     # Keys that more than one class has; the first class by number leads the key.
     key = Window.partitionBy("key")
-    dealt = classes.select("class", F.explode("keys").alias("key"))
+    dealt = whole.select(F.col("row"), "keys").join(bounded(copies), "row", "left_anti").select(F.col("row").alias("class"), F.explode("keys").alias("key"))
     dealt = dealt.withColumn("lead", F.min("class").over(key)).withColumn("many", F.count("*").over(key)).where("many > 1")
     dealt = scratch.save(dealt, "dealt")
-    size = classes.select("class", "n", "rep", "point")
-    wanted = scratch.save(dealt.select("class").distinct().join(size, "class"), "wanted")
+    scratch.drop("whole", "copies")
+    shared = dealt.select("class").distinct()
+    wanted = scratch.save(rows.select(F.col("row").alias("class"), "n", "hi", "lo", "point").join(shared, "class").join(classes.select("class", "rep"), "class"), "wanted")
     stars = dealt.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
     stars = stars.join(wanted.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a")
     stars = stars.join(wanted.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
     bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    stars = stars.where((limits.den + limits.num) * bound >= limits.num * (F.col("na") + F.col("nb"))).select("a", "b")
-    stars = scratch.save(stars, "stars")
-    # The sets of classes that share a key, from their texts again.
-    ids = scratch.save(wanted.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.select(F.col("doc_id").cast("long"), "text").alias("d").join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id"), "left_semi")
-    found = sets(texts, k, limits, with_sets=True).join(classes.select("n", "hi", "lo", "class").join(wanted.select("class"), "class"), ["n", "hi", "lo"])
-    found = scratch.save(found.select("class", "shingles").dropDuplicates(["class"]), "sets")
+    stars = scratch.save(stars.where((limits.den + limits.num) * bound >= limits.num * (F.col("na") + F.col("nb"))).select("a", "b"), "stars")
+    found = scratch.save(sets_of(docs, scratch.save(members(stars, wanted), "first-wanted"), k), "first-sets")
     first = scratch.save(verify(stars, found, limits), "first")
+    scratch.drop("first-sets")
     comp = scratch.save(components(first, scratch, "a"), "comp")
     # Keys whose classes are still in more than one component.
     apart = dealt.select("class", "key", "many").join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     buckets = F.ceil(F.col("many") / CELL).cast("int")
-    own = F.pmod(F.col("class"), buckets).cast("int")
+    own = F.pmod(F.xxhash64("class"), buckets).cast("int")
     cells = F.transform(F.sequence(F.lit(0), buckets - 1), lambda other: F.least(own, other) * F.lit(1 << 20) + F.greatest(own, other))
     apart = apart.join(mixed, "key").withColumn("cell", F.explode(cells)).join(wanted.select("class", "n", "point"), "class")
     apart = apart.select("key", "cell", "class", "comp", "n", "point").repartition("key", "cell").sortWithinPartitions("key", "cell")
     pairs = search(apart, limits).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = scratch.save(verify(scratch.save(pairs, "pairs"), found, limits), "links")
-    if not links.isEmpty():
-        comp = scratch.save(components(first.union(links), scratch, "b"), "comp-b")
-    scratch.drop("dealt", "sets", "stars", "first", "pairs", "links", "ids", "wanted")
-    named = classes.select("n", "hi", "lo", "class", "rep").join(comp.withColumnRenamed("node", "class"), "class", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "class"))
+    pairs = scratch.save(pairs, "pairs")
+    if not pairs.isEmpty():
+        found = scratch.save(sets_of(docs, scratch.save(members(pairs, wanted), "more-wanted"), k), "more-sets")
+        links = scratch.save(verify(pairs, found, limits), "links")
+        if not links.isEmpty():
+            comp = scratch.save(components(first.union(links), scratch, "b"), "comp-b")
+    scratch.drop("dealt", "more-sets", "stars", "first", "pairs", "links", "wanted", "first-wanted", "more-wanted")
+    named = classes.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "comp").select("n", "hi", "lo", "component_id")
     return rows.select("doc_id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def members(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, rep, hi, lo of the classes in some pair."""
+    return wanted.select("class", "rep", "hi", "lo").join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class")
+
+
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs of which one document of each component stays, the one with the smallest doc_id."""
     scratch = Scratch(docs.sparkSession, "near")
