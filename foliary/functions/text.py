@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that say nothing about a topic.
 STOP_TOKENS = ["event", "note", "file", "folder", "meeting", "admin", "sd", "dd", "cd", "ca", "drawing", "drawings", "the", "and", "of", "for", "with", "to", "a", "an"]
@@ -114,7 +115,7 @@ def source_path_of_body(body: Column) -> Column:
     return F.trim(F.regexp_extract(F.coalesce(body, F.lit("")), r"(?m)^NAS:\s*`?([^`\n]+)`?", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_stem(names: pd.Series) -> pd.Series:
     """NFKD, ASCII, lower case, hyphens; 'image' if nothing is left. Spark has no normaliser."""
     plain = names.fillna("").map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
