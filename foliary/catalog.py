@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from foliary import model
 from foliary.bindings import view, with_views
 from foliary.functions import dates, paths, scoring, text, urls
-from foliary.operators import audit, clusters, duplicates, links, lookup, research, routing, rows, validate, votes
+from foliary.operators import audit, clusters, config, detect, duplicates, links, lookup, research, routing, rows, validate, votes
 from foliary.plans import scan
-from foliary.sources import archive
+from foliary.sources import archive, writers
 from foliary.streaming import deltas
 
 TODAY = datetime.date(2024, 8, 1)
@@ -487,6 +487,80 @@ def t1_sessions(spark, sf_dir):
     return deltas.sessions(table(spark, sf_dir, "events"))
 
 
+@query("a7_folder_sample", with_views("v_file") + "\nSELECT source AS folder, path, k FROM (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path) AS k FROM v_file) WHERE k <= 20")
+def a7_folder_sample(spark, sf_dir):
+    return detect.folder_sample(view(spark, sf_dir, "v_file").select(F.col("source").alias("folder"), "path"))
+
+
+PLACES = """SELECT source AS project, CASE doc_id % 5 WHEN 0 THEN '240101 visit/' || CAST(doc_id AS STRING) || '.jpg' WHEN 1 THEN 'SD/' || CAST(doc_id AS STRING) || '.pdf' WHEN 2 THEN 'SD/' || CAST(doc_id AS STRING) || '.jpg'
+  WHEN 3 THEN 'SD/' || CAST(doc_id AS STRING) || '.dwg' ELSE '_Attachments/' || CAST(doc_id AS STRING) || '.pdf' END AS path, doc_id % 5 AS k FROM {}"""
+
+
+@query("c17_detect_events", f"""WITH f AS ({PLACES.format("documents")}), d AS (SELECT DISTINCT project FROM f WHERE k = 0)
+SELECT f.project, path, CASE k WHEN 0 THEN '240101 visit' WHEN 1 THEN path WHEN 3 THEN path ELSE CASE WHEN d.project IS NOT NULL THEN '240101 visit' END END AS event,
+  CASE k WHEN 0 THEN 'folder' WHEN 1 THEN 'document' WHEN 3 THEN 'metadata-only' ELSE CASE WHEN d.project IS NOT NULL THEN 'linked-image' ELSE 'skip' END END AS kind FROM f LEFT JOIN d ON d.project = f.project WHERE k < 4""")
+def c17_detect_events(spark, sf_dir):
+    return detect.detect_events(spark.sql(PLACES.format("{documents}"), documents=table(spark, sf_dir, "documents")).drop("k"))
+
+
+@query("c15_compose_gate", """SELECT doc_id, n_chars > 0 AS compose, substr(text, 1, 4000) AS excerpt, CASE WHEN contains(lower(text), 'token') THEN 'stop word: token' ELSE '' END AS reasons FROM documents""")
+def c15_compose_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("images"), F.lit(None).cast("array<string>").alias("captions"), F.col("text").alias("body"))
+    return detect.compose_gate(docs, ["token"]).select("doc_id", "compose", "excerpt", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("w12_note_body", """SELECT n_nationkey, n_name || chr(10) || chr(10) || 'e1' || chr(10) || 'e2' || chr(10) || 'e3' || chr(10) || chr(10) || 'e4' AS body FROM nation""")
+def w12_note_body(spark, sf_dir):
+    notes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("note"), F.col("n_name").alias("prose"), F.array(*[F.lit(f"e{k}") for k in (1, 2, 3, 4)]).alias("embeds"))
+    return detect.note_body(notes).withColumnRenamed("note", "n_nationkey")
+
+
+@query("b9_write_acknowledgement", with_views("v_file") + "\nSELECT path, size AS bytes_written, sha256(text) AS sha256, ord % 2 = 0 AS ok FROM v_file")
+def b9_write_acknowledgement(spark, sf_dir):
+    good = F.sha2(F.col("text").cast("binary"), 256)
+    files = view(spark, sf_dir, "v_file").select("path", F.col("text").cast("binary").alias("content"), F.when(F.col("ord") % 2 == 0, good).otherwise("x").alias("expected"))
+    return writers.acknowledged(files)
+
+
+@query("b8_new_notes", with_views("v_index") + "\nSELECT note_path FROM v_index WHERE note_path NOT IN (SELECT note_path FROM v_index WHERE ord % 3 = 0)")
+def b8_new_notes(spark, sf_dir):
+    index = view(spark, sf_dir, "v_index").select("note_path", "ord")
+    return writers.new_notes(index.select("note_path"), index.where("ord % 3 = 0"))
+
+
+@query("e13_coverage", """WITH c AS (SELECT DISTINCT p_type AS category FROM part), h AS (SELECT p_type AS category, bool_or(p_size = 1) AS stub FROM part WHERE p_size < 10 GROUP BY 1)
+SELECT category, CASE WHEN stub IS NULL THEN 'missing' WHEN stub THEN 'stub' ELSE 'real' END AS state FROM c LEFT JOIN h USING (category)""")
+def e13_coverage(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_type").alias("category"), (F.col("p_size") == 1).alias("stub"), "p_size")
+    return detect.coverage(parts.where("p_size < 10"), parts.select("category").distinct())
+
+
+@query("k9_reconcile", with_views("v_file", "v_index") + """
+SELECT note_path, lang <> 'en' AS misrouted, ord % 2 = 0 AS unverified, source_path NOT IN (SELECT path FROM v_file) AS source_missing FROM (SELECT *, split_part(note_path, '/', 3) AS lang FROM v_index)""")
+def k9_reconcile(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_index").select("note_path", "source_path", F.get(F.split("note_path", "/"), F.lit(2)).alias("subfolder"), F.lit("en").alias("routed"), F.when(F.col("ord") % 2 == 0, "low").otherwise("high").alias("confidence"))
+    return config.reconcile(notes, view(spark, sf_dir, "v_file"))
+
+
+@query("c19_auto_applied", with_views("v_sample", "v_index") + BY_FP.format(part=1) + """,
+v AS (SELECT folder, project, count(*) AS n, min(ord) AS f FROM m WHERE note_path IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY folder ORDER BY count(*) DESC, min(ord)) = 1)
+SELECT folder, project AS old_name, n AS match_count, total_checked FROM v JOIN t USING (folder) WHERE n >= 5 AND n / total_checked::DOUBLE >= 0.8 AND project <> folder""")
+def c19_auto_applied(spark, sf_dir):
+    return detect.auto_applied(votes.renames(view(spark, sf_dir, "v_sample"), view(spark, sf_dir, "v_index"))).drop("confidence")
+
+
+@query("f26_calendar", with_views("v_index") + """
+SELECT note_path, '2024-01-02T00:00:00' AS start, '2024-01-02T23:59:59' AS "end", 'Note: ' || note_path || chr(10) || 'Source: ' || source_path AS description FROM v_index""")
+def f26_calendar(spark, sf_dir):
+    return detect.calendar(view(spark, sf_dir, "v_index").withColumn("event_date", F.lit("2024-01-02")))
+
+
+@query("f42_source_plan", """SELECT n_name AS topic, '"' || n_name || '" recent news' AS news, n_regionkey = 2 AS chinese, 'https://en.wikipedia.org/wiki/' || replace(n_name, ' ', '_') AS page FROM nation""")
+def f42_source_plan(spark, sf_dir):
+    plan = detect.source_plan(table(spark, sf_dir, "nation").select(F.col("n_name").alias("topic"), (F.col("n_regionkey") == 2).alias("chinese")))
+    return plan.select("topic", F.get("english", F.lit(3)).alias("news"), (F.size("chinese") == 5).alias("chinese"), F.get("urls", F.lit(0)).alias("page"))
+
+
 @query("a21_page_text")
 def a21_page_text(spark, sf_dir):
     return archive.page_fields(table(spark, sf_dir, "pages"))
