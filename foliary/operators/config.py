@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,11 @@ def merged_scalar(*tiers: Column) -> Column:
 
 def merged_map(*tiers: Column) -> Column:
     """[U8] Keys of all tiers; later ones win, whatever the session's map policy is."""
-    out = F.coalesce(tiers[0], F.create_map().cast("map<string,string>"))
-    for tier in tiers[1:]:
-        tier = F.coalesce(tier, F.create_map().cast("map<string,string>"))
-        out = F.map_concat(F.map_filter(out, lambda k, _, tier=tier: ~F.map_contains_key(tier, k)), tier)
-    return out
+
+    def over(base: Column, tier: Column) -> Column:
+        return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(tier, k)), tier)
+
+    return functools.reduce(over, [F.coalesce(t, F.create_map().cast("map<string,string>")) for t in tiers])
 
 
 def effective(domains: DataFrame, templates: DataFrame, project: DataFrame, legacy: bool = False) -> DataFrame:
