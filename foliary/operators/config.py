@@ -16,8 +16,8 @@ def merged_list(*tiers: Column) -> Column:
 
 
 def merged_list_legacy(*tiers: Column) -> Column:
-    """[U2] All entries of all tiers, in order."""
-    return F.concat(*[F.coalesce(t, F.array().cast("array<string>")) for t in tiers])
+    """[U2] The last tier's entries first, repeated ones too."""
+    return F.concat(*[F.coalesce(t, F.array().cast("array<string>")) for t in reversed(tiers)])
 
 
 def merged_scalar(*tiers: Column) -> Column:
