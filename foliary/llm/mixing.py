@@ -42,10 +42,13 @@ def source_of() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
+def tokens_of() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long")
+
+
 def measure(docs: DataFrame, seed: str) -> DataFrame:
     """doc_id, source, n_tokens, key."""
-    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long")
-    return docs.select("doc_id", source_of().alias("source"), tokens.alias("n_tokens"), order_key(seed).alias("key"))
+    return docs.select("doc_id", source_of().alias("source"), tokens_of().alias("n_tokens"), order_key(seed).alias("key"))
 
 
 def total(values: Column, of=lambda x: x) -> Column:
@@ -122,16 +125,32 @@ def mixture(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | N
 
 
 def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: str = "mix") -> DataFrame:
-    """The rows of docs, each as often as the mixture says. Where an order stops is one key
-    for each source, so texts are not shuffled."""
+    """The rows of docs, each as often as the mixture says. Where an order stops is one row
+    for each source, so texts are not shuffled, but for rows that share their doc_id with
+    the place where their source stops: these are numbered, fewest tokens first."""
     scratch = Scratch(docs.sparkSession, "mix")
     rows = placed(docs, scratch, max_repeats, entropy, budget, seed)
-    stop = F.coalesce(F.min(F.when(F.col("place") >= F.col("rest"), F.col("key"))), F.lit(1 << 60))
-    stops = scratch.save(rows.groupBy(F.col("source").alias("__source")).agg(F.first("whole").alias("__whole"), stop.alias("__stop")), "stops")
+    same = Window.partitionBy("source", "block", "key", "doc_id").orderBy("n_tokens", "place")
+    rows = rows.withColumn("nth", F.row_number().over(same))
+    more = F.col("place") < F.col("rest")
+    stop = F.min(F.when(~more, F.struct("key", "doc_id")))
+    last = F.max(F.when(more, F.struct("key", "doc_id", "nth")))
+    stops = rows.groupBy(F.col("source").alias("__source")).agg(F.first("whole").alias("__whole"), stop.alias("__stop"), last.alias("__last"))
+    split = (F.col("__stop.key") == F.col("__last.key")) & F.col("__stop.doc_id").eqNullSafe(F.col("__last.doc_id"))
+    stops = stops.select("__source", "__whole", "__stop", F.when(split, F.col("__last.nth")).alias("__most"))
+    stops = scratch.save(stops, "stops")
+    divided = not stops.where("__most IS NOT NULL").isEmpty()
     stops = F.broadcast(stops) if stops.count() <= BROADCAST_SOURCES else stops
     tagged = docs.withColumn("__key", order_key(seed)).join(stops, source_of() == F.col("__source"))
-    copies = (F.col("__whole") + F.when(F.col("__key") < F.col("__stop"), 1).otherwise(0)).cast("int")
-    return tagged.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("doc_id"))
+    whole_rows = tagged.withColumn("__more", F.coalesce(at < F.col("__stop"), F.lit(True)))
+    if divided:
+        at_stop = F.coalesce(F.col("__most").isNotNull() & (at == F.col("__stop")), F.lit(False))
+        order = Window.partitionBy("__source").orderBy(tokens_of())
+        numbered = tagged.where(at_stop).withColumn("__more", F.row_number().over(order) <= F.col("__most"))
+        whole_rows = whole_rows.where(~at_stop).unionByName(numbered)
+    copies = (F.col("__whole") + F.col("__more").cast("long")).cast("int")
+    return whole_rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = rf"""
