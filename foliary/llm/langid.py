@@ -2,8 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's
 probability in a language is the sum, over all ways of segmenting it into pieces, of the
-products of their probabilities; the forward algorithm computes it in one pass over the
-word's characters. Training is expectation-maximisation: forward and backward sums give
+products of their probabilities; the forward algorithm computes its logarithm in one pass
+over the word's characters. Training is expectation-maximisation: forward and backward sums give
 each piece's expected count, Spark adds these up by language, and the sums are the next
 probabilities. A text's score is the posterior of its best language.
 
@@ -41,8 +41,6 @@ MARK = "▁"
 LONGEST_WORD = 48
 #: Characters in the longest piece that is used.
 LONGEST_PIECE = 5
-#: About the inverse of a character's probability.
-SCALE = 16.0
 #: Words whose scores a task remembers (about 150 bytes each); at the bound it starts anew.
 REMEMBERED = 800_000
 MAX_LANGUAGES = 500
@@ -76,77 +74,85 @@ def words_of(text: str | None) -> list[str]:
     return [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
 
 
-def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, place and piece length, the id of the piece that ends there; the last id
-    but one stands for any other character, the last for no piece."""
+@lru_cache(maxsize=2)
+def beginnings(path: str) -> dict[str, int]:
+    """The pieces with their ids, and whatever a longer piece begins with, with -1."""
     vocab = vocabulary(path)
-    other, none = len(vocab), len(vocab) + 1
-    most = max(map(len, words)) + 1
-    get = vocab.get
-    ids = np.full((len(words), most, LONGEST_PIECE), none, dtype=np.int32)
-    size = np.zeros(len(words), dtype=np.int64)
+    return {p[:m]: -1 for p in vocab for m in range(1, len(p))} | vocab
+
+
+def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(word, start, end, piece) of every piece that stands in a word, by end and word; and the
+    words' sizes. The id after the last piece's stands for any other character, so every place
+    of a word is a start and an end."""
+    get, other = beginnings(path).get, len(vocabulary(path))
+    found: list[int] = []
     for k, word in enumerate(words):
         marked = MARK + word
-        n = size[k] = len(marked)
-        row = [get(marked[max(j - m, 0) : j], none) for j in range(1, n + 1) for m in range(1, LONGEST_PIECE + 1)]
-        ids[k, :n] = np.array(row, dtype=np.int32).reshape(n, LONGEST_PIECE)
-    single = ids[:, :, 0]
-    single[(single == none) & (np.arange(most) < size[:, None])] = other
-    for m in range(2, LONGEST_PIECE + 1):  # longer than what stands before
-        ids[:, : m - 1, m - 1] = none
-    return ids, size
-
-
-def scaled(log_p: np.ndarray) -> np.ndarray:
-    """Probabilities times SCALE for each place they cover, so that long words don't vanish; and
-    zero for no piece. A piece's length is applied in the recurrence."""
-    return np.vstack([np.exp(log_p), np.zeros((1, log_p.shape[1]))])
-
-
-def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Summed probability of all segmentations of each prefix, times SCALE to the number of its
-    characters: words x places x languages."""
-    n, most, longest = ids.shape
-    alpha = np.zeros((n, most + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    for j in range(1, most + 1):
-        for m in range(1, min(j, longest) + 1):
-            alpha[:, j] += alpha[:, j - m] * (p[ids[:, j - 1, m - 1]] * SCALE**m)
+        n = len(marked)
+        for i in range(n):
+            piece = get(marked[i])
+            found += (k, i, i + 1, other if piece is None or piece < 0 else piece)
+            j = i + 2
+            while piece is not None and j <= n:
+                piece = get(marked[i:j])
+                if piece is not None and piece >= 0:
+                    found += (k, i, j, piece)
+                j += 1
+    edges = np.array(found, dtype=np.int64).reshape(-1, 4)
+    return edges[np.lexsort((edges[:, 0], edges[:, 2]))], np.array([len(w) + 1 for w in words])
+
+
+def spread(total: np.ndarray, at: np.ndarray, come: np.ndarray, to: np.ndarray, word: np.ndarray, log_p: np.ndarray) -> None:
+    """Log of the summed probability of all ways to each (word, to), place after place: total[word,
+    come] of each edge times its piece. The edges of a place stand from at[k] to at[k + 1], by word."""
+    for low, high in zip(at[:-1], at[1:], strict=True):
+        w = word[low:high]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        ways = total[w, come[low:high]] + log_p[low:high]
+        top = np.maximum.reduceat(ways, first)
+        ways -= np.repeat(top, np.diff(first, append=len(w)), axis=0)
+        total[w[first], to[low]] = top + np.log(np.add.reduceat(np.exp(ways), first))
+
+
+def places(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins, and the end."""
+    return np.append(np.flatnonzero(np.diff(x, prepend=-1)), len(x))
+
+
+def forward(edges: np.ndarray, size: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of each prefix: words x places x languages."""
+    alpha = np.zeros((len(size), size.max() + 1, log_p.shape[1]))
+    word, start, end, piece = edges.T
+    spread(alpha, places(end), start, end, word, log_p[piece])
     return alpha
 
 
 def word_scores(words: list[str], log_p: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word in each language."""
-    out, p = np.zeros((len(words), log_p.shape[1])), scaled(log_p)
+    out = np.zeros((len(words), log_p.shape[1]))
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     for at in range(0, len(order), 2000):
         part = order[at : at + 2000]
-        ids, size = lattice([words[k] for k in part], path)
-        out[part] = np.log(forward(ids, p)[np.arange(len(part)), size]) - size[:, None] * np.log(SCALE)
+        edges, size = lattice([words[k] for k in part], path)
+        out[part] = forward(edges, size, log_p)[np.arange(len(part)), size]
     return out
 
 
 def expected_counts(words: list[str], times: np.ndarray, log_p: np.ndarray, path: str) -> np.ndarray:
     """Of one language: each piece's expected number over all segmentations of all words."""
-    p = scaled(log_p[:, None])
-    out = np.zeros(len(p))
+    out = np.zeros(len(log_p))
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     for at in range(0, len(order), 2000):
         part = order[at : at + 2000]
-        ids, size = lattice([words[k] for k in part], path)
-        alpha = forward(ids, p)[:, :, 0]
-        n, most, longest = ids.shape
-        rows = np.arange(n)
-        beta = np.zeros((n, most + 1))
-        beta[rows, size] = 1
-        weight = times[part] / alpha[rows, size]
-        for j in range(most, 0, -1):
-            for m in range(1, min(j, longest) + 1):
-                piece = ids[:, j - 1, m - 1]
-                through = p[piece, 0] * SCALE**m * beta[:, j]
-                beta[:, j - m] += through
-                out += np.bincount(piece, alpha[:, j - m] * through * weight, len(out))
-    return out[:-1]
+        edges, size = lattice([words[k] for k in part], path)
+        alpha = forward(edges, size, log_p[:, None])
+        beta = np.zeros_like(alpha)
+        word, start, end, piece = edges[np.lexsort((edges[:, 0], -edges[:, 1]))].T
+        spread(beta, places(start), end, start, word, log_p[piece, None])
+        share = np.exp(alpha[word, start, 0] + log_p[piece] + beta[word, end, 0] - alpha[word, size[word], 0])
+        out += np.bincount(piece, share * times[part][word], len(out))
+    return out
 
 
 def labelled(docs: DataFrame, learn: Column, max_docs: int) -> DataFrame:

@@ -107,3 +107,20 @@ def test_few_labels(spark, odd_docs, labels):
 def test_features_of_odd_texts():
     for text in (None, "", " ", "\n\n", "\x00", "é" * 10):
         assert len(quality_gam.features(text)) == len(quality_gam.NAMES) and np.isfinite(quality_gam.features(text)).all()
+
+
+def test_runs_of_letters_no_language_knows(spark):
+    vocab = langid.vocabulary(PATH)
+    total = np.full((len(vocab) + 1, 2), langid.PRIOR_COUNT)
+    for k, word in enumerate(["wort", "word"]):
+        total[[vocab[langid.MARK], *map(vocab.get, word)], k] += 1_000_000
+    log_p = np.log(total / total.sum(axis=0))
+    run = "ሀ" * langid.LONGEST_WORD
+    assert "ሀ" not in vocab
+    scores = langid.word_scores([run], log_p, PATH)
+    assert np.allclose(scores, log_p[vocab[langid.MARK]] + langid.LONGEST_WORD * log_p[len(vocab)])
+    counts = langid.expected_counts([run], np.ones(1), log_p[:, 0], PATH)
+    assert np.isclose(counts[len(vocab)], langid.LONGEST_WORD) and np.isclose(counts[vocab[langid.MARK]], 1)
+    df = spark.createDataFrame([(1, run), (2, f"word word {run} word {run * 3}"), (3, f"{run} wort")], "doc_id long, text string")
+    rows = langid.predict(df, (["de", "en"], log_p, np.log([0.5, 0.5]))).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows][1:] == ["en", "de"] and all(0 <= r.score <= 1 for r in rows)
