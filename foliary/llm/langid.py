@@ -39,8 +39,8 @@ from foliary.llm.scratch import Scratch
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 LONGEST_WORD = 48
-#: Characters in the longest piece that is used.
-LONGEST_PIECE = 5
+#: No longer piece can stand in a word with its mark; shorter ones are all used.
+LONGEST_PIECE = LONGEST_WORD + 1
 #: Words whose scores a task remembers (about 150 bytes each); at the bound it starts anew.
 REMEMBERED = 800_000
 MAX_LANGUAGES = 500

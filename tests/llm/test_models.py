@@ -124,3 +124,23 @@ def test_runs_of_letters_no_language_knows(spark):
     df = spark.createDataFrame([(1, run), (2, f"word word {run} word {run * 3}"), (3, f"{run} wort")], "doc_id long, text string")
     rows = langid.predict(df, (["de", "en"], log_p, np.log([0.5, 0.5]))).orderBy("doc_id").collect()
     assert [r.lang_pred for r in rows][1:] == ["en", "de"] and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_all_pieces_of_the_vocabulary_are_summed():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    public = {model.id_to_piece(k) for k in range(model.get_piece_size())}
+    public = {p for p in public if p == p.lower() and p.removeprefix(langid.MARK).isalpha()}
+    vocab = langid.vocabulary(PATH)
+    assert vocab.keys() == public | {langid.MARK} and max(map(len, public)) > 12
+    r = np.random.default_rng(5)
+    p = r.random((len(vocab) + 1, 3))
+    p /= p.sum(axis=0)
+    words = sorted((x.removeprefix(langid.MARK) for x in public), key=len)[-20:] + ["internationalization", "a"]
+    for word, got in zip(words, langid.word_scores(words, np.log(p), PATH), strict=True):
+        marked, sums = langid.MARK + word, [np.ones(3)]
+        for j in range(1, len(marked) + 1):
+            ends = [(i, vocab.get(marked[i:j], len(vocab) if j - i == 1 else None)) for i in range(j)]
+            sums.append(sum(sums[i] * p[piece] for i, piece in ends if piece is not None))
+        assert np.allclose(got, np.log(sums[-1]))
