@@ -1,7 +1,9 @@
 """License notices in whole texts, by an exact set-similarity join.
 
-The blocks are a text's lines as sets of words, the templates known notices. A template
-matches every block that holds at least `threshold` of its words. Template words are put
+The blocks are all stretches of a text's words, wherever its lines break, as sets of words;
+the templates are known notices. A template matches every stretch, up to `REACH` times as long
+as itself, that holds at least `threshold` of its distinct words: words may be put in, but
+scattered ones don't match. Template words are put
 in one order, rarest in the whole corpus first; a block that reaches the threshold then
 holds one of the template's first few words (prefix filter), has enough words (length
 filter), and has enough of the ordered words left from the first shared one on
@@ -45,6 +47,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.8
+#: The longest stretch of words that is compared with a template, in times the template's words.
+REACH = 1.25
 #: Of lower-cased text: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -79,22 +83,36 @@ def rarest_first(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def reach(text: str) -> int:
+    """The words of the longest stretch that a template is looked for in."""
+    return math.ceil(REACH * len(text.split()))
+
+
 def strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
+def stretches(words: Column, order: list[str], length: int) -> Column:
+    """array of arrays: the stretches of up to `length` words that begin with a template word. Any
+    other holds no more template words than the one that begins at its first of them."""
+    own = F.split(F.trim(words), " ")
+    starts = F.filter(F.transform(own, lambda w, i: F.when(F.array_contains(strings(order), w), i)), lambda i: i.isNotNull())
+    return F.array_distinct(F.transform(starts, lambda i: F.slice(own, i + 1, F.lit(length))))
+
+
 def matches(blocks: Column, order: list[str], templates: list[tuple[str, str]], threshold: float) -> Column:
     """array<struct<label, share>> of all (block, template) pairs that reach the threshold.
-    blocks: array of arrays of distinct words."""
+    blocks: array of arrays of words, of which a template sees its own reach."""
     rank = {w: k for k, w in enumerate(order)}
-    ordered = [(label, sorted(set(text.split()), key=rank.__getitem__)) for label, text in templates]
-    prefixes = {label: words[: len(words) - need(len(words), threshold) + 1] for label, words in ordered}
+    ordered = [(label, sorted(set(text.split()), key=rank.__getitem__), reach(text)) for label, text in templates]
+    prefixes = {label: words[: len(words) - need(len(words), threshold) + 1] for label, words, _ in ordered}
     anywhere = sorted({w for words in prefixes.values() for w in words}, key=rank.__getitem__)
 
-    def of_block(block: Column) -> Column:
+    def of_block(whole: Column) -> Column:
         found = []
-        for label, words in ordered:
+        for label, words, length in ordered:
             least = need(len(words), threshold)
+            block = F.slice(whole, 1, length)
             mine = F.array_intersect(strings(order), block)  # the block's template words, rarest first
             first = F.get(F.array_intersect(strings(prefixes[label]), block), F.lit(0))
             left_here = F.lit(len(words)) - F.array_position(strings(words), first) + 1
@@ -113,17 +131,16 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     templates = TEMPLATES if templates is None else templates
     order = rarest_first(docs, templates)
     any_phrase = "|".join(PHRASES)
-    lower = F.col("lower")
     words = F.col("words")
     rank = {w: k for k, w in enumerate(order)}
     prefixes = set()
     for _, text in templates:
         own = sorted(set(text.split()), key=rank.__getitem__)
         prefixes |= set(own[: len(own) - need(len(own), threshold) + 1])
-    rows = docs.select("doc_id", lower_ascii(F.col("text")).alias("lower")).select("doc_id", "lower", spaced(lower).alias("words"))
-    # Only texts with some prefix word are cut into blocks.
+    rows = docs.select("doc_id", spaced(lower_ascii(F.col("text"))).alias("words"))
+    # Only texts with some prefix word are cut into stretches.
     hopeful = words.rlike(rf" (?:{'|'.join(sorted(prefixes))}) ") if prefixes else F.lit(False)
-    blocks = F.transform(F.split(lower, "\n"), lambda line: F.array_distinct(F.split(F.trim(F.regexp_replace(line, BETWEEN, " ")), " ")))
+    blocks = stretches(words, order, max((reach(text) for _, text in templates), default=1))
     found = F.when(hopeful, matches(blocks, order, templates, threshold)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
     counts = [F.when(words.contains(f" {p} "), F.regexp_count(words, F.lit(f" {p}(?= )"))).otherwise(0).cast("long") for p in PHRASES]
     rows = rows.select("doc_id", "words", found.alias("found"), *[c.alias(f"n{k}") for k, c in enumerate(counts)])

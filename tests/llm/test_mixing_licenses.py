@@ -108,3 +108,42 @@ def test_phrases_side_by_side(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [tuple(r) for r in license_join.scan_licenses(df).orderBy("doc_id").collect()]
     assert got == [(k, *scan(t, license_join.TEMPLATES, 0.8)) for k, t in enumerate(texts)]
+
+
+def stretches(text, templates, threshold):
+    words = WORD.findall((text or "").translate(LOWER))
+    shares = {}
+    for label, t in templates:
+        own = set(t.split())
+        for i in range(len(words)):
+            share = len(own & set(words[i : i + license_join.reach(t)])) / len(own)
+            if share >= threshold - 1e-9:
+                shares[label] = max(share, shares.get(label, 0))
+    return shares
+
+
+def test_notices_across_lines(spark):
+    import random
+    import textwrap
+
+    r = random.Random(4)
+    notices = [t for _, t in license_join.TEMPLATES]
+    filler = lambda n: [f"w{r.randrange(500)}" for _ in range(n)]
+    texts = [textwrap.fill(" ".join(filler(7) + [t] + filler(30)), width) for t in notices for width in (20, 80)]
+    texts.append("Released " + " ".join(filler(40)) + " under " + " ".join(filler(40)) + " the MIT license")
+    for _ in range(40):
+        words = [w for t in r.sample(notices, 3) for w in t.split() if r.random() < 0.85]
+        for _ in range(r.randrange(30)):
+            words.insert(r.randrange(len(words)), f"w{r.randrange(9)}")
+        texts.append("".join(w + r.choice("  \n") for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.8, 0.5):
+        got = license_join.scan_licenses(df, threshold=threshold).orderBy("doc_id").collect()
+        for row, text in zip(got, texts, strict=True):
+            want = stretches(text, license_join.TEMPLATES, threshold)
+            assert set(filter(None, row.labels.split(","))) == set(want) | set(filter(None, row.base_labels.split(",")))
+            assert row.score == (1.0 if row.n_base else max(want.values(), default=0.0))
+    got = license_join.scan_licenses(df).orderBy("doc_id").collect()
+    for k, (label, _) in enumerate(license_join.TEMPLATES):
+        assert label in got[2 * k].labels.split(",") and label in got[2 * k + 1].labels.split(",")
+    assert got[2 * len(notices)].labels == ""
