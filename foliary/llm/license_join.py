@@ -146,7 +146,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     rows = rows.select("doc_id", "words", found.alias("found"), *[c.alias(f"n{k}") for k, c in enumerate(counts)])
     n_base = sum((F.col(f"n{k}") for k in range(1, len(PHRASES))), F.col("n0"))
     base = F.array_compact(F.array(*[F.when(F.col(f"n{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
-    before = lambda most: F.when(F.col("n_base") > 0, spaces(F.regexp_extract(words, rf"^(.*{most}) (?:{any_phrase})(?= )", 1)))
+    before = lambda most: F.when(F.col("n_base") > 0, spaces(F.regexp_extract(words, rf"(?s)^(.*{most}) (?:{any_phrase})(?= )", 1)))
     rows = rows.select("doc_id", "words", "found", n_base.alias("n_base"), base.alias("base"))
     best = F.coalesce(F.array_max(F.transform("found", lambda m: m["share"])), F.lit(0.0))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda m: m["label"]))))

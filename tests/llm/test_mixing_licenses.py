@@ -147,3 +147,11 @@ def test_notices_across_lines(spark):
     for k, (label, _) in enumerate(license_join.TEMPLATES):
         assert label in got[2 * k].labels.split(",") and label in got[2 * k + 1].labels.split(",")
     assert got[2 * len(notices)].labels == ""
+
+
+@pytest.mark.parametrize("mark", ["\u0085", "\u2028", "\u2029"])
+def test_phrases_beside_separators(spark, mark):
+    texts = [f"a {mark} cc by", f"cc by {mark} all rights reserved b", f"{mark}cc by", f"x{mark}y cc by\n{mark}\ncc by {mark}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in license_join.scan_licenses(df).orderBy("doc_id").collect()]
+    assert got == [(k, *scan(t, license_join.TEMPLATES, 0.8)) for k, t in enumerate(texts)]
