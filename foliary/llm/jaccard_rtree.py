@@ -148,7 +148,7 @@ def longs(xs: list[np.ndarray]) -> pa.Array:
 
 
 def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
-    """row (a number of its own), doc_id, n, hi, lo (the set's hash), keys, point of every row."""
+    """row (a number of its own), doc_id, mark (the text's hash), n, hi, lo (the set's hash), keys, point of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = Words(), TaskContext.get().partitionId() << 36
@@ -156,13 +156,13 @@ def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
             own = [shingles(t, k, words) for t in tokens.columns(batch, "text")[0]]
             hi, lo = np.array([set_hash(s) for s in own], dtype=np.int64).reshape(-1, 2).T
             points = [np.bincount((mix(s, 4) % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32) for s in own]
-            columns = [pa.array(np.arange(row, row + len(own))), batch.column("doc_id"), pa.array(list(map(len, own)), pa.int64()), pa.array(hi), pa.array(lo)]
+            columns = [pa.array(np.arange(row, row + len(own))), batch.column("doc_id"), batch.column("mark"), pa.array(list(map(len, own)), pa.int64()), pa.array(hi), pa.array(lo)]
             columns += [longs([limits.keys(s) for s in own]), pa.array(points, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "hi", "lo", "keys", "point"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n", "hi", "lo", "keys", "point"])
             row += len(own)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(read, "row long, doc_id long, n long, hi long, lo long, keys array<long>, point array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(read, "row long, doc_id long, mark long, n long, hi long, lo long, keys array<long>, point array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -304,6 +304,12 @@ def verify(pairs: DataFrame, found: DataFrame, limits: Limits) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return linked(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, mark, n, hi, lo, component_id, comp (a number of the component's own) of every row;
+    the last two are null for rows without shingles."""
     limits, scratch = Limits(num, den), Scratch(docs.sparkSession, "jaccard")
     whole = scratch.save(measured(docs, k, limits), "whole")
     rows = scratch.save(whole.drop("keys"), "rows")
@@ -346,8 +352,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     scratch.drop("dealt", "more-sets", "stars", "first", "pairs", "links", "wanted", "first-wanted", "more-wanted")
     named = classes.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "comp").select("n", "hi", "lo", "component_id")
-    return rows.select("doc_id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(smallest, "comp").select("n", "hi", "lo", "component_id", "comp")
+    return rows.select("doc_id", "mark", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
 
 
 def members(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -356,12 +362,31 @@ def members(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs of which one document of each component stays, the one with the smallest doc_id."""
+    """The rows of docs of which one of each component stays, the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so other texts of a dropped row's doc_id are judged
+    by themselves; a null doc_id comes last; of several texts of one doc_id in a component the
+    set's hash decides, and then the text's; of rows that repeat both, one stays. Rows without
+    shingles all stay.
+    """
     scratch = Scratch(docs.sparkSession, "near")
-    gone = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = scratch.save(gone, "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    found = linked(docs, k, num, den).where("n > 0")
+    found = found.select("comp", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "n", "hi", "lo", "mark").alias("row"))
+    found = scratch.save(found.groupBy("comp", "row").agg(F.count("*").alias("times")), "found")
+    first = found.groupBy("comp").agg(F.min("row").alias("first"))
+    judged = found.join(first, "comp").select(F.col("row.doc_id").alias("__id"), F.col("row.mark").alias("__mark"), "times", (F.col("row") == F.col("first")).alias("stays"))
+    gone = scratch.save(judged.where("not stays").select("__id", "__mark"), "gone")
+    twice = scratch.save(judged.where("stays and times > 1").select("__id", "__mark"), "twice")
+    scratch.drop("found")
+
+    def narrowed(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        same = df["doc_id"].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(df["text"]) == rows["__mark"])
+        return df.join(bounded(rows), same, how)
+
+    kept = narrowed(docs, gone, "left_anti")
+    if twice.isEmpty():
+        return kept
+    return narrowed(kept, twice, "left_anti").union(narrowed(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE_SQL = r"""

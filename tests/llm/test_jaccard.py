@@ -96,3 +96,28 @@ def test_chains_are_one_component(spark):
 def test_one_of_each_group_stays(more_docs):
     kept = {r.doc_id for r in jr.drop_near_copies(more_docs).select("doc_id").collect()}
     assert kept == {c for _, _, c in brute(more_docs.collect(), 5, 80, 100)}
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [
+        (1, text("a")),
+        (2, text("a") + " tail"),  # a near copy
+        (2, text("b")),  # the same id, a text of its own
+        (None, text("a") + " end"),
+        (None, text("c")),
+        (None, text("c") + " tail"),
+        (None, text("d")),
+        (3, text("e")),
+        (3, text("e") + " tail"),
+        (4, text("f")),
+        (4, text("f")),
+        (4, text("g")),
+        (5, None),
+        (5, None),
+        (None, ""),
+    ]
+    kept = jr.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.text and r.text.removesuffix(" tail")) for r in kept), key=str)
+    want = [(1, text("a")), (2, text("b")), (None, text("c")), (None, text("d")), (3, text("e")), (4, text("f")), (4, text("g")), (5, None), (5, None), (None, "")]
+    assert got == sorted(want, key=str)
