@@ -9,12 +9,16 @@ One R-tree over a corpus would compare nearly everything, as no short vector sep
 long texts. So exact keys deal the points out first: within a band of sizes, shingles are
 hashed into more groups than two linked sets may differ in, so that such sets agree on
 some whole group; a set emits the hashes of its groups that come first in one global
-order, as many as a prefix filter needs, and each key has an R-tree of its own.
+order, as many as a prefix filter needs. Sets that keys connect, directly or through
+others, are a family, and each family has an R-tree of its own: no link leaves a family.
 
-Equal sets are one class. A class is first compared with the first class of each of its
-keys only; what that links needs no more comparisons, and the R-trees look for pairs of
-classes that are still apart. Large keys are split into cells of pairs of buckets. So a
-group of n near copies costs about n comparisons, and no link between texts is lost.
+Equal sets are one class. Within a family, pairs of one component are skipped as soon as a
+verified link has joined them, and only the links that join components are given out, at
+most one a class. So a group of n near copies has n rows in its family's task and at most
+n - 1 after it, and no link between texts is lost. A family too large for a task is split
+into buckets, and each pair of buckets is a task (a cell) with an R-tree for either side.
+
+Hot keys are dealt by ranges of (key, class), so that one key can spread over many tasks.
 
 Edge cases: null and empty texts and texts of white space have no shingles and stay
 alone; a text with fewer words than a shingle is one shingle; a null doc_id is never a
@@ -25,7 +29,7 @@ bits of hash, sets by 128.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -34,7 +38,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliary.llm import tokens
 from foliary.llm.scratch import Scratch
@@ -44,10 +47,15 @@ GROUPS = 32
 SMALL = 24
 BAND = 1.5
 REMEMBERED = 500_000
-#: Rows of a key that one cell holds from each of two buckets.
+#: Most classes, and most shingles, that a family's bucket has on average.
 CELL = 4096
+CELL_SHINGLES = 1 << 19
 LEAF = 32
-#: Bits of a key: a chance match only costs a comparison, and short keys shuffle cheaper.
+#: Pairs that are verified at once.
+BATCH = 1 << 14
+#: Bytes of a cell's table of shared shingles; beyond it sets are compared one by one.
+TABLE_BYTES = 64 << 20
+#: Bits of a key: a chance match only enlarges a family, and short keys shuffle cheaper.
 KEY_BITS = 44
 #: Rows of a few numbers that may be broadcast (at most 40 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -148,111 +156,183 @@ def longs(xs: list[np.ndarray]) -> pa.Array:
 
 
 def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
-    """row (a number of its own), doc_id, mark (the text's hash), n, hi, lo (the set's hash), keys, point of every row."""
+    """row (a number of its own), doc_id, mark (the text's hash), n, hi, lo (the set's hash), keys of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = Words(), TaskContext.get().partitionId() << 36
         for batch in batches:
             own = [shingles(t, k, words) for t in tokens.columns(batch, "text")[0]]
             hi, lo = np.array([set_hash(s) for s in own], dtype=np.int64).reshape(-1, 2).T
-            points = [np.bincount((mix(s, 4) % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32) for s in own]
             columns = [pa.array(np.arange(row, row + len(own))), batch.column("doc_id"), batch.column("mark"), pa.array(list(map(len, own)), pa.int64()), pa.array(hi), pa.array(lo)]
-            columns += [longs([limits.keys(s) for s in own]), pa.array(points, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n", "hi", "lo", "keys", "point"])
+            columns.append(longs([limits.keys(s) for s in own]))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n", "hi", "lo", "keys"])
             row += len(own)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(read, "row long, doc_id long, mark long, n long, hi long, lo long, keys array<long>, point array<int>")
+    return rows.mapInArrow(read, "row long, doc_id long, mark long, n long, hi long, lo long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """class, shingles of the wanted classes (class, rep, hi, lo), from the text of each one's rep.
-    Rows that repeat a doc_id and the text give a set more than once."""
+def key_edges(dealt: DataFrame, scratch: Scratch) -> DataFrame:
+    """dealt: class, key -> edges (a, b) that connect all classes of each key.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            texts, classes, hi, lo = tokens.columns(batch, "text", "class", "hi", "lo")
-            own = [shingles(t, k, words) for t in texts]
-            good = [j for j, s in enumerate(own) if set_hash(s) == (hi[j], lo[j])]
-            yield pa.RecordBatch.from_arrays([pa.array([classes[j] for j in good], pa.int64()), longs([own[j] for j in good])], names=["class", "shingles"])
+    Rows are dealt by ranges of (key, class). A run is what a task has of one key; its first
+    class is connected with the others, and the first classes of a key's runs with each other:
+    only a task's first and last run can go on in another.
+    """
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").alias("d").join(bounded(wanted).alias("w"), F.expr("d.rep <=> w.rep"))
-    return rows.select("text", "class", "hi", "lo").mapInArrow(read, "class long, shingles array<long>")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = lead = None
+        send = lambda a, b, key: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, own = (batch.column(n).to_numpy() for n in ("key", "class"))
+            if now is None:
+                now, lead = key[0], own[0]
+                yield send([lead], [lead], [now])
+            start = np.append(key[0] != now, key[1:] != key[:-1])
+            first = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
+            leads = np.where(first < 0, lead, own[first])
+            pairs = np.unique(np.stack([leads, own], axis=1)[leads != own], axis=0)
+            yield send(pairs[:, 0], pairs[:, 1], [None] * len(pairs))
+            now, lead = key[-1], leads[-1]
+        if now is not None:
+            yield send([lead], [lead], [now])
+
+    spread = dealt.repartitionByRange("key", "class").sortWithinPartitions("key", "class")
+    found = scratch.save(spread.select("key", "class").mapInArrow(runs, "a long, b long, key long").distinct(), "runs")
+    ends = found.where("key is not null").select("key", "a")  # two a task
+    stitched = ends.join(ends.groupBy("key").agg(F.min("a").alias("lead")), "key").where("a <> lead").select("lead", "a")
+    return found.where("key is null").select("a", "b").union(stitched)
 
 
 # --- the R-tree -----------------------------------------------------------------
 
 
 class Node:
-    """A box of points by its upper corner, its smallest and largest set, and its component if all share one."""
+    """A box of points by its upper corner and its smallest and largest set."""
 
-    def __init__(self, rows: np.ndarray, children: list[Node], points: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def __init__(self, rows: np.ndarray, children: list[Node], points: np.ndarray, n: np.ndarray):
         self.rows, self.children = rows, children
         self.corner = points[rows].max(axis=0)
         self.least, self.most = int(n[rows].min()), int(n[rows].max())
-        own = comp[rows]
-        self.comp = own[0] if (own == own[0]).all() else None
 
 
-def bulk_load(points: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Node:
+def bulk_load(rows: np.ndarray, points: np.ndarray, n: np.ndarray) -> Node:
     """Sort-tile: runs of like sizes, then runs along the widest coordinate, then leaves."""
 
     def build(rows: np.ndarray, depth: int) -> Node:
         if len(rows) <= LEAF:
-            return Node(rows, [], points, n, comp)
+            return Node(rows, [], points, n)
         if depth == 0:
             rows = rows[np.argsort(n[rows], kind="stable")]
         else:
             rows = rows[np.argsort(points[rows][:, points[rows].var(axis=0).argmax()], kind="stable")]
         parts = np.array_split(rows, min(8, -(-len(rows) // LEAF)))
-        return Node(rows, [build(p, depth + 1) for p in parts], points, n, comp)
+        return Node(rows, [build(p, depth + 1) for p in parts], points, n)
 
-    return build(np.arange(len(n)), 0)
+    return build(rows, 0)
 
 
-def tree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, limits: Limits) -> list[tuple[int, int]]:
-    """Pairs of rows of different components whose points allow the overlap they need."""
-    root, out = bulk_load(points, n, comp), []
-    todo = [(root, root)]
+def tree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, limits: Limits, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j), some at a time, whose points allow the overlap they need and whose
+    components differ; comp may change between them. With sides, pairs of rows of both."""
+    sides = [np.arange(len(n))] if side is None else [np.flatnonzero(side == x) for x in np.unique(side)]
+    if side is not None and len(sides) < 2:
+        return
+    trees = [bulk_load(rows, points, n) for rows in sides]
+    todo = [(trees[0], trees[-1])]
     while todo:
         a, b = todo.pop()
-        if a.comp is not None and a.comp == b.comp:
-            continue
         if a.least > limits.largest(b.most) or b.least > limits.largest(a.most):
             continue
         if np.minimum(a.corner, b.corner).sum() < limits.need(a.least + b.least):
             continue
         if not a.children and not b.children:
+            own = comp[a.rows][:, None] != comp[b.rows][None]
+            if not own.any():
+                continue
             overlap = np.minimum(points[a.rows][:, None], points[b.rows][None]).sum(axis=2)
             x, y = n[a.rows][:, None], n[b.rows][None]
-            good = (overlap >= limits.need(x + y)) & (np.minimum(x, y) * limits.den >= np.maximum(x, y) * limits.num) & (comp[a.rows][:, None] != comp[b.rows][None])
+            good = own & (overlap >= limits.need(x + y)) & (np.minimum(x, y) * limits.den >= np.maximum(x, y) * limits.num)
             i, j = np.nonzero(np.triu(good, 1) if a is b else good)
-            out += zip(a.rows[i].tolist(), b.rows[j].tolist(), strict=True)
+            if len(i):
+                yield a.rows[i], b.rows[j]
         elif a is b:
-            todo += [(c, d) for k, c in enumerate(a.children) for d in a.children[k:]]
+            todo += [(c, d) for k, c in enumerate(a.children) for d in a.children[k + 1 :]]
+            todo += [(c, c) for c in a.children]  # these come first
         elif a.children and (not b.children or len(a.rows) >= len(b.rows)):
             todo += [(c, b) for c in a.children]
         else:
             todo += [(a, c) for c in b.children]
+
+
+def overlaps(flat: np.ndarray, n: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """flat: sets one after another, n: their sizes -> the exact overlaps of pairs (i, j) of sets."""
+    who = np.repeat(np.arange(len(n)), n)
+    _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    width = max(1, -(-int(shared.sum()) // 64))
+    if len(n) * width * 8 > TABLE_BYTES:
+        sets = np.split(flat, np.cumsum(n)[:-1])
+        return lambda i, j: np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], dtype=np.int64)
+    table, used = np.zeros((len(n), width), dtype=np.uint64), shared[which]
+    column = (np.cumsum(shared) - 1)[which[used]]
+    np.bitwise_or.at(table, (who[used], column >> 6), U(1) << (column & 63).astype(np.uint64))
+    step = max(1, (8 << 20) // (8 * width))
+
+    def count(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        parts = [np.bitwise_count(table[i[k : k + step]] & table[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+    return count
+
+
+def joining_links(sets: list[np.ndarray], limits: Limits, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets, with sides only between those of both, that join all which links connect: a forest."""
+    n, flat = np.array(list(map(len, sets))), np.concatenate(sets)
+    group = np.repeat(np.arange(len(n)), n) * GROUPS + (mix(flat, 4) % U(GROUPS)).astype(np.int64)
+    points = np.bincount(group, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+    overlap, comp, out = overlaps(flat, n), np.arange(len(n)), []
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        both = overlap(i, j)
+        good = limits.den * both >= limits.num * (n[i] + n[j] - both)
+        for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            if comp[x] != comp[y]:
+                comp[comp == comp[y]] = comp[x]
+                out.append((x, y))
+
+    for pair in tree_pairs(points, n, comp, limits, side):
+        waiting.append(pair)
+        if sum(len(x) for x, _ in waiting) >= BATCH:
+            settle()
+    if waiting:
+        settle()
     return out
 
 
-def search(rows: DataFrame, limits: Limits) -> DataFrame:
-    """rows: key, cell, class, comp, n, point, sorted by key and cell -> pairs a < b."""
+def search(rows: DataFrame, k: int, limits: Limits) -> DataFrame:
+    """rows: family, cell, bucket, class, text, sorted by family and cell -> links a, b."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found = Words(), []
+
         def one_by_one():
             for batch in batches:
-                yield from zip(*tokens.columns(batch, "key", "cell", "class", "comp", "n", "point"), strict=True)
+                yield from zip(*tokens.columns(batch, "family", "cell", "bucket", "class", "text"), strict=True)
 
-        found: set[tuple[int, int]] = set()
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(found), strict=True)], names=["a", "b"])
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
         for _, own in groupby(one_by_one(), key=lambda r: r[:2]):
-            rows_ = list(own)
-            classes, comp, n = (np.array([r[i] for r in rows_]) for i in (2, 3, 4))
-            points = np.array([r[5] for r in rows_])
-            found |= {tuple(sorted((int(classes[i]), int(classes[j])))) for i, j in tree_pairs(points, n, comp, limits)}
+            sets = {(r[3], r[2]): shingles(r[4], k, words) for r in own}  # rows may repeat a class
+            classes, bucket = np.array(list(sets)).T
+            links = joining_links(list(sets.values()), limits, bucket if len(np.unique(bucket)) > 1 else None)
+            found += [(classes[i], classes[j]) for i, j in links]
             if len(found) >= 10_000:
                 yield send()
                 found.clear()
@@ -267,21 +347,23 @@ def search(rows: DataFrame, limits: Limits) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node, comp (its smallest reachable node) of all nodes with edges (a, b), by alternating
-    large and small stars. Every round is a written table."""
+    large and small stars. Every round is a written table, and so are its minima: a join
+    with them can be a broadcast, or have the rows of a hub dealt to several tasks."""
     edges = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{label}-0")
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now, k = state(edges), 0
     while now[0]:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), f"{label}-least-{k}")
+        large = both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.save(large, f"{label}-large-{k}")
         # All v are below u now; hang u and its others under the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-small-{k}")
+        joined = large.join(bounded(least), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = scratch.save(small, f"{label}-{k + 1}")
         before, now = now, state(edges)
-        scratch.drop(f"{label}-{k}")
+        scratch.drop(f"{label}-{k}", f"{label}-least-{k}", f"{label}-large-{k}", f"{label}-small-{k}")
         k += 1
         if tuple(before) == tuple(now):
             break
@@ -292,16 +374,6 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 # --- the join -------------------------------------------------------------------
 
 
-def verify(pairs: DataFrame, found: DataFrame, limits: Limits) -> DataFrame:
-    """Of pairs (a, b), a written table, those whose sets are linked. The pairs go to the sets of
-    b, if there are few enough, so that only those sets and the ones of a are shuffled."""
-    left = found.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = found.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = limits.den * shared >= limits.num * (F.size("x") + F.size("y") - shared)
-    return right.join(bounded(pairs), "b").join(left, "a").where(linked).select("a", "b").distinct()
-
-
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     return linked(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -313,52 +385,37 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     limits, scratch = Limits(num, den), Scratch(docs.sparkSession, "jaccard")
     whole = scratch.save(measured(docs, k, limits), "whole")
     rows = scratch.save(whole.drop("keys"), "rows")
-    # A class is one set; its number is the first of its rows'.
-    classes = rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("row").alias("class"), F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes, "classes")
+    # A class is one set; its first row gives it a number and a text.
+    first = F.min(F.struct("row", "doc_id", "mark")).alias("first")
+    classes = rows.where("n > 0").groupBy("n", "hi", "lo").agg(first, F.min("doc_id").alias("rep"))
+    classes = scratch.save(classes.select("n", "hi", "lo", F.col("first.row").alias("class"), F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark"), "rep"), "classes")
     copies = scratch.save(rows.where("n > 0").select("row").join(classes.select(F.col("class").alias("row")), "row", "left_anti"), "copies")
-    # Keys that more than one class has; the first class by number leads the key.
-    key = Window.partitionBy("key")
-    dealt = whole.select(F.col("row"), "keys").join(bounded(copies), "row", "left_anti").select(F.col("row").alias("class"), F.explode("keys").alias("key"))
-    dealt = dealt.withColumn("lead", F.min("class").over(key)).withColumn("many", F.count("*").over(key)).where("many > 1")
-    dealt = scratch.save(dealt, "dealt")
-    scratch.drop("whole", "copies")
-    shared = dealt.select("class").distinct()
-    wanted = scratch.save(rows.select(F.col("row").alias("class"), "n", "hi", "lo", "point").join(shared, "class").join(classes.select("class", "rep"), "class"), "wanted")
-    stars = dealt.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
-    stars = stars.join(wanted.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a")
-    stars = stars.join(wanted.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    stars = scratch.save(stars.where((limits.den + limits.num) * bound >= limits.num * (F.col("na") + F.col("nb"))).select("a", "b"), "stars")
-    found = scratch.save(sets_of(docs, scratch.save(members(stars, wanted), "first-wanted"), k), "first-sets")
-    first = scratch.save(verify(stars, found, limits), "first")
-    scratch.drop("first-sets")
-    comp = scratch.save(components(first, scratch, "a"), "comp")
-    # Keys whose classes are still in more than one component.
-    apart = dealt.select("class", "key", "many").join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    buckets = F.ceil(F.col("many") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("class"), buckets).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), buckets - 1), lambda other: F.least(own, other) * F.lit(1 << 20) + F.greatest(own, other))
-    apart = apart.join(mixed, "key").withColumn("cell", F.explode(cells)).join(wanted.select("class", "n", "point"), "class")
-    apart = apart.select("key", "cell", "class", "comp", "n", "point").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    pairs = search(apart, limits).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    pairs = scratch.save(pairs, "pairs")
-    if not pairs.isEmpty():
-        found = scratch.save(sets_of(docs, scratch.save(members(pairs, wanted), "more-wanted"), k), "more-sets")
-        links = scratch.save(verify(pairs, found, limits), "links")
-        if not links.isEmpty():
-            comp = scratch.save(components(first.union(links), scratch, "b"), "comp-b")
-    scratch.drop("dealt", "more-sets", "stars", "first", "pairs", "links", "wanted", "first-wanted", "more-wanted")
-    named = classes.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "comp").select("n", "hi", "lo", "component_id", "comp")
+    dealt = whole.select("row", "keys").join(bounded(copies), "row", "left_anti").select(F.col("row").alias("class"), F.explode("keys").alias("key"))
+    edges = scratch.save(key_edges(dealt, scratch), "edges")
+    scratch.drop("whole", "copies", "runs")
+    family = scratch.save(components(edges, scratch, "a").toDF("class", "family"), "family")
+    links = scratch.save(search(family_cells(docs, family, classes, scratch), k, limits), "links")
+    comp = scratch.save(components(links, scratch, "b").toDF("class", "comp"), "comp")
+    scratch.drop("edges", "family", "wanted", "links")
+    named = classes.select("n", "hi", "lo", "class", "rep").join(bounded(comp), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    named = scratch.save(named, "named")
+    smallest = scratch.save(named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"), "smallest")
+    named = named.join(bounded(smallest), "comp", "left").select("n", "hi", "lo", F.coalesce("component_id", "rep").alias("component_id"), "comp")
     return rows.select("doc_id", "mark", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
 
 
-def members(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, rep, hi, lo of the classes in some pair."""
-    return wanted.select("class", "rep", "hi", "lo").join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class")
+def family_cells(docs: DataFrame, family: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """family, cell, bucket, class, text of the classes (class, family), for `search`."""
+    wanted = family.join(classes.select("class", "n", "own_id", "own_mark"), "class")
+    sizes = wanted.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("buckets"))
+    large = scratch.save(sizes.where("buckets > 1"), "large")
+    wanted = scratch.save(wanted.join(bounded(large), "family", "left").select("family", "class", "own_id", "own_mark", F.coalesce("buckets", F.lit(1)).alias("buckets")), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("m"), "text")
+    rows = texts.join(bounded(wanted), F.expr("m = own_mark and d <=> own_id"))
+    bucket = F.pmod(F.xxhash64("class"), "buckets").cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("buckets") - 1), lambda x: F.least(bucket, x).cast("long") * F.lit(1 << 31) + F.greatest(bucket, x))
+    rows = rows.select("family", F.explode(other).alias("cell"), bucket.alias("bucket"), "class", "text")
+    return rows.repartition("family", "cell").sortWithinPartitions("family", "cell")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -373,11 +430,11 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     found = linked(docs, k, num, den).where("n > 0")
     found = found.select("comp", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "n", "hi", "lo", "mark").alias("row"))
     found = scratch.save(found.groupBy("comp", "row").agg(F.count("*").alias("times")), "found")
-    first = found.groupBy("comp").agg(F.min("row").alias("first"))
-    judged = found.join(first, "comp").select(F.col("row.doc_id").alias("__id"), F.col("row.mark").alias("__mark"), "times", (F.col("row") == F.col("first")).alias("stays"))
+    first = found.groupBy("comp").agg(F.min("row").alias("first"), F.sum("times").alias("size")).where("size > 1").drop("size")
+    judged = found.join(bounded(scratch.save(first, "first")), "comp").select(F.col("row.doc_id").alias("__id"), F.col("row.mark").alias("__mark"), "times", (F.col("row") == F.col("first")).alias("stays"))
     gone = scratch.save(judged.where("not stays").select("__id", "__mark"), "gone")
     twice = scratch.save(judged.where("stays and times > 1").select("__id", "__mark"), "twice")
-    scratch.drop("found")
+    scratch.drop("found", "first")
 
     def narrowed(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
         same = df["doc_id"].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(df["text"]) == rows["__mark"])

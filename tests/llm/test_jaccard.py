@@ -78,15 +78,61 @@ def test_tree_finds_all_pairs_the_bound_allows():
     points = np.maximum(base[r.integers(0, 40, 400)] + r.integers(-1, 2, (400, jr.GROUPS)) * (r.random((400, jr.GROUPS)) < 0.1), 0)
     n, comp = points.sum(axis=1), r.integers(0, 30, 400)
     want = {(i, j) for i, j in combinations(range(400), 2) if comp[i] != comp[j] and np.minimum(points[i], points[j]).sum() >= limits.need(n[i] + n[j]) and min(n[i], n[j]) * 100 >= 85 * max(n[i], n[j])}
-    assert {tuple(sorted(p)) for p in jr.tree_pairs(points, n, comp, limits)} == want and len(want) > 20
-
-
-def test_large_keys_are_split_into_cells(spark, monkeypatch):
+    found = lambda side=None: [tuple(sorted(p)) for i, j in jr.tree_pairs(points, n, comp, limits, side) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert set(found()) == want and len(want) > 20
+    side = r.integers(0, 2, 400)
+    assert set(found(side)) == {(i, j) for i, j in want if side[i] != side[j]} and len(found(side)) == len(set(found(side)))
+
+
+@pytest.mark.parametrize("table", [0, 1 << 20])
+def test_exact_overlaps(table, monkeypatch):
+    monkeypatch.setattr(jr, "TABLE_BYTES", table)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    got = jr.overlaps(np.concatenate(sets), np.array(list(map(len, sets))))(i, j)
+    assert got.tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)]
+
+
+def test_a_hub_of_near_copies(spark, monkeypatch):
+    """5,000 near copies of one text, some apart from it, in one family of several buckets."""
+    monkeypatch.setattr(jr, "CELL", 1024)
+    r, words = random.Random(3), [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(5000):
+        own = list(words)
+        for _ in range(r.choice([1, 1, 1, 2, 4])):
+            own[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        rows.append((d, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.component_id for x in jr.jaccard_components(df).collect()}
+    sets = [jr.shingles(t, 4, jr.Words()) for _, t in rows]
+    flat, n = np.concatenate(sets), np.array(list(map(len, sets)))
+    overlap, comp = jr.overlaps(flat, n), np.arange(5000)
+    for i in range(5000):  # all pairs
+        j = np.arange(i + 1, 5000)
+        both = overlap(np.full(len(j), i), j)
+        for x in np.unique(comp[j[100 * both >= 85 * (n[i] + n[j] - both)]]):
+            low, high = sorted((x, comp[i]))
+            comp[comp == high] = low
+    assert got == dict(enumerate(comp.tolist())) and 1 < len(set(comp)) < 4000
+
+
+@pytest.mark.parametrize("shingles", [1 << 19, 100])
+def test_large_families_are_split_into_cells(spark, monkeypatch, shingles):
     monkeypatch.setattr(jr, "CELL", 3)
+    monkeypatch.setattr(jr, "CELL_SHINGLES", shingles)
     df = near_copies(spark)
     assert sorted(tuple(r) for r in jr.jaccard_components(df).collect()) == sorted(brute(df.collect(), 4, 85, 100))
 
 
+def test_keys_over_many_tasks_are_stitched(spark):
+    rows = [(c, key) for key in (5, 6) for c in range(300)] + [(1000, 7), (1001, 7), (1002, 8)]
+    edges = jr.key_edges(spark.createDataFrame(rows, "class long, key long"), Scratch(spark, "t"))
+    got = {r.node: r.comp for r in jr.components(edges, Scratch(spark, "t"), "c").collect()}
+    assert got == dict.fromkeys(range(300), 0) | {1000: 1000, 1001: 1000}
+
+
 def test_chains_are_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.comp for r in jr.components(edges, Scratch(spark, "t"), "c").collect()}
