@@ -3,8 +3,9 @@
 Texts are equal when they are identical after their ASCII white space is deleted;
 null counts as empty. An immutable snapshot of known texts carries one binary-fuse
 filter (Graf and Lemire 2022) per bucket of its digests. Digests of an incoming
-batch are grouped among themselves, then screened: a negative is certainly new; a
-positive joins the snapshot's exact bucket and its bytes are compared.
+batch are grouped among themselves, then screened: a negative is certainly new and meets
+the snapshot no more; a positive joins the snapshot's exact bucket, its bytes are compared,
+and if they are equal the two groups are one.
 
 Edge cases: null and empty texts (and those of white space only) form one group;
 a null doc_id is kept only where no other row of its group is as long; rows that
@@ -24,6 +25,8 @@ from foliary.llm.scratch import Scratch
 WHITE = r"[\x20\x09-\x0D]+"
 #: Digests in one filter: about 1.2 MB of 8-bit fingerprints.
 KEYS_PER_FILTER = 1_000_000
+#: Classes of a batch that a filter is asked about in one task.
+KEYS_PER_PROBE = 250_000
 #: Rows of representatives that may be broadcast (about 12 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -140,17 +143,26 @@ def build_filters(snapshot: DataFrame, keys_per_filter: int = KEYS_PER_FILTER) -
 
 
 def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The batch's classes that a filter says may be known."""
+    """The batch's classes with `maybe`: whether a filter says that the snapshot may hold them.
+    However large a batch is, a task gets a share of a bucket's classes and the bucket's filter."""
+    shares = max(1, -(-batch.count() // (buckets * KEYS_PER_PROBE)))
 
-    def keep(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or rows.empty:
-            return rows[["sha"]].iloc[:0]
-        f = own.iloc[0]
-        hit = probe_filter(_keys(rows["sha"]), int(f["seed"]), int(f["segment"]), int(f["segments"]), np.frombuffer(f["prints"], np.uint8))
-        return rows.loc[hit, ["sha"]]
+    def ask(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(rows), dtype=bool)
+        if len(own) and len(rows):
+            f = own.iloc[0]
+            hit = probe_filter(_keys(rows["sha"]), int(f["seed"]), int(f["segment"]), int(f["segments"]), np.frombuffer(f["prints"], np.uint8))
+        return pd.DataFrame({"sha": rows["sha"], "maybe": hit})
 
-    left = batch.select("sha", _bucket(buckets).alias("bucket")).groupBy("bucket")
-    return left.cogroup(filters.groupBy("bucket")).applyInPandas(keep, "sha string")
+    share = F.pmod(F.xxhash64("sha"), F.lit(shares)).alias("share")
+    left = batch.select("sha", _bucket(buckets).alias("bucket"), share).groupBy("bucket", "share")
+    right = filters.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))).groupBy("bucket", "share")
+    return left.cogroup(right).applyInPandas(ask, "sha string, maybe boolean")
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def same_bytes(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
@@ -173,24 +185,23 @@ def exact_groups(snapshot_docs: DataFrame, batch_docs: DataFrame, scratch: Scrat
     )
     snap = scratch.save(classes(rows.where("side = 0")), "snapshot")
     batch = scratch.save(classes(rows.where("side = 1")), "batch")
-    filters, buckets = build_filters(snap)
+    filters, buckets = build_filters(snap, KEYS_PER_FILTER)
     filters = scratch.save(filters, "filters")
-    positive = screen(batch, filters, buckets)
-    pairs = positive.join(batch.select("sha", F.col("best.doc_id").alias("batch_id")), "sha").join(snap.select("sha", F.col("best.doc_id").alias("snap_id")), "sha")
-    pairs = scratch.save(pairs, "pairs")
-    equal = same_bytes(snapshot_docs.select("doc_id", "text").unionByName(batch_docs.select("doc_id", "text")), pairs, pairs.count())
-    # A digest whose bytes differ keeps its two sides apart; with a null doc_id the texts cannot be fetched, and the digest decides.
-    apart = scratch.save(equal.where(~F.col("same")).select("sha", F.lit(True).alias("apart")), "apart")
-    both = snap.withColumn("side", F.lit(0)).unionByName(batch.withColumn("side", F.lit(1))).join(apart, "sha", "left")
-    group = F.when(F.col("apart"), F.col("side")).otherwise(F.lit(-1)).alias("group")
-    merged = both.groupBy("sha", group).agg(F.sum("n").alias("group_size"), F.min("best").getField("doc_id").alias("keep_id"))
-    keyed = rows if apart.isEmpty() else rows.join(apart, "sha", "left")
-    group = F.lit(-1) if apart.isEmpty() else F.when(F.col("apart"), F.col("side")).otherwise(F.lit(-1))
-    return (
-        keyed.withColumn("group", group)
-        .join(merged, ["sha", "group"])
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    )
+    asked = scratch.save(screen(batch, filters, buckets), "asked")
+    # Only positives meet the snapshot.
+    positive = batch.join(bounded(asked.where("maybe").select("sha")), "sha", "left_semi")
+    old = snap.select("sha", F.col("n").alias("snap_n"), F.col("best").alias("snap_best"))
+    pairs = scratch.save(old.join(bounded(scratch.save(positive, "positive")), "sha"), "pairs")
+    ids = pairs.select("sha", F.col("snap_best.doc_id").alias("snap_id"), F.col("best.doc_id").alias("batch_id"))
+    equal = same_bytes(snapshot_docs.select("doc_id", "text").unionByName(batch_docs.select("doc_id", "text")), ids, pairs.count())
+    # With a null doc_id the texts cannot be fetched, and the digest decides.
+    pairs = pairs.join(equal.where(~F.col("same")).select("sha"), "sha", "left_anti")
+    merged = scratch.save(pairs.select("sha", (F.col("n") + F.col("snap_n")).alias("both"), F.least("best", "snap_best").alias("first")), "merged")
+    group_size, keep_id = F.coalesce("both", "n").alias("group_size"), F.coalesce("first", "best").getField("doc_id").alias("keep_id")
+    new = scratch.save(batch.join(bounded(merged), "sha", "left").select("sha", group_size, keep_id), "batch-groups")
+    known = scratch.save(snap.join(bounded(merged), "sha", "left").select("sha", group_size, keep_id), "snapshot-groups")
+    found = rows.where("side = 0").join(known, "sha").unionByName(rows.where("side = 1").join(new, "sha"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

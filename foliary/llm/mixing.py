@@ -11,7 +11,7 @@ The budget is a number of tokens, or by default the smallest that holds every do
 at least once, so that nothing is dropped. Tokens are white-space separated words.
 
 No step orders a whole source: running sums go over blocks, then inside each block.
-Everything is a built-in function; the sources' sums are one small row.
+Everything is a built-in function; sources are rows of a table, and the driver gets sums over it.
 
 Edge cases: null and empty texts have no tokens and take no budget: they come as often as
 the whole order does, at least once where the budget covers all; a source without tokens
@@ -21,6 +21,9 @@ repeat a doc_id are interchangeable; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +32,11 @@ from foliary.llm.scratch import Scratch
 
 BLOCK_DOCS = 512
 STEPS = 50
+#: Parts of the range of exponents in one pass for a target entropy.
+SECTIONS = 32
+#: Blocks of a strip, and rows that stand in one array.
+STRIP = 4096
+LIKE = 65_536
 #: Sources (about 100 bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -51,53 +59,55 @@ def measure(docs: DataFrame, seed: str) -> DataFrame:
     return docs.select("doc_id", source_of().alias("source"), tokens_of().alias("n_tokens"), order_key(seed).alias("key"))
 
 
-def total(values: Column, of=lambda x: x) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda sum_, x: sum_ + of(x))
-
-
-def powers(shares: Column, a: Column) -> Column:
-    """Normalised powers of the shares."""
-    raw = F.transform(shares, lambda q: F.pow(q, a))
-    return F.transform(raw, lambda x: x / total(raw))
-
-
-def temperature(shares: Column, max_repeats: float | None, entropy: float | None) -> Column:
-    """The exponent, by bisection on [0, 1]."""
-
-    def enough(a: Column) -> Column:
-        if entropy is not None:  # falls as the exponent grows
-            return total(powers(shares, a), lambda w: F.when(w > 0, -w * F.ln(w)).otherwise(0.0)) <= entropy * F.ln(F.size(shares).cast("double"))
-        ratios = F.zip_with(powers(shares, a), shares, lambda w, q: w / q)
-        return F.array_max(ratios) / F.array_min(ratios) <= max_repeats
-
-    def halve(range_: Column, _: Column) -> Column:
-        middle = (range_["low"] + range_["high"]) / 2
-        good = enough(middle)
-        return F.struct(F.when(good, range_["low"]).otherwise(middle).alias("low"), F.when(good, middle).otherwise(range_["high"]).alias("high"))
-
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)["high"]
-    return F.when(enough(F.lit(0.0)), F.lit(0.0)).otherwise(found)
+def bisect(enough: Callable[[float], bool]) -> float:
+    """The smallest exponent in [0, 1] that is enough."""
+    low, high = 0.0, 1.0
+    if enough(low):
+        return low
+    for _ in range(STEPS):
+        middle = (low + high) / 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def repeat_exponent(least: float, most: float, max_repeats: float) -> float:
+    """A power keeps the order of the shares, so the smallest and the largest tell how often one
+    source is repeated while another isn't."""
+    return bisect(lambda a: least ** (a - 1) / most ** (a - 1) <= max_repeats)
+
+
+def entropy_exponent(shares: DataFrame, entropy: float) -> float:
+    """The exponent at which the weights' entropy is `entropy` of the most possible. A pass over the
+    sources narrows the range by SECTIONS, so a few passes do, however many sources there are."""
+    low, high, size = 0.0, 1.0, shares.count()
+    for _ in range(-(-STEPS // (SECTIONS.bit_length() - 1))):
+        at = [low + (high - low) * k / SECTIONS for k in range(SECTIONS + 1)]
+        power = lambda a: F.pow("q", F.lit(a))
+        sums = shares.agg(*[f.alias(f"{x}{k}") for k, a in enumerate(at) for x, f in (("z", F.sum(power(a))), ("s", F.sum(power(a) * F.ln("q"))))]).first()
+        # The entropy of weights q^a / z falls as the exponent grows.
+        good = [log(sums[f"z{k}"]) - a * sums[f"s{k}"] / sums[f"z{k}"] <= entropy * log(size) for k, a in enumerate(at)]
+        if good[0]:
+            return low
+        k = good.index(True) if True in good else SECTIONS
+        low, high = at[k - 1], at[k]
+    return high
 
 
 def source_plan(sources: DataFrame, max_repeats: float | None, entropy: float | None, budget: int | None) -> DataFrame:
-    """source, docs, tokens, weight, whole (times through the whole order), rest (tokens after that)."""
-    listed = F.array_sort(F.collect_list(F.when(F.col("tokens") > 0, F.struct("source", "tokens"))))
-    row = sources.agg(listed.alias("listed"))
-    row = row.withColumn("n", F.aggregate("listed", F.lit(0).cast("long"), lambda s, x: s + x["tokens"]))
-    row = row.withColumn("shares", F.transform("listed", lambda x: x["tokens"] / F.col("n").cast("double")))
-    row = row.withColumn("weights", powers(F.col("shares"), temperature(F.col("shares"), max_repeats, entropy)))
-    covering = F.array_max(F.zip_with("listed", "weights", lambda x, w: x["tokens"] / w))
-    row = row.withColumn("budget", covering if budget is None else F.lit(float(budget)))
-    planned = row.select("budget", F.explode(F.arrays_zip("listed", "weights")).alias("x")).select(F.col("x.listed.source").alias("source"), F.col("x.weights").alias("weight"), "budget")
-    share = F.round(F.coalesce("weight", F.lit(0.0)) * F.coalesce("budget", F.lit(0.0))).cast("long")
+    """source, docs, tokens, weight, whole (times through the whole order), rest (tokens after that).
+    sources: a written table. A few sums over it come to the driver, no source does."""
+    n = sources.agg(F.sum("tokens")).first()[0] or 0
+    shares = sources.where("tokens > 0").withColumn("q", F.col("tokens") / F.lit(float(n)))
+    least, most = shares.agg(F.min("q"), F.max("q")).first()
+    a = 1.0 if not n else entropy_exponent(shares, entropy) if entropy is not None else repeat_exponent(least, most, max_repeats)
+    power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(n)), F.lit(a)))
+    weight = F.coalesce(power / F.lit(sources.agg(F.sum(power)).first()[0] or 1.0), F.lit(0.0))
+    if budget is None:
+        budget = sources.agg(F.max(F.when(weight > 0, F.col("tokens") / weight))).first()[0]
+    share = F.round(F.col("weight") * F.lit(float(budget or 0))).cast("long")
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("share") / F.col("tokens"))).otherwise(1).cast("long")
-    return (
-        sources.join(planned, "source", "left")
-        .withColumn("share", share)
-        .withColumn("whole", whole)
-        .select("source", "docs", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), "whole", F.when(F.col("tokens") > 0, F.col("share") - F.col("whole") * F.col("tokens")).otherwise(0).cast("long").alias("rest"))
-    )
+    rest = F.when(F.col("tokens") > 0, F.col("share") - F.col("whole") * F.col("tokens")).otherwise(0).cast("long")
+    return sources.withColumn("weight", weight).withColumn("share", share).withColumn("whole", whole).select("source", "docs", "tokens", "weight", "whole", rest.alias("rest"))
 
 
 def placed(docs: DataFrame, scratch: Scratch, max_repeats: float | None, entropy: float | None, budget: int | None, seed: str) -> DataFrame:
@@ -108,13 +118,25 @@ def placed(docs: DataFrame, scratch: Scratch, max_repeats: float | None, entropy
     plan = scratch.save(source_plan(sources, max_repeats, entropy, budget), "plan")
     plan = F.broadcast(plan) if sources.count() <= BROADCAST_SOURCES else plan
     blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long")
-    rows = rows.join(plan, "source").withColumn("block", F.shiftright(F.shiftright("key", 30) * blocks, 30))
-    sums = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # Rows of one doc_id and size are interchangeable: one row until they have their places.
+    like = rows.groupBy("source", "key", "doc_id", "n_tokens").agg(F.count("*").alias("like"))
+    like = like.join(plan, "source").withColumn("block", F.shiftright(F.shiftright("key", 30) * blocks, 30))
+    like = like.withColumn("n", F.col("n_tokens") * F.col("like"))
+    sums = like.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    # A source's blocks go into strips, so that no task has all blocks of a source.
+    strip = F.floor(F.col("block") / STRIP).alias("strip")
+    strips = sums.groupBy("source", strip).agg(F.sum("n").alias("n"))
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    strips = strips.select("source", "strip", F.coalesce(F.sum("n").over(earlier("source", "strip")), F.lit(0)).alias("ahead"))
+    sums = sums.withColumn("strip", strip).select("source", "strip", "block", F.coalesce(F.sum("n").over(earlier("source", "strip", "block")), F.lit(0)).alias("inside")).join(strips, ["source", "strip"])
+    sums = sums.select("source", "block", (F.col("ahead") + F.col("inside")).alias("before"))
     inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    place = (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).cast("long")
-    return rows.join(sums, ["source", "block"]).withColumn("place", place)
+    first = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    found = like.join(sums, ["source", "block"]).withColumn("first", first)
+    # Twice, so that no row holds the places of very many.
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("like") - 1, F.lit(LIKE).cast("long"))))
+    found = found.withColumn("nth", F.explode(F.sequence("part", F.least(F.col("part") + LIKE, "like") - 1)))
+    return found.withColumn("place", (F.col("first") + F.col("nth") * F.col("n_tokens")).cast("long")).drop("like", "n", "first", "part", "nth")
 
 
 def mixture(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: str = "mix") -> DataFrame:
@@ -130,23 +152,22 @@ def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None
     the place where their source stops: these are numbered, fewest tokens first."""
     scratch = Scratch(docs.sparkSession, "mix")
     rows = placed(docs, scratch, max_repeats, entropy, budget, seed)
-    same = Window.partitionBy("source", "block", "key", "doc_id").orderBy("n_tokens", "place")
-    rows = rows.withColumn("nth", F.row_number().over(same))
     more = F.col("place") < F.col("rest")
-    stop = F.min(F.when(~more, F.struct("key", "doc_id")))
-    last = F.max(F.when(more, F.struct("key", "doc_id", "nth")))
-    stops = rows.groupBy(F.col("source").alias("__source")).agg(F.first("whole").alias("__whole"), stop.alias("__stop"), last.alias("__last"))
-    split = (F.col("__stop.key") == F.col("__last.key")) & F.col("__stop.doc_id").eqNullSafe(F.col("__last.doc_id"))
-    stops = stops.select("__source", "__whole", "__stop", F.when(split, F.col("__last.nth")).alias("__most"))
+    rows = rows.groupBy("source", "key", "doc_id").agg(F.first("whole").alias("whole"), F.sum(F.when(more, 1).otherwise(0)).alias("come"), F.count("*").alias("all"))
+    # The first rows in order of which not all come, and how many of them do.
+    stop = F.min(F.when(F.col("come") < F.col("all"), F.struct("key", "doc_id", "come")))
+    stops = rows.groupBy(F.col("source").alias("__source")).agg(F.first("whole").alias("__whole"), stop.alias("__stop"))
+    most = F.when(F.col("__stop.come") > 0, F.col("__stop.come"))
+    stops = stops.select("__source", "__whole", F.struct("__stop.key", "__stop.doc_id").alias("__at"), F.col("__stop").isNotNull().alias("__stops"), most.alias("__most"))
     stops = scratch.save(stops, "stops")
     divided = not stops.where("__most IS NOT NULL").isEmpty()
     stops = F.broadcast(stops) if stops.count() <= BROADCAST_SOURCES else stops
     tagged = docs.withColumn("__key", order_key(seed)).join(stops, source_of() == F.col("__source"))
     at = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("doc_id"))
-    whole_rows = tagged.withColumn("__more", F.coalesce(at < F.col("__stop"), F.lit(True)))
+    whole_rows = tagged.withColumn("__more", ~F.col("__stops") | F.coalesce(at < F.col("__at"), F.lit(False)))
     if divided:
-        at_stop = F.coalesce(F.col("__most").isNotNull() & (at == F.col("__stop")), F.lit(False))
-        order = Window.partitionBy("__source").orderBy(tokens_of())
+        at_stop = F.coalesce(F.col("__most").isNotNull() & (at == F.col("__at")), F.lit(False))
+        order = Window.partitionBy("__source").orderBy(tokens_of())  # rows of one doc_id of each source
         numbered = tagged.where(at_stop).withColumn("__more", F.row_number().over(order) <= F.col("__most"))
         whole_rows = whole_rows.where(~at_stop).unionByName(numbered)
     copies = (F.col("__whole") + F.col("__more").cast("long")).cast("int")

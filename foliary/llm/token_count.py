@@ -11,7 +11,8 @@ name the documents that the scan has found.
 Edge cases: null and empty texts are documents of one id (the end id); ids after a
 shard's last end id are an unfinished document, returned with complete = false and a
 null doc_id; an empty table has no shards and no rows; null and repeated doc_ids are
-carried as they are; other columns are ignored.
+carried as they are; other columns are ignored. The end id's string in a text is encoded as
+ordinary text, unlike by the library's default, so that it ends no document.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def write_flat(docs: DataFrame, scratch: Scratch, tokenizer: str, block_ids: int
         for batch in batches:
             doc_ids, texts = tokens.columns(batch, "doc_id", "text")
             names += doc_ids
-            rest = np.concatenate([rest, *(x.astype(dtype) for x in tokens.encode(texts, tokenizer, end))])
+            rest = np.concatenate([rest, *(x.astype(dtype) for x in tokens.encode(texts, tokenizer, end, ordinary=True))])
             while len(rest) >= block_ids:
                 yield row(shard, block, rest[:block_ids].tobytes(), None)
                 block, rest = block + 1, rest[block_ids:]

@@ -5,6 +5,10 @@ spent on words it has just seen. Byte-level vocabularies split a text before eve
 space that stands between two other characters, so a text's ids are those of its
 space-separated chunks one after another. Each task keeps the ids of the chunks it has
 met, within a bound, and asks the library for new ones only.
+
+A text that holds the string of an added token, such as the end mark, is encoded as a whole,
+as the library does by default: the string becomes that token. With `ordinary` it is text
+like any other, so that no text gives the end mark's id.
 """
 
 from __future__ import annotations
@@ -48,11 +52,13 @@ class Odd(Exception):
 class Chunks(dict):
     """Ids, as bytes, of ' ' + chunk."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (ordinary and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.chars = self.tokenizer.model, _char_of_byte()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -105,6 +111,8 @@ class Chunks(dict):
         return ids
 
     def text(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.plain(text)
         first, *rest = text.split(" ")
         try:
             if text[:1].isspace() or first[-1:].isspace() or (rest and not first):
@@ -117,8 +125,8 @@ class Chunks(dict):
 
 
 @lru_cache(maxsize=2)
-def _chunks(path: str) -> Chunks:
-    return Chunks(path)
+def _chunks(path: str, ordinary: bool = False) -> Chunks:
+    return Chunks(path, ordinary)
 
 
 def vocabulary_size(path: str) -> int:
@@ -129,10 +137,10 @@ def token_id(path: str, token: str) -> int:
     return _chunks(path).tokenizer.token_to_id(token)
 
 
-def encode(texts: list[str | None], path: str, end: int | None) -> list[np.ndarray]:
+def encode(texts: list[str | None], path: str, end: int | None, ordinary: bool = False) -> list[np.ndarray]:
     """Ids of each text (null: empty), with the id `end` appended unless it is None; 16 bits
-    each if the vocabulary fits, else 32."""
-    chunks = _chunks(path)
+    each if the vocabulary fits, else 32. ordinary: added tokens' strings are text."""
+    chunks = _chunks(path, ordinary)
     tail = b"" if end is None else np.array([end], dtype=chunks.dtype).tobytes()
     return [np.frombuffer(chunks.text(t or "") + tail, dtype=chunks.dtype) for t in texts]
 

@@ -27,6 +27,7 @@ def odd_docs(spark):
         (None, "one", None, None, None),
         (10, "12 345 !!", "de", "b", 1),
         (11, "All rights reserved. CC BY, cc by-sa; General Public License", "en", "c", 1),
+        (12, "end <|endoftext|> and more\u0085\u2028 all rights reserved", "en", "c", 1),
     ]
     return spark.createDataFrame([(*x, "x", 5) for x in rows], SCHEMA)
 

@@ -60,3 +60,20 @@ def test_unequal_bytes_stay_apart(spark, monkeypatch):
 
     got = exact_dedup.exact_groups(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), Scratch(spark, "t")).collect()
     assert {r.doc_id: r.keep_id for r in got} == {k: 2 - k % 2 for k in range(1, 9)}
+
+
+@pytest.mark.parametrize("answer", [False, True])
+def test_the_filters_decide(docs, monkeypatch, answer):
+    """A filter that knows nothing leaves the batch's classes apart from the snapshot's; one that
+    says maybe to all costs comparisons only."""
+    df = docs.unionByName(docs.selectExpr("doc_id + 100000 AS doc_id", "text", "lang", "source", "n_chars"))
+    monkeypatch.setattr(exact_dedup, "probe_filter", lambda keys, *f, yes=answer: np.full(len(keys), yes))
+    got = sorted((tuple(r) for r in exact_dedup.exact_dedup(df).collect()), key=str)
+    assert (got == sorted(brute(df.collect()), key=str)) == answer
+
+
+def test_large_batches_are_shared_out(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_PROBE", 7)
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_FILTER", 30)
+    got = [tuple(r) for r in exact_dedup.exact_dedup(docs).collect()]
+    assert sorted(got, key=str) == sorted(brute(docs.collect()), key=str)

@@ -60,6 +60,45 @@ def test_target_entropy(docs):
     assert abs(-sum(w * math.log(w) for w in got.values()) / math.log(len(got)) - 0.999) < 0.001
 
 
+def test_many_sources(spark):
+    """Thousands of sources take no longer than a few; weights are the powers of the shares."""
+    import time
+
+    df = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 37 AS int)) AS text", "concat('s', id % 3000) AS source")
+    for options in ({"max_repeats": 1.5}, {"max_repeats": None, "entropy": 0.99}):
+        began = time.time()
+        got = mixing.mixture(df, **options).collect()
+        assert time.time() - began < 120 and len(got) == 6000
+        weights = {r.source: r.weight for r in got}
+        assert abs(sum(weights.values()) - 1) < 1e-2 and len(weights) == 3000
+
+
+def test_entropy_of_two(spark):
+    import math
+
+    df = spark.createDataFrame([(1, "a " * 90, "x"), (2, "a " * 10, "y")], "doc_id long, text string, source string")
+    got = {r.source: r.weight for r in mixing.mixture(df, None, entropy=0.9).collect()}
+    assert abs(-sum(w * math.log(w) for w in got.values()) / math.log(2) - 0.9) < 1e-4
+
+
+@pytest.mark.parametrize("like", [3, 65_536])
+def test_rows_of_one_doc_id(spark, like, monkeypatch):
+    monkeypatch.setattr(mixing, "LIKE", like)
+    monkeypatch.setattr(mixing, "STRIP", 2)
+    rows = [(None, f"{'a ' * (k % 3)}b", "x") for k in range(40)] + [(7, "c c", "x")] * 9 + [(k, "d " * 50, "y") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(df, 2.0, budget=130).collect()
+    for source in ("x", "y"):
+        own = sorted((r.place, r.n_tokens) for r in got if r.source == source)
+        at = 0
+        for place, n in own:
+            assert place == at
+            at += n
+    mixed = mixing.mix(df, 2.0, budget=130)
+    count = lambda rows: sorted(rows, key=str)
+    assert count((r.doc_id, r.source, len(r.text.split())) for r in mixed.collect()) == count((r.doc_id, r.source, r.n_tokens) for r in got for _ in range(r.copies))
+
+
 def test_budget_can_be_less_than_all(docs):
     got = mixing.mixture(docs, 2.0, budget=1000).collect()
     assert {r.copies for r in got} == {0, 1}

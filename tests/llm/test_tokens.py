@@ -15,6 +15,16 @@ PATH = tokens.default_path()
 
 @pytest.fixture(scope="module")
 def library():
+    """The library as it is."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def ordinary():
+    """With special tokens' strings as ordinary text."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
@@ -26,13 +36,15 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
-def test_chunks_equal_whole_texts(library):
+def test_chunks_equal_whole_texts(library, ordinary):
     r = random.Random(3)
     letters = " \n\t.ab'é1!|sS　日"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(5000)]
-    texts += ["<|endoftext|> x", "a <|endoftext|>", "don't  we'll", " lead", "trail ", "a\x1cb \x1c c", "é x"]
-    for text, ids in zip(texts, tokens.encode(texts, PATH, None), strict=True):
-        assert ids.tolist() == library(text), ascii(text)
+    texts += ["<|endoftext|> x", "a <|endoftext|>", "a <|endoftext|> b", "<|endoftext|>" * 3, "<|endoftext| >", "don't  we'll", " lead", "trail ", "a\x1cb \x1c c", "é x"]
+    for want, flag in ((library, False), (ordinary, True)):
+        for text, ids in zip(texts, tokens.encode(texts, PATH, None, flag), strict=True):
+            assert ids.tolist() == want(text), ascii(text)
+    assert 50256 in library("a <|endoftext|> b") and 50256 not in ordinary("a <|endoftext|> b")
 
 
 def test_chunk_memory_is_bounded(monkeypatch, library):
@@ -73,7 +85,7 @@ def test_token_ids_small_blocks(docs, library, spark):
 
 @pytest.mark.parametrize("block_ids", [7, 1000, 1 << 17])
 @pytest.mark.parametrize("name", ["docs", "odd_docs"])
-def test_token_counts(name, block_ids, request, library, spark):
+def test_token_counts(name, block_ids, request, ordinary, spark):
     df = request.getfixturevalue(name)
     if block_ids == 7:
         df = df.where("length(text) < 3000 OR text IS NULL")
@@ -81,7 +93,7 @@ def test_token_counts(name, block_ids, request, library, spark):
     flat = token_count.write_flat(df, scratch, PATH, block_ids)
     got = token_count.count_tokens(flat, 50256, "<u2", scratch).collect()
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
-    assert sorted([(r.doc_id, r.n_tokens) for r in got], key=key) == sorted([(r.doc_id, len(library(r.text)) + 1) for r in df.collect()], key=key)
+    assert sorted([(r.doc_id, r.n_tokens) for r in got], key=key) == sorted([(r.doc_id, len(ordinary(r.text)) + 1) for r in df.collect()], key=key)
     assert all(r.complete for r in got)
     for shard in {r.shard for r in got}:
         own = sorted((r.ordinal, r.start, r.n_tokens) for r in got if r.shard == shard)
