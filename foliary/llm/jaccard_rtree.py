@@ -9,16 +9,19 @@ One R-tree over a corpus would compare nearly everything, as no short vector sep
 long texts. So exact keys deal the points out first: within a band of sizes, shingles are
 hashed into more groups than two linked sets may differ in, so that such sets agree on
 some whole group; a set emits the hashes of its groups that come first in one global
-order, as many as a prefix filter needs. Sets that keys connect, directly or through
-others, are a family, and each family has an R-tree of its own: no link leaves a family.
+order, as many as a prefix filter needs. The sets of a key have an R-tree; pairs that it
+lets through, directly or through others, make families, and no link leaves a family.
 
-Equal sets are one class. Within a family, pairs of one component are skipped as soon as a
-verified link has joined them, and only the links that join components are given out, at
-most one a class. So a group of n near copies has n rows in its family's task and at most
-n - 1 after it, and no link between texts is lost. A family too large for a task is split
-into buckets, and each pair of buckets is a task (a cell) with an R-tree for either side.
+Equal sets are one class. A family's sets are brought together once, for an R-tree of their
+own whose pairs are verified. Pairs of one component are skipped as soon as verified links
+have joined them, and only the links that join components are given out, at most one a
+class; so are a key's pairs. A group of n near copies has n rows in its family's task and
+at most n - 1 after it, and no link between texts is lost. A key or a family too large for
+a task is split into buckets, and each pair of buckets is a task (a cell) with an R-tree
+for either side.
 
-Hot keys are dealt by ranges of (key, class), so that one key can spread over many tasks.
+Hot keys are dealt by ranges of (key, class), so that one key can spread over many tasks;
+keys that have the same classes count once.
 
 Edge cases: null and empty texts and texts of white space have no shingles and stay
 alone; a text with fewer words than a shingle is one shingle; a null doc_id is never a
@@ -53,6 +56,8 @@ CELL_SHINGLES = 1 << 19
 LEAF = 32
 #: Pairs that are verified at once.
 BATCH = 1 << 14
+#: Classes of a key that are one leaf; such keys are looked through many at once.
+FEW = 6
 #: Bytes of a cell's table of shared shingles; beyond it sets are compared one by one.
 TABLE_BYTES = 64 << 20
 #: Bits of a key: a chance match only enlarges a family, and short keys shuffle cheaper.
@@ -151,12 +156,16 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s, seed).sum(dtype=np.uint64).view(np.int64)) for seed in (5, 6))
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    return np.bincount((mix(s, 4) % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
+
+
 def longs(xs: list[np.ndarray]) -> pa.Array:
     return pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
 
 
 def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
-    """row (a number of its own), doc_id, mark (the text's hash), n, hi, lo (the set's hash), keys of every row."""
+    """row (a number of its own), doc_id, mark (the text's hash), n, hi, lo (the set's hash), point, keys of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = Words(), TaskContext.get().partitionId() << 36
@@ -164,46 +173,100 @@ def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
             own = [shingles(t, k, words) for t in tokens.columns(batch, "text")[0]]
             hi, lo = np.array([set_hash(s) for s in own], dtype=np.int64).reshape(-1, 2).T
             columns = [pa.array(np.arange(row, row + len(own))), batch.column("doc_id"), batch.column("mark"), pa.array(list(map(len, own)), pa.int64()), pa.array(hi), pa.array(lo)]
-            columns.append(longs([limits.keys(s) for s in own]))
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n", "hi", "lo", "keys"])
+            columns += [pa.array([point(s).tobytes() for s in own], pa.binary()), longs([limits.keys(s) for s in own])]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n", "hi", "lo", "point", "keys"])
             row += len(own)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(read, "row long, doc_id long, mark long, n long, hi long, lo long, keys array<long>")
+    return rows.mapInArrow(read, "row long, doc_id long, mark long, n long, hi long, lo long, point binary, keys array<long>")
 
 
-def key_edges(dealt: DataFrame, scratch: Scratch) -> DataFrame:
-    """dealt: class, key -> edges (a, b) that connect all classes of each key.
+def whole_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool, bool]]:
+    """Of sorted rows: columns of whole runs of equal `by`, where each run begins and the end, and
+    whether the first run is the task's first and the last one its last."""
+    held: list[pa.RecordBatch] = []
+    first = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(n).to_numpy() for n in by]
+        if held and all(held[-1].column(n)[-1].as_py() == k[-1] for n, k in zip(by, keys, strict=True)):
+            held.append(batch)
+            continue
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if held or len(cut):
+            last = int(cut[-1]) if len(cut) else 0
+            table = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            if table.num_rows:
+                yield (*columns_of(table, by), first, False)
+                first = False
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield (*columns_of(pa.Table.from_batches(held).combine_chunks(), by), first, True)
 
-    Rows are dealt by ranges of (key, class). A run is what a task has of one key; its first
-    class is connected with the others, and the first classes of a key's runs with each other:
-    only a task's first and last run can go on in another.
-    """
+
+def columns_of(table: pa.Table, by: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    own = [np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) if pa.types.is_binary(c.type) else c.to_numpy() for c in table.columns]
+    keys = [table.column(n).to_numpy() for n in by]
+    return own, np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, [table.num_rows]])
+
+
+def shared_groups(dealt: DataFrame) -> DataFrame:
+    """dealt: key, class -> group, class: the classes of each key that more than one has. Keys with
+    the same classes are one group; a key that may go on in another task is one by itself."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = lead = None
-        send = lambda a, b, key: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, own = (batch.column(n).to_numpy() for n in ("key", "class"))
-            if now is None:
-                now, lead = key[0], own[0]
-                yield send([lead], [lead], [now])
-            start = np.append(key[0] != now, key[1:] != key[:-1])
-            first = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
-            leads = np.where(first < 0, lead, own[first])
-            pairs = np.unique(np.stack([leads, own], axis=1)[leads != own], axis=0)
-            yield send(pairs[:, 0], pairs[:, 1], [None] * len(pairs))
-            now, lead = key[-1], leads[-1]
-        if now is not None:
-            yield send([lead], [lead], [now])
-
-    spread = dealt.repartitionByRange("key", "class").sortWithinPartitions("key", "class")
-    found = scratch.save(spread.select("key", "class").mapInArrow(runs, "a long, b long, key long").distinct(), "runs")
-    ends = found.where("key is not null").select("key", "a")  # two a task
-    stitched = ends.join(ends.groupBy("key").agg(F.min("a").alias("lead")), "key").where("a <> lead").select("lead", "a")
-    return found.where("key is null").select("a", "b").union(stitched)
+        for (key, own), at, first, last in whole_runs(batches, "key"):
+            size = np.diff(at)
+            group = mix(np.add.reduceat(mix(own.view(np.uint64), 7), at[:-1]) + size.astype(np.uint64), 8).view(np.int64)
+            edge = np.zeros(len(size), dtype=bool)
+            edge[0], edge[-1] = first, last
+            group[edge] = key[at[:-1][edge]]
+            keep = np.repeat((size > 1) | edge, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)[keep]), pa.array(own[keep])], names=["group", "class"])
+
+    spread = dealt.select("key", "class").repartitionByRange("key", "class").sortWithinPartitions("key", "class")
+    return spread.mapInArrow(runs, "group long, class long").distinct()
+
+
+def cells(rows: DataFrame, by: str, buckets: DataFrame) -> DataFrame:
+    """rows with cell and bucket; buckets: a written table of those values of `by` that have several."""
+    rows = rows.join(bounded(buckets), by, "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("class"), "buckets").cast("long"))
+    other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1), lambda x: F.least("bucket", x) * F.lit(1 << 31) + F.greatest("bucket", x))
+    return rows.withColumn("cell", F.explode(other)).drop("buckets")
+
+
+def family_edges(shared: DataFrame, classes: DataFrame, limits: Limits, scratch: Scratch) -> DataFrame:
+    """Of the classes of each group, pairs (a, b) whose points allow a link: enough of them to
+    connect all that such pairs connect."""
+    counts = shared.groupBy("group").agg(F.ceil(F.count("*") / CELL).cast("long").alias("buckets")).where("buckets > 1")
+    rows = cells(shared, "group", scratch.save(counts, "large-groups"))
+    wanted = scratch.save(classes.select("class", "n", "point").join(shared.select("class").distinct(), "class"), "points")
+    rows = rows.join(bounded(wanted), "class").select("group", "cell", "bucket", "class", "n", "point")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, bucket, own, n, points), at, _, _ in whole_runs(batches, "group", "cell"):
+            size = np.diff(at)
+            block = np.repeat(np.arange(len(size)), size)
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            for step in range(1, FEW):
+                i = np.flatnonzero((block[step:] == block[:-step]) & (size[block[step:]] <= FEW))
+                j = i + step
+                overlap = np.minimum(points[i], points[j]).sum(axis=1)
+                good = (overlap >= limits.need(n[i] + n[j])) & (np.minimum(n[i], n[j]) * limits.den >= np.maximum(n[i], n[j]) * limits.num)
+                found.append(np.stack([own[i[good]], own[j[good]]], axis=1))
+            for k in np.flatnonzero(size > FEW):
+                part = slice(at[k], at[k + 1])
+                side = bucket[part] if len(np.unique(bucket[part])) > 1 else None
+                pairs = connecting(tree_pairs(points[part], n[part], comp := np.arange(size[k]), limits, side), comp)
+                found.append(own[part][np.array(pairs, dtype=np.int64).reshape(-1, 2)])
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.repartition("group", "cell").sortWithinPartitions("group", "cell").mapInArrow(look, "a long, b long").distinct()
 
 
 # --- the R-tree -----------------------------------------------------------------
@@ -288,35 +351,44 @@ def overlaps(flat: np.ndarray, n: np.ndarray) -> Callable[[np.ndarray, np.ndarra
     return count
 
 
-def joining_links(sets: list[np.ndarray], limits: Limits, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between sets, with sides only between those of both, that join all which links connect: a forest."""
-    n, flat = np.array(list(map(len, sets))), np.concatenate(sets)
-    group = np.repeat(np.arange(len(n)), n) * GROUPS + (mix(flat, 4) % U(GROUPS)).astype(np.int64)
-    points = np.bincount(group, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
-    overlap, comp, out = overlaps(flat, n), np.arange(len(n)), []
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def settle() -> None:
-        i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        waiting.clear()
-        apart = comp[i] != comp[j]
-        i, j = i[apart], j[apart]
-        both = overlap(i, j)
-        good = limits.den * both >= limits.num * (n[i] + n[j] - both)
-        for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+def connecting(pairs: Iterator[tuple[np.ndarray, np.ndarray]], comp: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join components; comp keeps up with them."""
+    out = []
+    for i, j in pairs:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
             if comp[x] != comp[y]:
                 comp[comp == comp[y]] = comp[x]
                 out.append((x, y))
-
-    for pair in tree_pairs(points, n, comp, limits, side):
-        waiting.append(pair)
-        if sum(len(x) for x, _ in waiting) >= BATCH:
-            settle()
-    if waiting:
-        settle()
     return out
 
 
+def joining_links(sets: list[np.ndarray], limits: Limits, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets, with sides only between those of both, that join all which links connect: a forest."""
+    n, flat = np.array(list(map(len, sets))), np.concatenate(sets)
+    points = np.array([point(s) for s in sets], dtype=np.int64)
+    overlap, comp = overlaps(flat, n), np.arange(len(n))
+
+    def verified() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs = tree_pairs(points, n, comp, limits, side)
+        while True:
+            pair = next(pairs, None)
+            if pair is not None:
+                waiting.append(pair)
+            if waiting and (pair is None or sum(len(x) for x, _ in waiting) >= BATCH):
+                i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting.clear()
+                apart = comp[i] != comp[j]
+                i, j = i[apart], j[apart]
+                both = overlap(i, j)
+                good = limits.den * both >= limits.num * (n[i] + n[j] - both)
+                yield i[good], j[good]
+            if pair is None:
+                return
+
+    return connecting(verified(), comp)
+
+
 def search(rows: DataFrame, k: int, limits: Limits) -> DataFrame:
     """rows: family, cell, bucket, class, text, sorted by family and cell -> links a, b."""
 
@@ -384,15 +456,17 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     the last two are null for rows without shingles."""
     limits, scratch = Limits(num, den), Scratch(docs.sparkSession, "jaccard")
     whole = scratch.save(measured(docs, k, limits), "whole")
-    rows = scratch.save(whole.drop("keys"), "rows")
+    rows = scratch.save(whole.drop("keys", "point"), "rows")
     # A class is one set; its first row gives it a number and a text.
-    first = F.min(F.struct("row", "doc_id", "mark")).alias("first")
-    classes = rows.where("n > 0").groupBy("n", "hi", "lo").agg(first, F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes.select("n", "hi", "lo", F.col("first.row").alias("class"), F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark"), "rep"), "classes")
+    first = F.min(F.struct("row", "doc_id", "mark", "point")).alias("first")
+    classes = whole.drop("keys").where("n > 0").groupBy("n", "hi", "lo").agg(first, F.min("doc_id").alias("rep"))
+    classes = scratch.save(classes.select("n", "hi", "lo", F.col("first.row").alias("class"), F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark"), F.col("first.point").alias("point"), "rep"), "classes")
     copies = scratch.save(rows.where("n > 0").select("row").join(classes.select(F.col("class").alias("row")), "row", "left_anti"), "copies")
     dealt = whole.select("row", "keys").join(bounded(copies), "row", "left_anti").select(F.col("row").alias("class"), F.explode("keys").alias("key"))
-    edges = scratch.save(key_edges(dealt, scratch), "edges")
-    scratch.drop("whole", "copies", "runs")
+    shared = scratch.save(shared_groups(dealt), "shared")
+    scratch.drop("whole", "copies")
+    edges = scratch.save(family_edges(shared, classes, limits, scratch), "edges")
+    scratch.drop("shared", "large-groups", "points")
     family = scratch.save(components(edges, scratch, "a").toDF("class", "family"), "family")
     links = scratch.save(search(family_cells(docs, family, classes, scratch), k, limits), "links")
     comp = scratch.save(components(links, scratch, "b").toDF("class", "comp"), "comp")
@@ -406,16 +480,12 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def family_cells(docs: DataFrame, family: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """family, cell, bucket, class, text of the classes (class, family), for `search`."""
-    wanted = family.join(classes.select("class", "n", "own_id", "own_mark"), "class")
-    sizes = wanted.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("buckets"))
+    wanted = scratch.save(family.join(classes.select("class", "n", "own_id", "own_mark"), "class"), "wanted")
+    sizes = wanted.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("long").alias("buckets"))
     large = scratch.save(sizes.where("buckets > 1"), "large")
-    wanted = scratch.save(wanted.join(bounded(large), "family", "left").select("family", "class", "own_id", "own_mark", F.coalesce("buckets", F.lit(1)).alias("buckets")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("m"), "text")
-    rows = texts.join(bounded(wanted), F.expr("m = own_mark and d <=> own_id"))
-    bucket = F.pmod(F.xxhash64("class"), "buckets").cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("buckets") - 1), lambda x: F.least(bucket, x).cast("long") * F.lit(1 << 31) + F.greatest(bucket, x))
-    rows = rows.select("family", F.explode(other).alias("cell"), bucket.alias("bucket"), "class", "text")
-    return rows.repartition("family", "cell").sortWithinPartitions("family", "cell")
+    rows = texts.join(bounded(wanted), F.expr("m = own_mark and d <=> own_id")).select("family", "class", "text")
+    return cells(rows, "family", large).repartition("family", "cell").sortWithinPartitions("family", "cell")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -126,11 +126,30 @@ def test_large_families_are_split_into_cells(spark, monkeypatch, shingles):
     assert sorted(tuple(r) for r in jr.jaccard_components(df).collect()) == sorted(brute(df.collect(), 4, 85, 100))
 
 
-def test_keys_over_many_tasks_are_stitched(spark):
-    rows = [(c, key) for key in (5, 6) for c in range(300)] + [(1000, 7), (1001, 7), (1002, 8)]
-    edges = jr.key_edges(spark.createDataFrame(rows, "class long, key long"), Scratch(spark, "t"))
-    got = {r.node: r.comp for r in jr.components(edges, Scratch(spark, "t"), "c").collect()}
-    assert got == dict.fromkeys(range(300), 0) | {1000: 1000, 1001: 1000}
+def test_keys_over_many_tasks(spark):
+    """Runs of a key in several tasks are one group; keys with the same classes are one."""
+    rows = [(c, key) for key in (5, 6) for c in range(300)] + [(1000 + c, key) for key in (7, 8, 9) for c in range(3)] + [(2000, 10)]
+    df = spark.createDataFrame(rows, "class long, key long").repartition(7)
+    groups = {}
+    for r in jr.shared_groups(df).collect():
+        groups.setdefault(r.group, set()).add(getattr(r, "class"))
+    found = [g for g in groups.values() if len(g) > 1]
+    assert set(range(300)) in found and {1000, 1001, 1002} in found
+    assert all(g <= set(range(300)) or g == {1000, 1001, 1002} for g in found) and len(found) <= 6
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_whole_runs(size):
+    import pyarrow as pa
+
+    r = np.random.default_rng(size)
+    a, b = np.sort(r.integers(0, 12, 200)), np.zeros(200, dtype=np.int64)
+    table = pa.table({"a": a, "b": b, "v": np.arange(200)})
+    got = list(jr.whole_runs(iter(table.to_batches(max_chunksize=size)), "a", "b"))
+    assert np.concatenate([x[2] for x, *_ in got]).tolist() == list(range(200))
+    starts = [int(x[0][at]) for x, cut, *_ in got for at in cut[:-1]]
+    assert starts == sorted(set(a.tolist()))
+    assert [f for *_, f, _ in got] == [k == 0 for k in range(len(got))] and [z for *_, z in got] == [k == len(got) - 1 for k in range(len(got))]
 
 
 def test_chains_are_one_component(spark):
