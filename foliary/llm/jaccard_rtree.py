@@ -45,7 +45,9 @@ from pyspark.sql import functions as F
 from foliary.llm import tokens
 from foliary.llm.scratch import Scratch
 
-GROUPS = 32
+#: Groups of a point: the smallest of 32, 64, 128, ... that have at most so many shingles each on
+#: average. With a fixed number the counts of long texts would look alike.
+GROUPS, IN_GROUP = 32, 8
 #: Sets below this size use single shingles as keys.
 SMALL = 24
 BAND = 1.5
@@ -156,8 +158,19 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s, seed).sum(dtype=np.uint64).view(np.int64)) for seed in (5, 6))
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s, 4) % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def groups_of(n: int) -> int:
+    return GROUPS << max(0, int(np.ceil(np.log2(max(n, 1) / (GROUPS * IN_GROUP)))))
+
+
+def point(s: np.ndarray, groups: int) -> np.ndarray:
+    """Groups are leading bits of a hash, so that two neighbours are one group of the next coarser point."""
+    shift = U(64 - groups.bit_length() + 1)
+    return np.bincount((mix(s, 4) >> shift).astype(np.int64), minlength=groups)
+
+
+def coarser(points: list[np.ndarray], groups: int) -> np.ndarray:
+    """Points of `groups` groups or more, at that many, as rows."""
+    return np.array([p if len(p) == groups else p.reshape(groups, -1).sum(axis=1) for p in points], dtype=np.int32).reshape(-1, groups)
 
 
 def longs(xs: list[np.ndarray]) -> pa.Array:
@@ -173,7 +186,7 @@ def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
             own = [shingles(t, k, words) for t in tokens.columns(batch, "text")[0]]
             hi, lo = np.array([set_hash(s) for s in own], dtype=np.int64).reshape(-1, 2).T
             columns = [pa.array(np.arange(row, row + len(own))), batch.column("doc_id"), batch.column("mark"), pa.array(list(map(len, own)), pa.int64()), pa.array(hi), pa.array(lo)]
-            columns += [pa.array([point(s).tobytes() for s in own], pa.binary()), longs([limits.keys(s) for s in own])]
+            columns += [pa.array([point(s, groups_of(len(s))).astype("<u4").tobytes() for s in own], pa.binary()), longs([limits.keys(s) for s in own])]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n", "hi", "lo", "point", "keys"])
             row += len(own)
 
@@ -208,7 +221,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[li
 
 
 def columns_of(table: pa.Table, by: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray]:
-    own = [np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) if pa.types.is_binary(c.type) else c.to_numpy() for c in table.columns]
+    own = [[np.frombuffer(x, "<u4") for x in c.to_pylist()] if pa.types.is_binary(c.type) else c.to_numpy() for c in table.columns]
     keys = [table.column(n).to_numpy() for n in by]
     return own, np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, [table.num_rows]])
 
@@ -251,17 +264,23 @@ def family_edges(shared: DataFrame, classes: DataFrame, limits: Limits, scratch:
         for (_, _, bucket, own, n, points), at, _, _ in whole_runs(batches, "group", "cell"):
             size = np.diff(at)
             block = np.repeat(np.arange(len(size)), size)
-            found = [np.zeros((0, 2), dtype=np.int64)]
+            found, fine = [np.zeros((0, 2), dtype=np.int64)], np.array(list(map(len, points)))
             for step in range(1, FEW):
                 i = np.flatnonzero((block[step:] == block[:-step]) & (size[block[step:]] <= FEW))
                 j = i + step
-                overlap = np.minimum(points[i], points[j]).sum(axis=1)
-                good = (overlap >= limits.need(n[i] + n[j])) & (np.minimum(n[i], n[j]) * limits.den >= np.maximum(n[i], n[j]) * limits.num)
-                found.append(np.stack([own[i[good]], own[j[good]]], axis=1))
+                alike = np.minimum(n[i], n[j]) * limits.den >= np.maximum(n[i], n[j]) * limits.num
+                i, j = i[alike], j[alike]
+                for g in np.unique(groups := np.minimum(fine[i], fine[j])):
+                    x, y = i[groups == g], j[groups == g]
+                    rows_, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    table = coarser([points[r] for r in rows_], g)
+                    overlap = np.minimum(table[where[: len(x)]], table[where[len(x) :]]).sum(axis=1)
+                    good = overlap >= limits.need(n[x] + n[y])
+                    found.append(np.stack([own[x[good]], own[y[good]]], axis=1))
             for k in np.flatnonzero(size > FEW):
                 part = slice(at[k], at[k + 1])
                 side = bucket[part] if len(np.unique(bucket[part])) > 1 else None
-                pairs = connecting(tree_pairs(points[part], n[part], comp := np.arange(size[k]), limits, side), comp)
+                pairs = connecting(tree_pairs(coarser(points[part], fine[part].min()), n[part], comp := np.arange(size[k]), limits, side), comp)
                 found.append(own[part][np.array(pairs, dtype=np.int64).reshape(-1, 2)])
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -365,7 +384,8 @@ def connecting(pairs: Iterator[tuple[np.ndarray, np.ndarray]], comp: np.ndarray)
 def joining_links(sets: list[np.ndarray], limits: Limits, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between sets, with sides only between those of both, that join all which links connect: a forest."""
     n, flat = np.array(list(map(len, sets))), np.concatenate(sets)
-    points = np.array([point(s) for s in sets], dtype=np.int64)
+    groups = groups_of(int(n.mean()))
+    points = np.array([point(s, groups) for s in sets], dtype=np.int32)
     overlap, comp = overlaps(flat, n), np.arange(len(n))
 
     def verified() -> Iterator[tuple[np.ndarray, np.ndarray]]:
