@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliary import model
 from foliary.bindings import view, with_views
 from foliary.functions import dates, paths, scoring, text, urls
-from foliary.operators import audit, clusters, config, detect, duplicates, links, lookup, research, routing, rows, validate, votes
+from foliary.operators import audit, clusters, config, detect, duplicates, links, lookup, pages, reports, research, routing, rows, templates, validate, votes
 from foliary.plans import scan
 from foliary.sources import archive, writers
 from foliary.streaming import deltas
@@ -247,9 +247,8 @@ def f63_fingerprint(spark, sf_dir):
 @query("e12_folder_fingerprint", with_views("v_file") + """, e AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, split_part(path, '/', -1) AS name, size FROM v_file)
 SELECT folder, substr(sha256(string_agg(name || chr(9) || size, chr(10) ORDER BY name)), 1, 16) AS fingerprint FROM e GROUP BY folder""")
 def e12_folder_fingerprint(spark, sf_dir):
-    files = view(spark, sf_dir, "v_file").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), paths.basename(F.col("path")).alias("name"), "size").where("name NOT LIKE '.%'")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("name", "size"))), lambda x: F.concat_ws("\t", x["name"], x["size"].cast("string")))
-    return files.groupBy("folder").agg(scoring.sha_prefix(F.array_join(listed, "\n")).alias("fingerprint"))
+    files = view(spark, sf_dir, "v_file").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), paths.basename(F.col("path")).alias("name"), "size")
+    return rows.folder_fingerprint(files)
 
 
 @query("f1_project_of_path", with_views("v_index") + "\nSELECT note_path, split_part(note_path, '/', 2) AS project, split_part(note_path, '/', 1) AS first FROM v_index")
@@ -568,8 +567,8 @@ def a21_page_text(spark, sf_dir):
 
 @query("f9_stem_normalize")
 def f9_stem_normalize(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("head"))
-    return docs.select("doc_id", text.normalized_stem("head").alias("stem"), text.topic_slug(F.col("head")).alias("slug"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", text.normalized_stem("text").alias("stem"), text.topic_slug(F.col("text")).alias("slug"))
 
 
 @query("r22_scan")
@@ -588,8 +587,222 @@ def r10_research_report(spark, sf_dir):
     return research.report(pages)
 
 
-@query("r11_health")
-def r11_health(spark, sf_dir):
+HEALTH = f"""n AS (SELECT note_path, 'n' || k AS stem, 'n' || (k * 4 % 500) AS target, k FROM ({FM.format("documents")})),
+v AS (SELECT note_path, CASE WHEN schema_version = '3' THEN 'version' WHEN file_type = 'weird' THEN 'enum:file_type' WHEN sources_read = '[]' AND read_bytes <> '0' THEN 'bytes-without-sources' WHEN domain = 'a/b' THEN 'domain-path' WHEN images_embedded = '2' THEN 'images-without-attachments' END AS violation FROM ({FM.format("documents")})),
+h AS (SELECT 'orphan' AS "check", stem AS note, '' AS detail FROM n WHERE stem NOT IN (SELECT target FROM n WHERE target <> stem)
+UNION ALL SELECT 'broken-source', note_path, '/archive/x' FROM n
+UNION ALL SELECT 'schema', note_path, violation FROM v WHERE violation IS NOT NULL
+UNION ALL SELECT 'repeated', source_path, 'path' FROM v_index GROUP BY source_path HAVING count(*) > 1
+UNION ALL SELECT 'repeated', fingerprint, 'fingerprint' FROM v_index GROUP BY fingerprint HAVING count(DISTINCT source_path) > 1
+UNION ALL SELECT 'body', note_path, 'stop word: [[n12' FROM n WHERE starts_with(target, 'n12')
+UNION ALL SELECT 'missing-attachment', note_path, 'a' || k % 5 FROM n WHERE k % 5 > 2)"""
+
+
+def health(spark, sf_dir):
     own = frontmatter(spark, sf_dir)
-    notes = own.select("note_path", F.concat(F.lit("n"), "k").alias("stem"), F.concat(F.lit("[[n"), (F.col("k") * 4 % 500).cast("string"), F.lit("]]")).alias("body"), F.lit("/archive/x").alias("source_path"), "fm")
-    return audit.health(notes, view(spark, sf_dir, "v_index"), view(spark, sf_dir, "v_file"))
+    body = F.concat(F.lit("[[n"), (F.col("k") * 4 % 500).cast("string"), F.lit("]]"))
+    notes = own.select("note_path", F.concat(F.lit("n"), "k").alias("stem"), body.alias("body"), F.lit("/archive/x").alias("source_path"), "fm", F.array(F.concat(F.lit("a"), (F.col("k") % 5).cast("string"))).alias("attachments"))
+    files = spark.createDataFrame([(f"a{k}",) for k in range(3)], "name string")
+    return audit.health(notes, view(spark, sf_dir, "v_index"), view(spark, sf_dir, "v_file"), files, ["[[n12"])
+
+
+@query("r11_health", with_views("v_file", "v_index") + ",\n" + HEALTH + '\nSELECT "check", note, detail FROM h')
+def r11_health(spark, sf_dir):
+    return health(spark, sf_dir)
+
+
+@query("e11_health_counts", with_views("v_file", "v_index") + ",\n" + HEALTH + """
+SELECT c AS "check", count(h.note) AS n FROM (VALUES ('orphan'), ('broken-source'), ('schema'), ('repeated'), ('stale-rename'), ('missing-attachment'), ('body')) t(c) LEFT JOIN h ON h."check" = c GROUP BY c""")
+def e11_health_counts(spark, sf_dir):
+    return reports.check_counts(health(spark, sf_dir), audit.CHECKS)
+
+
+FLAGS = """SELECT source AS project, doc_id % 3 = 0 AS needs_fix, doc_id % 4 = 0 AS misrouted, doc_id % 5 = 0 AS source_missing, doc_id % 7 = 0 AS source_unknown, doc_id % 2 = 0 AS unverified FROM {}"""
+
+
+@query("r12_reconcile_counts", f"""WITH f AS ({FLAGS.format("documents")})
+SELECT project, count(*) AS notes, count(*) FILTER (NOT (needs_fix OR misrouted OR source_missing)) AS valid, count(*) FILTER (needs_fix) AS needs_fix, count(*) FILTER (misrouted) AS misrouted,
+  count(*) FILTER (source_missing) AS source_missing, count(*) FILTER (source_unknown) AS source_unknown, count(*) FILTER (unverified) AS unverified FROM f GROUP BY project""")
+def r12_reconcile_counts(spark, sf_dir):
+    return reports.reconcile_counts(spark.sql(FLAGS.format("{documents}"), documents=table(spark, sf_dir, "documents")))
+
+
+# Pages with frontmatter, an overview, a kept section, one of the user's own, and markers on every other one.
+PAGES = """SELECT CAST(p_partkey AS STRING) AS project, p_partkey, p_name, p_type, p_size, '---' || chr(10) || 'project: ' || p_name || chr(10) || 'status: "active"' || chr(10) || '---' || chr(10) || '# ' || p_name || chr(10) || chr(10)
+  || '> [!abstract] Overview' || chr(10) || '> ' || p_type || chr(10) || '> second' || chr(10) || chr(10) || '## Parties' || chr(10) || chr(10) || p_name || chr(10) || chr(10) || '## Mine' || chr(10) || p_type || chr(10) || chr(10)
+  || CASE WHEN p_partkey % 2 = 0 THEN '<!-- auto-start -->' || chr(10) || '## Timeline' || chr(10) || 'x' || chr(10) || '<!-- auto-end -->' || chr(10) || 'tail' ELSE '## Budget' || chr(10) || CAST(p_size AS STRING) END AS page FROM {}"""
+
+
+def page_rows(spark, sf_dir):
+    return spark.sql(PAGES.format("{part}"), part=table(spark, sf_dir, "part"))
+
+
+@query("a17_existing_pages", f"""WITH p AS ({PAGES.format("part")})
+SELECT project, p_name AS name, 'active' AS status, p_type || chr(10) || 'second' AS overview, p_name AS parties, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS VARCHAR) ELSE '' END AS budget,
+  '## Mine' || chr(10) || p_type || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || '<!-- auto-start -->' ELSE '' END AS user_sections, p_partkey % 2 = 0 AS has_markers,
+  CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(split_part(split_part(page, chr(10) || '---' || chr(10), 2), chr(10) || chr(10) || '<!-- auto-start', 1), '\\s+$', '') ELSE '' END AS marker_head, CASE WHEN p_partkey % 2 = 0 THEN 'tail' ELSE '' END AS marker_tail FROM p""")
+def a17_existing_pages(spark, sf_dir):
+    found = pages.existing(page_rows(spark, sf_dir))
+    return found.select("project", F.col("frontmatter")["project"].alias("name"), F.col("frontmatter")["status"].alias("status"), "overview", "parties", "budget", "user_sections", "has_markers", "marker_head", "marker_tail")
+
+
+@query("r6_regenerated_pages", f"""WITH p AS ({PAGES.format("part")}), g AS (SELECT *, '<!-- auto-start -->' || chr(10) || 'new' || chr(10) || '<!-- auto-end -->' AS body, chr(10) || chr(10) AS br FROM p)
+SELECT project, CASE WHEN p_partkey % 2 = 0 THEN '# ' || p_name || br || '> [!abstract] Overview' || chr(10) || '> ' || p_type || chr(10) || '> second' || br || '## Parties' || br || p_name || br || '## Mine' || chr(10) || p_type || br || body || br || 'tail'
+  ELSE '> [!abstract] Overview' || chr(10) || '> ' || p_type || chr(10) || '> second' || br || body || br || '## Parties' || br || p_name || br || '## Budget' || br || p_size || br || '## Mine' || chr(10) || p_type END AS page FROM g""")
+def r6_regenerated_pages(spark, sf_dir):
+    old = page_rows(spark, sf_dir)
+    return pages.regenerated(old.select("project", F.lit("new").alias("page")), old)
+
+
+@query("r16_index_events", with_views("v_index") + """
+SELECT split_part(note_path, '/', 2) AS project, split_part(note_path, '/', 3) AS subfolder, substr(split_part(note_path, '/', 4), 1, 10) AS event_date, regexp_replace(split_part(note_path, '/', 4), '\\.md$', '') AS note_filename FROM (SELECT DISTINCT note_path FROM v_index)""")
+def r16_index_events(spark, sf_dir):
+    return spelled(pages.events_of_index(view(spark, sf_dir, "v_index")).select("project", "subfolder", "event_date", "note_filename"))
+
+
+@query("r5_compose_tasks", with_views("v_event") + """
+SELECT project, string_agg(note_filename, '|' ORDER BY event_date, note_filename) AS notes, (SELECT string_agg(s, '|' ORDER BY s) FROM (SELECT DISTINCT subfolder AS s FROM v_event b WHERE b.project = a.project)) AS subfolders, CAST(NULL AS VARCHAR) AS kept FROM v_event a GROUP BY project""")
+def r5_compose_tasks(spark, sf_dir):
+    tasks = pages.compose_tasks(events(spark, sf_dir), page_rows(spark, sf_dir))
+    return tasks.select("project", F.array_join("notes", "|").alias("notes"), F.array_join("subfolders", "|").alias("subfolders"), F.array_join(F.map_keys("preserved"), "|").alias("kept"))
+
+
+@query("r9_table_view", with_views("v_index") + """
+SELECT split_part(note_path, '/', 2) AS project, split_part(note_path, '/', 4) AS file, '2024-01-01' AS event_date, 'high' AS content_confidence, 'retro' AS scan_type FROM v_index WHERE ord % 6 <> 1""")
+def r9_table_view(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_index").select(paths.project_of_note(F.col("note_path")).alias("project"), "note_path", F.lit("2024-01-01").alias("event_date"), F.lit("high").alias("content_confidence"), F.lit("retro").alias("scan_type"), F.when(F.col("ord") % 6 == 1, "project-index").alias("note_type"))
+    return pages.table_view(notes)
+
+
+@query("r18_scan_reports", """WITH w AS (SELECT c_nationkey AS report, c_name, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+l AS (SELECT report, string_agg('- `' || c_name || '`', chr(10) ORDER BY k) || CASE WHEN max(n) > 50 THEN chr(10) || '- …and ' || (max(n) - 50) || ' more' ELSE '' END AS lines, max(n) AS n FROM w WHERE k <= 50 GROUP BY report),
+g AS (SELECT n_nationkey AS report, string_agg('- ' || s_name, chr(10) ORDER BY s_suppkey) AS warned FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT n_nationkey AS report, '2024-08-01_10-00-00_retro.md' AS file_name, '# retro report' || chr(10) || chr(10) || '- **Scan type:** retro' || chr(10) || '- **Started:** 2024-08-01T09:00:00' || chr(10) || '- **Finished:** 2024-08-01T10:00:00'
+  || coalesce(chr(10) || chr(10) || '## Counts' || chr(10) || chr(10) || '- **notes:** ' || l.n, '') || coalesce(chr(10) || chr(10) || '## Notes written' || chr(10) || chr(10) || lines, '') || coalesce(chr(10) || chr(10) || '## Warnings' || chr(10) || chr(10) || warned, '') || chr(10) AS body
+FROM nation LEFT JOIN l ON l.report = n_nationkey LEFT JOIN g ON g.report = n_nationkey""")
+def r18_scan_reports(spark, sf_dir):
+    at = lambda hour: F.lit(f"2024-08-01 {hour}:00:00").cast("timestamp_ntz")
+    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("report"), F.lit("retro").alias("kind"), at("09").alias("started"), at("10").alias("finished"))
+    notes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("report"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("path"))
+    counts = notes.groupBy("report").agg(F.count("*").alias("value")).select("report", F.lit(0).alias("ord"), F.lit("notes").alias("name"), "value")
+    return reports.scan_reports(own, counts, notes, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("report"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("text")))
+
+
+@query("r19_log_text", with_views("v_log") + """, t AS (SELECT * FROM v_log ORDER BY ord DESC LIMIT 200), c AS (SELECT role, count(*) AS n FROM t GROUP BY role)
+SELECT '## Counters' || chr(10) || chr(10) || (SELECT string_agg('- ' || role || ': ' || n, chr(10) ORDER BY role) FROM c) || chr(10) || chr(10) || '## Entries' || chr(10) || chr(10)
+  || (SELECT string_agg('- **' || conv_id || '** · `' || role || '` · turn ' || turn || CASE WHEN turn = 0 THEN '' ELSE chr(10) || '  - details: `' || turn || '`' END, chr(10) ORDER BY ord DESC) FROM t) AS body""")
+def r19_log_text(spark, sf_dir):
+    log = view(spark, sf_dir, "v_log")
+    return reports.log_text(log.select("ord", F.col("conv_id").cast("string").alias("timestamp"), F.col("role").alias("type"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("summary"), F.when(F.col("turn") != 0, F.col("turn").cast("string")).alias("details")))
+
+
+@query("a15_note_search", with_views("v_note") + "\nSELECT stem AS vault_path FROM v_note WHERE contains(body, 'n12') OR contains(stem, 'n12') ORDER BY stem LIMIT 500")
+def a15_note_search(spark, sf_dir):
+    return links.search_notes(view(spark, sf_dir, "v_note").withColumnRenamed("stem", "vault_path"), "N12").select("vault_path")
+
+
+@query("c11_since", with_views("v_event") + "\nSELECT note_filename FROM v_event WHERE event_date BETWEEN DATE '2024-01-10' AND DATE '2024-02-10'")
+def c11_since(spark, sf_dir):
+    return rows.between(events(spark, sf_dir), "event_date", "2024-01-10", "2024-02-10").select("note_filename")
+
+
+BANK = with_views("v_file") + """, b AS (SELECT substr(path, 10) AS path, source AS category, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') AS stem, substr(sha256(text), 1, 12) AS hash, ord FROM v_file)"""
+
+
+def bank(spark, sf_dir):
+    return templates.bank(view(spark, sf_dir, "v_file").select(F.expr("substr(path, 10)").alias("path"), F.col("text").alias("content")))
+
+
+@query("a24_template_bank", BANK + "\nSELECT path, category, stem, hash FROM b")
+def a24_template_bank(spark, sf_dir):
+    return bank(spark, sf_dir)
+
+
+@query("b13_templates_to_install", BANK + "\nSELECT path, hash FROM b WHERE ord % 3 <> 0")
+def b13_templates_to_install(spark, sf_dir):
+    had = view(spark, sf_dir, "v_file").where("ord % 3 = 0").select(F.expr("substr(path, 10)").alias("path"), F.substring("fingerprint", 1, 12).alias("hash"))
+    return templates.to_install(bank(spark, sf_dir), had).select("path", "hash")
+
+
+@query("e16_family_index", BANK + "\nSELECT category, '## ' || replace(category, '_', ' ') || chr(10) || chr(10) || string_agg('- [[' || stem || ']]', chr(10) ORDER BY path) AS block FROM b GROUP BY category")
+def e16_family_index(spark, sf_dir):
+    return templates.family_index(bank(spark, sf_dir))
+
+
+@query("e14_last_release", "SELECT o_custkey AS package, strftime(max(o_orderdate), '%Y-%m-%d') AS last_release FROM orders GROUP BY o_custkey")
+def e14_last_release(spark, sf_dir):
+    each = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("package"), "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    files = each.groupBy("package", "o_orderpriority").agg(F.collect_list("at").alias("l"))
+    return templates.last_release(files.groupBy("package").agg(F.collect_list("l").alias("releases")))
+
+
+@query("e15_missing_tools", "SELECT p_brand AS tool, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS categories FROM part WHERE p_size % 3 <> 0 AND p_brand NOT LIKE '%1' GROUP BY p_brand")
+def e15_missing_tools(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    needs = parts.select(F.col("p_brand").alias("tool"), F.col("p_type").alias("category"), F.when(F.col("p_size") % 3 != 0, "get").alias("install"))
+    return templates.missing_tools(needs, parts.where("p_brand LIKE '%1'").select(F.col("p_brand").alias("tool")).distinct())
+
+
+@query("e17_unknown_counts", STRUCTURE + "\nSELECT 'd' || len(name) AS domain, count(*) AS unknown_subfolders FROM f WHERE child_count >= 3 OR scannable GROUP BY 1")
+def e17_unknown_counts(spark, sf_dir):
+    files = view(spark, sf_dir, "v_file").select(F.expr("substr(path, 10)").alias("path"))
+    found = routing.new_subfolders(routing.structure(files), [], [])
+    return routing.unknown_counts(found.withColumn("domain", F.concat(F.lit("d"), F.char_length("name").cast("string"))))
+
+
+@query("f27_project_renamed", f"""WITH p AS ({PAGES.format("part")}) SELECT project, replace(page, chr(10) || 'project: ' || p_name || chr(10), chr(10) || 'project: "New $1"' || chr(10)) AS page FROM p""")
+def f27_project_renamed(spark, sf_dir):
+    return page_rows(spark, sf_dir).select("project", text.with_project(F.col("page"), "New $1").alias("page"))
+
+
+@query("f30_key_order", "SELECT p_partkey, p_brand || ',b,c' AS keys FROM part")
+def f30_key_order(spark, sf_dir):
+    fence = F.concat("p_brand", F.lit(": 1\n# note: x\n- item: y\nb:\n  nested: z\n\nc: d: e\nplain"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.key_order(fence), ",").alias("keys"))
+
+
+@query("f11_research_name", "SELECT n_nationkey, '2024-08-01 ' || regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') || '.md' AS name FROM nation")
+def f11_research_name(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.research_name(F.col("n_name"), F.lit("2024-08-01")).alias("name"))
+
+
+@query("c8_type_predicates", with_views("v_file") + "\nSELECT path, path LIKE '%.mp4' AS metadata_only, path LIKE '%.pdf' OR path LIKE '%.txt' AS readable FROM v_file")
+def c8_type_predicates(spark, sf_dir):
+    kind = paths.extension(F.col("path"))
+    return view(spark, sf_dir, "v_file").select("path", scoring.is_metadata_only(kind).alias("metadata_only"), scoring.is_readable(kind).alias("readable"))
+
+
+@query("r14_move_repairs", with_views("v_index") + """
+SELECT note_path, '/new/' || substr(source_path, 10) AS source_path FROM v_index WHERE starts_with(source_path, '/archive/src')""")
+def r14_move_repairs(spark, sf_dir):
+    index = view(spark, sf_dir, "v_index")
+    moved = index.select(paths.project_of_note(F.col("note_path")).alias("folder")).distinct().select("folder", F.lit("/archive").alias("old_parent"), F.lit("/new/").alias("new_parent"))
+    return votes.repairs(moved, index)
+
+
+@query("r15_project_notes", with_views("v_index") + "\nSELECT DISTINCT note_path FROM v_index WHERE starts_with(note_path, 'arch/')")
+def r15_project_notes(spark, sf_dir):
+    return votes.project_notes(view(spark, sf_dir, "v_index"), "arch")
+
+
+@query("t2_merge", with_views("v_file", "v_index") + """,
+bp AS (SELECT * FROM v_index QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY ord DESC) = 1), bf AS (SELECT * FROM v_index QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ord DESC) = 1),
+d AS (SELECT path, f.fingerprint, CASE WHEN bp.ord IS NOT NULL THEN bp.note_path ELSE bf.note_path END AS note, bp.fingerprint = f.fingerprint AS same FROM v_file f LEFT JOIN bp ON bp.source_path = f.path LEFT JOIN bf ON bf.fingerprint = f.fingerprint),
+m AS (SELECT path AS source_path, fingerprint, coalesce(note, '') AS note_path FROM d WHERE same IS NOT TRUE)
+SELECT source_path, fingerprint, note_path, 1000 AS least_ord, (SELECT count(*) FROM m) AS ords FROM m""")
+def t2_merge(spark, sf_dir):
+    files, index = view(spark, sf_dir, "v_file"), view(spark, sf_dir, "v_index")
+    new = lookup.merge(index, lookup.lookup(files, index), files, 999)
+    sums = new.agg(F.min("ord").alias("least_ord"), F.count_distinct("ord").alias("ords"))
+    return new.drop("ord").crossJoin(sums)  # one row
+
+
+@query("b3_newest_snapshots", "SELECT o_orderkey, o_orderstatus AS snapshot FROM orders WHERE o_orderstatus IN (SELECT DISTINCT o_orderstatus FROM orders ORDER BY 1 DESC LIMIT 2)")
+def b3_newest_snapshots(spark, sf_dir):
+    return lookup.newest_snapshots(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("snapshot")))
+
+
+@query("f16_yaml_quote", """SELECT doc_id, CASE WHEN regexp_matches(source, '[0-9]') AND lang = 'en' THEN '"' || source || ': x"' ELSE source END AS quoted FROM documents""")
+def f16_yaml_quote(spark, sf_dir):
+    risky = F.when(F.col("lang") == "en", F.concat("source", F.lit(": x"))).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.yaml_quote(risky).alias("quoted"))

@@ -14,6 +14,16 @@ READABLE = ["folder", "image-folder", "pdf", "docx", "pptx", "xlsx", "jpg", "jpe
 LEAST_RELATED = 4.0
 
 
+def is_metadata_only(kind: Column) -> Column:
+    """[C8]"""
+    return F.coalesce(F.lower(kind).isin(METADATA_ONLY), F.lit(False))
+
+
+def is_readable(kind: Column) -> Column:
+    """[C8]"""
+    return F.coalesce(F.lower(kind).isin(READABLE), F.lit(False))
+
+
 def pair_score(shared_tokens: Column, same_subfolder: Column, shared_parties: Column, date_a: Column, date_b: Column) -> Column:
     """5 a shared token (three at most), 3 for the subfolder, 2 a shared party (three at most), and the dates."""
     three = lambda n: F.least(n, F.lit(3))

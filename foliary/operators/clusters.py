@@ -52,11 +52,15 @@ def labels(events: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     rows = rows.withColumn("tokens", F.filter(own, lambda t: ~t.isin(text.LABEL_STOPS)))
     key = ["project", "folder", "island"]
     # Tokens that as many events have as there are: counted, not intersected in one task's memory.
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n_events"), F.min("event_date").alias("start"), F.max("event_date").alias("end"), F.min_by("stem", F.struct("event_date", "note_filename", "ord")).alias("first"))
-    shared = rows.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").agg(F.count("*").alias("n")).join(sizes.select(*key, "n_events"), key).where("n = n_events")
+    # The token '' stands for the event itself, so one pass over the events does.
+    each = rows.select(*key, "event_date", F.struct("event_date", "note_filename", "ord").alias("at"), "stem", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
+    counts = each.groupBy(*key, "token").agg(F.count("*").alias("n"), F.min("event_date").alias("start"), F.max("event_date").alias("end"), F.min(F.when(F.col("token") == "", F.struct("at", "stem"))).alias("first"))
+    counts = counts.withColumn("n_events", F.max("n").over(Window.partitionBy(*key))).where("n = n_events")
     word = F.min(F.when(F.char_length("token") >= 2, F.struct((-F.char_length("token")).alias("l"), F.col("token"))))
-    shared = shared.groupBy(*key).agg(word["token"].alias("word"), F.collect_set(F.when(F.char_length("token") == 1, F.col("token"))).alias("marks"))
-    rows = sizes.join(shared, key, "left").withColumn("n_islands", F.count("*").over(Window.partitionBy("project", "folder")))
+    rows = counts.groupBy(*key).agg(
+        F.max("n_events").alias("n_events"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("first.stem").alias("first"),
+        word["token"].alias("word"), F.collect_set(F.when(F.char_length("token") == 1, F.col("token"))).alias("marks"),
+    ).withColumn("n_islands", F.count("*").over(Window.partitionBy("project", "folder")))
     marks = F.array_join(F.array_distinct(F.filter(F.split("first", ""), lambda c: F.array_contains("marks", c))), "")
     stem = F.trim(text.strip_date_prefix(F.col("first")))
     several = F.col("n_events") > 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliary.functions.paths import basename, has_prefix, project_of_note, rewrite_prefix
 from foliary.functions.scoring import jaccard
@@ -12,14 +13,24 @@ from foliary.functions.scoring import jaccard
 def duplicates(index: DataFrame, domain: str, min_overlap: int = 3, min_confidence: float = 0.6) -> DataFrame:
     """[D6j, E4, E5] canonical, alias, overlap, confidence of project pairs by the Jaccard
     similarity of their fingerprints. The longer name is canonical, then the one with the
-    later note, then the one that sorts first. An equi-join on fingerprints: projects that
-    share none are never paired."""
+    later note, then the one that sorts first.
+
+    Two projects that are similar enough share one of their rarest fingerprints, so only these
+    pair projects: a fingerprint that very many have is left out of all but the smallest. What
+    they share is then counted over all fingerprints."""
     rows = index.where(F.startswith("note_path", F.lit(domain + "/")) & (F.size(F.split("note_path", "/")) >= 3))
     rows = rows.select(project_of_note(F.col("note_path")).alias("project"), "fingerprint", F.regexp_extract(basename(F.col("note_path")), r"^\d{4}-\d{2}-\d{2}", 0).alias("day"))
     latest = rows.groupBy("project").agg(F.max("day").alias("latest"), F.count_distinct("fingerprint").alias("n"))
     pairs = rows.where(~F.col("fingerprint").isin("", "unknown")).select("project", "fingerprint").distinct()
-    a, b = pairs.withColumnRenamed("project", "a"), pairs.withColumnRenamed("project", "b")
-    shared = a.join(b, "fingerprint").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= min_overlap)
+    known = pairs.join(pairs.groupBy("fingerprint").agg(F.count("*").alias("times")), "fingerprint").join(latest.select("project", "n"), "project")
+    own = Window.partitionBy("project")
+    rare = known.withColumn("nth", F.row_number().over(own.orderBy("times", "fingerprint"))).withColumn("usable", F.count("*").over(own))
+    needed = F.greatest(F.lit(max(1, min_overlap)), F.ceil(F.col("n") * F.lit(min_confidence) - 1e-9))
+    rare = rare.where(F.col("nth") <= F.col("usable") - needed + 1).select("project", "fingerprint")
+    a, b = rare.withColumnRenamed("project", "a"), rare.withColumnRenamed("project", "b")
+    near = a.join(b, "fingerprint").where("a < b").select("a", "b").distinct()
+    shared = near.join(pairs.withColumnRenamed("project", "a"), "a").join(pairs.withColumnRenamed("project", "b"), ["b", "fingerprint"])
+    shared = shared.groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= min_overlap)
     shared = shared.join(latest.select(F.col("project").alias("a"), F.col("latest").alias("la"), F.col("n").alias("na")), "a")
     shared = shared.join(latest.select(F.col("project").alias("b"), F.col("latest").alias("lb"), F.col("n").alias("nb")), "b")
     confidence = jaccard(F.col("overlap"), F.col("na"), F.col("nb"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,15 +12,48 @@ from foliary.functions import scoring, text
 from foliary.functions.paths import wikilink
 
 
+def _meeting_keys(days: int) -> Callable[[Column, Column], Column]:
+    """Keys of which two dates share one if they are at most `days` apart, and none if more than twice that."""
+    week = F.floor(F.unix_date("event_date") / (days + 1))
+    return lambda kind, value: F.transform(F.array(week, week + 1), lambda w: F.concat_ws("\x1f", kind, value, w.cast("string")))
+
+
+def pair_keys() -> Column:
+    """Keys of an event (tokens, parties, subfolder, event_date): two events of a project whose score is 4
+    or more share one. What reaches 4: a token (5); the subfolder (3) with a party (2) or dates within 10
+    days (1 or more); two parties (2 each); a party with dates within 7 days (2 or more); the same day (4)."""
+    none = F.array().cast("array<string>")
+    here = F.col("subfolder") != ""
+    join = lambda kind, *x: F.concat_ws("\x1f", F.lit(kind), *x)
+    sorted_ = F.array_sort(F.array_distinct("parties"))
+    twos = F.flatten(F.transform(sorted_, lambda x, i: F.transform(F.slice(sorted_, i + 2, 1 << 30), lambda y: join("2", x, y))))
+    dated = F.col("event_date").isNotNull()
+    return F.array_distinct(
+        F.concat(
+            F.transform("tokens", lambda t: join("t", t)),
+            F.when(here, F.transform(sorted_, lambda x: join("s", F.col("subfolder"), x))).otherwise(none),
+            F.when(here & dated, _meeting_keys(10)(F.lit("w"), F.col("subfolder"))).otherwise(none),
+            twos,
+            F.when(dated, F.flatten(F.transform(sorted_, lambda x: _meeting_keys(7)(F.lit("p"), x)))).otherwise(none),
+            F.when(dated, F.array(join("d", F.col("event_date").cast("string")))).otherwise(none),
+        )
+    )
+
+
 def pair_scores(events: DataFrame, least: float = scoring.LEAST_RELATED) -> DataFrame:
-    """[D11j, F60] project, name, peer, peer_ord, score of ordered pairs in a project that reach `least`."""
+    """[D11j, F60] project, name, peer, peer_ord, score of ordered pairs in a project that reach `least`
+    (4 or more). Events meet under keys that such pairs share, so that those of a large project aren't
+    all compared; a pair counts under the first of its keys only."""
+    if least < scoring.LEAST_RELATED:
+        raise ValueError("events that score less than 4 need not share a key")
     rows = events.where("note_filename <> ''").select(
         "project", "note_filename", "subfolder", "event_date", "ord",
         F.array_distinct(F.concat(text.tokens(F.col("note_filename")), text.tokens(F.col("summary_hint")))).alias("tokens"),
         F.coalesce("parties", F.array().cast("array<string>")).alias("parties"),
-    )
+    ).withColumn("keys", pair_keys()).withColumn("key", F.explode("keys"))
     a, b = rows.alias("a"), rows.alias("b")
-    joined = a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.note_filename") != F.col("b.note_filename")))
+    joined = a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.note_filename") != F.col("b.note_filename")))
+    joined = joined.where(F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys")))
     score = scoring.pair_score(
         F.size(F.array_intersect("a.tokens", "b.tokens")),
         (F.col("a.subfolder") != "") & (F.col("a.subfolder") == F.col("b.subfolder")),
@@ -54,15 +89,42 @@ def orphans(notes: DataFrame) -> DataFrame:
     return notes.join(edges, "stem", "left_anti")
 
 
+def _least_paths(notes: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The first notes by path of each key: k + 1, as one may be the orphan itself."""
+    first = Window.partitionBy(*keys).orderBy("vault_path")
+    return notes.withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= k + 1).drop("nth")
+
+
 def candidates(orphan: DataFrame, notes: DataFrame, k: int = 20) -> DataFrame:
-    """[D12j, F61, S3] orphan, candidate, score: notes of the orphan's project, best first, one per path."""
-    a, b = orphan.alias("a"), notes.alias("b")
-    joined = a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.vault_path") != F.col("b.vault_path")))
-    score = scoring.relevance(*[F.col(x) for x in ("a.project", "b.project", "a.event_date", "b.event_date", "a.file_type", "a.source_path", "b.source_path")])
-    scored = joined.select(F.col("a.vault_path").alias("orphan"), F.col("b.vault_path").alias("candidate"), score.alias("score"))
-    once = scored.groupBy("orphan", "candidate").agg(F.max("score").alias("score"))
+    """[D12j, F61, S3] orphan, candidate, score: notes of the orphan's project, best first, one per path.
+
+    A score is made of how near the dates are and whether the first folders agree, and ties go by
+    path; so of the notes of one day, of one day and folder, of one folder, and of a whole project
+    only the first few by path can be among an orphan's best, and no other is compared."""
+    folder = lambda path: F.array_join(F.slice(F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda s: s != ""), 1, 2), "/")
+    once = notes.select("project", "event_date", "file_type", "source_path", "vault_path").distinct().withColumn("folder", folder(F.col("source_path")))
+    mine = orphan.select("project", "event_date", "file_type", "source_path", "vault_path").withColumn("folder", folder(F.col("source_path")))
+    far = mine.withColumn("day", F.explode(F.sequence(F.date_sub("event_date", 3), F.date_add("event_date", 3)))).where("event_date IS NOT NULL")
+    ways = [
+        (mine, _least_paths(once, k, "project"), ["project"]),
+        (mine, _least_paths(once, k, "project", "folder"), ["project", "folder"]),
+        (far, _least_paths(once, k, "project", "event_date").withColumnRenamed("event_date", "day"), ["project", "day"]),
+        (far, _least_paths(once, k, "project", "event_date", "folder").withColumnRenamed("event_date", "day"), ["project", "day", "folder"]),
+    ]
+    met = None
+    for left, right, keys in ways:
+        right = right.withColumn("date_b", F.col("day" if "day" in keys else "event_date")).select(*keys, "date_b", F.col("source_path").alias("path_b"), F.col("vault_path").alias("candidate"))
+        pairs = left.join(right, keys).where("vault_path <> candidate").select("project", "event_date", "file_type", "source_path", F.col("vault_path").alias("orphan"), "date_b", "path_b", "candidate")
+        met = pairs if met is None else met.unionByName(pairs)
+    score = scoring.relevance(F.col("project"), F.col("project"), F.col("event_date"), F.col("date_b"), F.col("file_type"), F.col("source_path"), F.col("path_b"))
     best = Window.partitionBy("orphan").orderBy(F.desc("score"), "candidate")
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return met.select("orphan", "candidate", score.alias("score")).groupBy("orphan", "candidate").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def search_notes(notes: DataFrame, words: str, limit: int = 500) -> DataFrame:
+    """[A15] Notes whose path or body holds the words, without regard to case, the first by path."""
+    said = F.lit(words.lower())
+    return notes.where(F.contains(F.lower("body"), said) | F.contains(F.lower("vault_path"), said)).orderBy("vault_path").limit(limit)
 
 
 def sections(events: DataFrame, k: int = 3) -> DataFrame:

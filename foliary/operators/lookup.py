@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Parts of a batch of index rows that are numbered side by side.
+PARTS = 256
+
+
 def last_by(index: DataFrame, key: str) -> DataFrame:
-    """[W4] The last row of each key, by ord."""
-    row = F.max_by(F.struct(*index.columns), "ord")
+    """[W4] The last row of each key, by ord; of equal ones the last by path."""
+    row = F.max_by(F.struct(*index.columns), F.struct(*[c for c in ("ord", "source_path", "note_path") if c in index.columns]))
     return index.groupBy(F.col(key).alias("__key")).agg(row.alias("r")).select("r.*")
 
 
@@ -18,6 +22,7 @@ def lookup(files: DataFrame, index: DataFrame) -> DataFrame:
 
     By path first, then by fingerprint; each side keeps its last row. Fingerprints '' and
     'unknown' never match by themselves."""
+    index = index.select("source_path", "fingerprint", "note_path", "ord")
     by_path = last_by(index, "source_path").select(F.col("source_path").alias("path"), F.col("fingerprint").alias("fp_p"), F.col("note_path").alias("note_p"))
     known = index.where(~F.col("fingerprint").isin("", "unknown"))
     by_fp = last_by(known, "fingerprint").select("fingerprint", F.col("source_path").alias("old"), F.col("note_path").alias("note_f"))
@@ -62,9 +67,15 @@ def newest_snapshots(snapshots: DataFrame, keep: int = 2) -> DataFrame:
 
 
 def merge(index: DataFrame, decisions: DataFrame, files: DataFrame, start: int) -> DataFrame:
-    """[T2, B1] Index rows to append for a batch of decisions; tabs and line breaks are refused."""
+    """[T2, B1] Index rows to append for a batch of decisions; tabs and line breaks are refused. Every
+    row has an ord of its own, counted on from start: parts of the batch are numbered side by side,
+    each after the sizes of those before it."""
     rows = decisions.where("action <> 'skip'").join(files.select("path", "fingerprint"), "path")
     note = F.coalesce("existing_note_path", F.lit(""))
     clean = F.when(F.concat("path", note).rlike(r"[\t\n]"), F.raise_error(F.lit("a field holds a tab or a line break"))).otherwise(F.col("path"))
-    order = Window.partitionBy("action").orderBy("path")
-    return rows.select(clean.alias("source_path"), "fingerprint", note.alias("note_path"), (F.lit(start) + F.row_number().over(order)).cast("long").alias("ord"))
+    rows = rows.select(F.pmod(F.xxhash64("path"), F.lit(PARTS)).alias("part"), clean.alias("source_path"), "fingerprint", note.alias("note_path"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))  # PARTS rows at most
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("source_path", "fingerprint", "note_path"))
+    return rows.select("source_path", "fingerprint", "note_path", (F.lit(start) + F.col("before") + nth).cast("long").alias("ord"))

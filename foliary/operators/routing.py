@@ -64,6 +64,11 @@ def new_subfolders(folders: DataFrame, rules: list[str], skips: list[str]) -> Da
     return folders.where(~routed & ~any_segment_matches(F.col("name"), skips) & ((F.col("child_count") >= 3) | F.col("scannable")))
 
 
+def unknown_counts(folders: DataFrame) -> DataFrame:
+    """[E17] domain, unknown_subfolders of new subfolders (domain, name)."""
+    return folders.groupBy("domain").agg(F.count("*").alias("unknown_subfolders"))
+
+
 def handler(files: DataFrame) -> DataFrame:
     """[C1, C3, C6] files with category, skip_reason (unknown type, or a category that isn't read)."""
     own = category(F.col("path"))

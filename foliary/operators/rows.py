@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliary.functions.scoring import sha_prefix
+
 
 def first_seen(rows: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
     """[W5, U7] key, value and order of the first row of each key, and how many rows it has."""
@@ -25,6 +27,18 @@ def newest(rows: DataFrame, n: int, order: str = "ord") -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(n) if n > 0 else rows
 
 
+def between(rows: DataFrame, day: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """[C11] Rows of the days from since to until, both included; rows without a day go once there is a bound."""
+    rows = rows.where(F.col(day) >= F.to_date(F.lit(since))) if since else rows
+    return rows.where(F.col(day) <= F.to_date(F.lit(until))) if until else rows
+
+
+def folder_fingerprint(files: DataFrame) -> DataFrame:
+    """[E12, S1] folder, fingerprint of the visible files directly in it (folder, name, size), by name."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("name", "size"))), lambda x: F.concat_ws("\t", x["name"], x["size"].cast("string")))
+    return files.where("name NOT LIKE '.%'").groupBy("folder").agg(sha_prefix(F.array_join(listed, "\n")).alias("fingerprint"))
+
+
 def counters(rows: DataFrame, kind: str) -> DataFrame:
     """[E6]"""
     return rows.groupBy(kind).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliary.functions.paths import archive_parent, project_of_note
+from foliary.functions.paths import archive_parent, has_prefix, project_of_note
 from foliary.operators.lookup import last_by
 
 
@@ -31,6 +31,22 @@ def renames(samples: DataFrame, index: DataFrame, min_matches: int = 3, threshol
     return won.where((F.col("match_count") >= min_matches) & (F.col("confidence") >= threshold) & (F.col("winner") != F.col("folder"))).withColumnRenamed("winner", "old_name")
 
 
+def project_notes(index: DataFrame, project: str) -> DataFrame:
+    """[R15] The notes of a project, whose frontmatter is to name another after a rename."""
+    return index.where(F.startswith("note_path", F.lit(project + "/"))).select("note_path").distinct()
+
+
+def repairs(moved: DataFrame, index: DataFrame, layout: str = "domain") -> DataFrame:
+    """[R14] note_path, source_path (the new one) of the notes whose sources moved (folder, old_parent,
+    new_parent); to be read before the index is rewritten. Of a note's sources the last by path counts."""
+    join = lambda parent: F.concat(F.regexp_replace(parent, "/$", ""), F.lit("/"), F.col("folder"))
+    rows = index.where("note_path <> ''").withColumn("folder", project_of_note(F.col("note_path"), layout)).join(moved.select("folder", "old_parent", "new_parent"), "folder")
+    old = join(F.col("old_parent"))
+    rows = rows.where(has_prefix(F.col("source_path"), old))
+    new = F.concat(join(F.col("new_parent")), F.substring(F.col("source_path"), F.char_length(old) + 1, F.lit(1 << 30)))
+    return rows.groupBy("note_path").agg(F.max(new).alias("source_path"))
+
+
 def moves(samples: DataFrame, index: DataFrame, min_matches: int = 3, threshold: float = 0.5) -> DataFrame:
     """[D8j, R14] Folders (with their present parent in column parent) whose files were under
     another archive parent, the project name being the same."""
