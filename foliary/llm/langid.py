@@ -13,16 +13,21 @@ characters outside the vocabulary share one more piece.
 Training reads at most about `max_docs` labelled texts of each language, whole, chosen by
 a hash; everything else reads every row. The model is vocabulary x languages.
 
-Edge cases: null texts and texts without a letter are `und` with score 0; rows whose lang
-is null are predicted but never learned from; very long words are cut every `LONGEST_WORD`
-characters; without any labelled text everything is `und`; ties go to the language that
-sorts first; repeated rows and null doc_ids are scored like any other; lang, source and
-other columns are never inputs of a prediction.
+A word is summed over whole, however long it is: past `LONG` letters piece by piece, with no
+table of all its places. Any number of languages can be learned; a task holds pieces x
+languages numbers (180 KB a language), the model itself.
+
+Edge cases: null texts and texts without a letter are `und` with score 0; rows whose lang or
+doc_id is null are predicted but never learned from, and a null doc_id isn't held out;
+without any labelled text everything is `und`; ties go to the language that sorts first;
+repeated rows are scored like any other; lang, source and other columns are never inputs of
+a prediction.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,12 +43,12 @@ from foliary.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-LONGEST_WORD = 48
-#: No longer piece can stand in a word with its mark; shorter ones are all used.
-LONGEST_PIECE = LONGEST_WORD + 1
-#: Words whose scores a task remembers (about 150 bytes each); at the bound it starts anew.
-REMEMBERED = 800_000
-MAX_LANGUAGES = 500
+#: Words of more letters are summed over one place after another.
+LONG = 4096
+#: Numbers in a table of words x places x languages.
+TABLE = 1 << 20
+#: Words whose scores a task remembers (about 150 bytes each), and letters in them; at either bound it starts anew.
+REMEMBERED, REMEMBERED_LETTERS = 600_000, 8_000_000
 #: Added to every piece's expected count.
 PRIOR_COUNT = 0.01
 ROUNDS = 3
@@ -62,16 +67,13 @@ def vocabulary(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    own = {p for p in found if len(p) <= LONGEST_PIECE and p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha())} | {MARK}
+    own = {p for p in found if p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha())} | {MARK}
     return {p: i for i, p in enumerate(sorted(own))}
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
-    found = WORD.findall((text or "").lower())
-    if max(map(len, found), default=0) <= LONGEST_WORD:
-        return found
-    return [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+    return WORD.findall((text or "").lower())
 
 
 @lru_cache(maxsize=2)
@@ -86,20 +88,20 @@ def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     words' sizes. The id after the last piece's stands for any other character, so every place
     of a word is a start and an end."""
     get, other = beginnings(path).get, len(vocabulary(path))
-    found: list[int] = []
+    found = array("q")
     for k, word in enumerate(words):
         marked = MARK + word
         n = len(marked)
         for i in range(n):
             piece = get(marked[i])
-            found += (k, i, i + 1, other if piece is None or piece < 0 else piece)
+            found.extend((k, i, i + 1, other if piece is None or piece < 0 else piece))
             j = i + 2
             while piece is not None and j <= n:
                 piece = get(marked[i:j])
                 if piece is not None and piece >= 0:
-                    found += (k, i, j, piece)
+                    found.extend((k, i, j, piece))
                 j += 1
-    edges = np.array(found, dtype=np.int64).reshape(-1, 4)
+    edges = np.frombuffer(found, dtype=np.int64).reshape(-1, 4)
     return edges[np.lexsort((edges[:, 0], edges[:, 2]))], np.array([len(w) + 1 for w in words])
 
 
@@ -128,12 +130,46 @@ def forward(edges: np.ndarray, size: np.ndarray, log_p: np.ndarray) -> np.ndarra
     return alpha
 
 
+def parts_of(words: list[str], languages: int) -> Iterator[list[int]]:
+    """Places of words of like sizes, so many at once that their tables stay small."""
+    part: list[int] = []
+    for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+        if part and (len(part) == 2000 or (len(part) + 1) * (len(words[k]) + 2) * languages > TABLE):
+            yield part
+            part = []
+        part.append(k)
+    if part:
+        yield part
+
+
+def long_score(word: str, log_p: np.ndarray, path: str) -> np.ndarray:
+    """Log probability of one word in each language. Sums are held for as many places as the longest piece has."""
+    get, other, marked = beginnings(path).get, len(vocabulary(path)), MARK + word
+    ahead: list[np.ndarray | None] = [None] * (max(map(len, vocabulary(path))) + 1)
+    ahead[0] = np.zeros(log_p.shape[1])
+    for i in range(len(marked)):
+        here, ahead[i % len(ahead)] = ahead[i % len(ahead)], None
+        piece, j = get(marked[i]), i + 1
+        ends = [(j, other if piece is None or piece < 0 else piece)]
+        while piece is not None and j < len(marked):
+            j += 1
+            piece = get(marked[i:j])
+            if piece is not None and piece >= 0:
+                ends.append((j, piece))
+        for end, own in ends:
+            was, ways = ahead[end % len(ahead)], here + log_p[own]
+            ahead[end % len(ahead)] = ways if was is None else np.logaddexp(was, ways)
+    return ahead[len(marked) % len(ahead)]
+
+
 def word_scores(words: list[str], log_p: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.zeros((len(words), log_p.shape[1]))
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), 2000):
-        part = order[at : at + 2000]
+    for part in parts_of(words, log_p.shape[1]):
+        if len(words[part[-1]]) > LONG:
+            for k in part:
+                out[k] = long_score(words[k], log_p, path)
+            continue
         edges, size = lattice([words[k] for k in part], path)
         out[part] = forward(edges, size, log_p)[np.arange(len(part)), size]
     return out
@@ -142,9 +178,7 @@ def word_scores(words: list[str], log_p: np.ndarray, path: str) -> np.ndarray:
 def expected_counts(words: list[str], times: np.ndarray, log_p: np.ndarray, path: str) -> np.ndarray:
     """Of one language: each piece's expected number over all segmentations of all words."""
     out = np.zeros(len(log_p))
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), 2000):
-        part = order[at : at + 2000]
+    for part in parts_of(words, 1):
         edges, size = lattice([words[k] for k in part], path)
         alpha = forward(edges, size, log_p[:, None])
         beta = np.zeros_like(alpha)
@@ -158,14 +192,9 @@ def expected_counts(words: list[str], times: np.ndarray, log_p: np.ndarray, path
 def labelled(docs: DataFrame, learn: Column, max_docs: int) -> DataFrame:
     """lang, text of about max_docs rows of each language, chosen by a hash of doc_id."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return rows.select("lang", "text").limit(0)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, max_docs / r["count"])))])
+    shares = rows.groupBy("lang").agg((F.lit(max_docs) / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    return rows.where(chance < share[F.col("lang")]).select("lang", "text")
+    return rows.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "text")  # a row a language, as in the model
 
 
 def train(docs: DataFrame, learn: Column, path: str | None = None, max_docs: int = 1500, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -218,13 +247,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p, prior = shared.value
         place: dict[str, int] = {}
+        letters = 0
         known = np.zeros((0, len(langs)), dtype=np.float32)
         for batch in batches:
             texts = [Counter(words_of(t)) for t in tokens.columns(batch, "text")[0]]
             fresh = list(set().union(*texts) - place.keys())
-            if len(place) + len(fresh) > REMEMBERED:
-                place, known = {}, known[:0]
+            if len(place) + len(fresh) > REMEMBERED or letters > REMEMBERED_LETTERS:
+                place, known, letters = {}, known[:0], 0
                 fresh = list(set().union(*texts))
+            letters += sum(map(len, fresh))
             if fresh and langs:
                 place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
                 known = np.concatenate([known, word_scores(fresh, log_p, path).astype(np.float32)])
@@ -247,15 +278,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
     return docs.mapInArrow(score, schema)
 
 
+def remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+
+
 def learnable() -> Column:
     """Rows that a model may learn from; a quarter, by a checksum of doc_id, is held out."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(True))
+    return F.coalesce(remainder() != 2, F.lit(False))
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     model = train(docs.select("doc_id", "text", "lang"), learnable())
-    rows = docs.select("doc_id", (~learnable()).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text")
     return predict(rows, model)
 
 

@@ -16,7 +16,9 @@ a window's share or a sequence ends.
 
 Edge cases: null and empty texts are one id; a null source is the queue ''; null and
 repeated doc_ids are documents like any other; other columns are ignored; an empty table
-gives no pieces. Sources are to be at most `max_sources`, else it raises.
+gives no pieces. More sources than `max_lanes` share lanes, by a hash: lanes take turns, and
+within each lane its sources do, so that every window still has all of them in proportion
+and no task holds the totals of more than the lanes and of the sources in one lane.
 """
 
 from __future__ import annotations
@@ -122,34 +124,66 @@ def write_queues(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = 0
     return scratch.save(rows.mapInArrow(write, "shard int, doc_id long, source string, ahead long, n_tokens long, ids binary"), "queues")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, max_sources: int = 10_000) -> DataFrame:
+def lanes_of(sources: DataFrame, weights: dict[str, float] | None, n_sources: int, max_lanes: int) -> DataFrame:
+    """source, lane, n, weight: a lane is a source, or some sources by a hash if there are more than max_lanes."""
+    if weights:
+        floor = min([w for w in weights.values() if w > 0], default=1.0) / 1000  # a queue without a weight comes last
+        named = sources.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
+        sources = sources.join(named, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(floor)))
+    else:
+        sources = sources.withColumn("weight", F.col("n").cast("double"))
+    lane = F.col("source") if n_sources <= max_lanes else F.pmod(F.xxhash64("source"), F.lit(max_lanes)).cast("string")
+    return sources.withColumn("lane", lane)
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, max_lanes: int = 10_000) -> DataFrame:
     """Pieces of all documents in sequences. weights: target proportions by source; by
     default the sources' token shares, so that every window mixes as the whole does."""
     tokenizer, scratch = tokenizer or tokens.default_path(), Scratch(docs.sparkSession, "packing")
     queues = write_queues(docs, scratch, tokenizer)
     dtype = "<u2" if tokens.vocabulary_size(tokenizer) <= 1 << 16 else "<u4"
     parts = scratch.save(queues.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n")), "parts")
-    totals = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    names = {r["source"]: k for k, r in enumerate(totals)}
-    floor = min([w for w in (weights or {}).values() if w > 0], default=1.0) / 1000  # a queue without a weight comes last
-    rounds = Rounds([r["n"] for r in totals], [max((weights or {}).get(r["source"], 0), floor) if weights else r["n"] for r in totals]) if totals else None
+    sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    n_sources = sources.count()
+    lanes = scratch.save(lanes_of(sources, weights, n_sources, max_lanes), "lanes")
+    # A row a lane, max_lanes at most.
+    totals = lanes.groupBy("lane").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).orderBy("lane").collect()
+    names = {r["lane"]: k for k, r in enumerate(totals)}
+    rounds = Rounds([r["n"] for r in totals], [r["weight"] for r in totals]) if totals else None
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("shard", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("before"))
     offsets = F.broadcast(offsets) if parts.count() <= BROADCAST_ROWS else offsets
+    rows = queues.join(offsets, ["shard", "source"])
+    if n_sources > max_lanes:
+        members = lanes.groupBy("lane").agg(F.sort_array(F.collect_list(F.struct("source", "n", "weight"))).alias("m"))
+        members = members.select("lane", *[F.col(f"m.{c}").alias(c + "s") for c in ("source", "n", "weight")])
+        rows = rows.join(lanes.select("source", "lane"), "source").join(members, "lane")
+
+    def in_lane(batch: pa.RecordBatch, begin: np.ndarray, size: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        """Of each document: runs (start in it, place in its lane, length). The queues of a lane take turns as lanes do."""
+        if n_sources <= max_lanes:
+            return [[(0, int(b), int(n))] for b, n in zip(begin, size, strict=True)]
+        out, known = [], {}
+        for lane, source, b, n, *own in zip(*tokens.columns(batch, "lane", "source"), begin, size, *tokens.columns(batch, "sources", "ns", "weights"), strict=True):
+            if lane not in known:
+                known[lane] = ({x: k for k, x in enumerate(own[0])}, Rounds(own[1], own[2]))
+            place, inner = known[lane]
+            out.append([(done, at, take) for done, take, _, at in cut(inner, np.array([place[source]]), np.array([b]), np.array([n]), window, 1 << 62)[0]])
+        return out
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, sources, ahead, sizes, payload, first = tokens.columns(batch, "doc_id", "source", "ahead", "n_tokens", "ids", "before")
+            doc_ids, keys, ahead, sizes, payload, first = tokens.columns(batch, "doc_id", "source" if n_sources <= max_lanes else "lane", "ahead", "n_tokens", "ids", "before")
             if not doc_ids:
                 continue
-            queue = np.array([names[s] for s in sources])
-            begin, size = np.array(first) + np.array(ahead), np.array(sizes)
-            rows = []
-            for doc_id, n, raw, own in zip(doc_ids, sizes, payload, cut(rounds, queue, begin, size, window, length), strict=True):
-                ids = np.frombuffer(raw, dtype).astype("<u4")
-                rows += [(doc_id, start, take, zlib.crc32(ids[start : start + take].tobytes()), n, sequence, offset) for start, take, sequence, offset in own]
+            runs = in_lane(batch, np.array(first) + np.array(ahead), np.array(sizes))
+            flat = [(k, names[keys[k]], done, at, take) for k, own in enumerate(runs) for done, at, take in own]
+            doc, queue, done, begin, size = (np.array(x) for x in zip(*flat, strict=True))
+            rows, ids = [], [np.frombuffer(raw, dtype).astype("<u4") for raw in payload]
+            for k, offset_in, own in zip(doc.tolist(), done.tolist(), cut(rounds, queue, begin, size, window, length), strict=True):
+                for start, take, sequence, offset in own:
+                    start += offset_in
+                    rows.append((doc_ids[k], start, take, zlib.crc32(ids[k][start : start + take].tobytes()), sizes[k], sequence, offset))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=PIECES)
 
-    return queues.join(offsets, ["shard", "source"]).mapInArrow(pieces, ", ".join(f"{x} long" for x in PIECES))
+    return rows.mapInArrow(pieces, ", ".join(f"{x} long" for x in PIECES))

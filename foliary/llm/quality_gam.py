@@ -12,7 +12,8 @@ reads every row. The model is features x bins.
 
 Edge cases: null and empty texts have features of zero and get the model's score for
 them; rows without a label are scored and not learned from, labels other than 0 and 1 or
-null are ignored, a doc_id with several labels counts once with their mean rounded up;
+null are ignored, a doc_id with several labels counts once with their mean rounded up, and
+one with several texts with the one that sorts first;
 with no labels, or one kind only, the score is their smoothed share; repeated rows and null
 doc_ids are scored like any other; labels, lang, source and doc_id are never inputs.
 """
@@ -180,8 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
     rows = scratch.save(rows.where("doc_id IS NOT NULL"), "labels")
     share = min(1.0, max_rows / max(1, rows.count()))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    # About max_rows rows of 12 bytes: a proven bound.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    # About max_rows rows of 12 bytes: a proven bound. A doc_id that stands in several rows gives one text.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     table = texts.mapInArrow(measured, "label int, x array<double>").toArrow()
     scratch.close()
     x = np.array(table.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliary.llm import langid, quality_gam
 
 PATH = langid.default_path()
+LONGEST_WORD = 48
 
 
 def segmentations(word, vocab):
@@ -17,7 +18,7 @@ def segmentations(word, vocab):
     def rest(at):
         if at == len(marked):
             yield []
-        for m in range(1, min(langid.LONGEST_PIECE, len(marked) - at) + 1):
+        for m in range(1, len(marked) - at + 1):
             piece = vocab.get(marked[at : at + m], len(vocab) if m == 1 else None)
             if piece is not None:
                 for more in rest(at + m):
@@ -44,8 +45,8 @@ def test_sums_over_all_segmentations():
 
 def test_long_words_do_not_vanish():
     log_p = np.full((len(langid.vocabulary(PATH)) + 1, 2), -12.0)
-    assert np.isfinite(langid.word_scores(["日" * langid.LONGEST_WORD], log_p, PATH)).all()
-    assert "".join(langid.words_of("é" * 1000)) == "é" * 1000
+    assert np.isfinite(langid.word_scores(["日" * LONGEST_WORD], log_p, PATH)).all()
+    assert langid.words_of("é" * 1000 + " b") == ["é" * 1000, "b"]
     assert langid.words_of(None) == langid.words_of("12 _ !!") == []
 
 
@@ -115,12 +116,12 @@ def test_runs_of_letters_no_language_knows(spark):
     for k, word in enumerate(["wort", "word"]):
         total[[vocab[langid.MARK], *map(vocab.get, word)], k] += 1_000_000
     log_p = np.log(total / total.sum(axis=0))
-    run = "ሀ" * langid.LONGEST_WORD
+    run = "ሀ" * LONGEST_WORD
     assert "ሀ" not in vocab
     scores = langid.word_scores([run], log_p, PATH)
-    assert np.allclose(scores, log_p[vocab[langid.MARK]] + langid.LONGEST_WORD * log_p[len(vocab)])
+    assert np.allclose(scores, log_p[vocab[langid.MARK]] + LONGEST_WORD * log_p[len(vocab)])
     counts = langid.expected_counts([run], np.ones(1), log_p[:, 0], PATH)
-    assert np.isclose(counts[len(vocab)], langid.LONGEST_WORD) and np.isclose(counts[vocab[langid.MARK]], 1)
+    assert np.isclose(counts[len(vocab)], LONGEST_WORD) and np.isclose(counts[vocab[langid.MARK]], 1)
     df = spark.createDataFrame([(1, run), (2, f"word word {run} word {run * 3}"), (3, f"{run} wort")], "doc_id long, text string")
     rows = langid.predict(df, (["de", "en"], log_p, np.log([0.5, 0.5]))).orderBy("doc_id").collect()
     assert [r.lang_pred for r in rows][1:] == ["en", "de"] and all(0 <= r.score <= 1 for r in rows)
@@ -144,3 +145,62 @@ def test_all_pieces_of_the_vocabulary_are_summed():
             ends = [(i, vocab.get(marked[i:j], len(vocab) if j - i == 1 else None)) for i in range(j)]
             sums.append(sum(sums[i] * p[piece] for i, piece in ends if piece is not None))
         assert np.allclose(got, np.log(sums[-1]))
+
+
+def forwards(word, p, vocab):
+    """The sum over all segmentations by plain logarithms, place after place."""
+    marked, sums = langid.MARK + word, [np.zeros(p.shape[1])]
+    for j in range(1, len(marked) + 1):
+        ends = [(i, vocab.get(marked[i:j], len(vocab) if j - i == 1 else None)) for i in range(max(0, j - 40), j)]
+        sums.append(np.logaddexp.reduce([sums[i] + p[piece] for i, piece in ends if piece is not None]))
+    return sums[-1]
+
+
+def test_words_are_never_cut(monkeypatch):
+    """Words of 60 letters and of thousands: one sum over all their segmentations."""
+    vocab, r = langid.vocabulary(PATH), np.random.default_rng(6)
+    p = r.random((len(vocab) + 1, 3))
+    p = np.log(p / p.sum(axis=0))
+    pieces = [x.removeprefix(langid.MARK) for x in vocab if len(x) > 2]
+    words = ["".join(r.choice(pieces, 20))[:60], "".join(r.choice(pieces, 900)), "日本語" * 700, "a"]
+    want = np.array([forwards(w, p, vocab) for w in words])
+    assert np.allclose(langid.word_scores(words, p, PATH), want)
+    monkeypatch.setattr(langid, "LONG", 0)
+    assert np.allclose(langid.word_scores(words, p, PATH), want)
+    monkeypatch.setattr(langid, "TABLE", 1)
+    assert np.allclose(langid.word_scores(words, p, PATH), want)
+
+
+def test_query_against_brute_force(docs, odd_docs):
+    """Every row's language and posterior from the model, by a plain recursion over whole texts."""
+    for df in (docs, odd_docs):
+        df = df.select("doc_id", "text", "lang")
+        langs, log_p, prior = langid.train(df, langid.learnable())
+        vocab = langid.vocabulary(PATH)
+        got = sorted(langid.language_id(df).collect(), key=str)
+        assert len(got) == df.count()
+        texts = {}
+        for r in df.collect():
+            texts.setdefault(r.doc_id, set()).add(r.text)
+        known = {}
+        for r in got:
+            wanted = []
+            for text in texts[r.doc_id]:
+                words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+                if not words:
+                    wanted.append(("und", 0.0))
+                    continue
+                sums = prior.copy()
+                for w in words:
+                    if w not in known:
+                        known[w] = forwards(w, log_p, vocab)
+                    sums = sums + known[w]
+                share = np.exp(sums - np.logaddexp.reduce(sums))
+                wanted.append((langs[int(share.argmax())], float(share.max())))
+            assert any(r.lang_pred == lang and abs(r.score - score) < 1e-3 for lang, score in wanted)
+
+
+def test_many_languages(spark):
+    rows = [(k, f"{chr(0x61 + k % 26)}{chr(0x61 + k // 26 % 26)}wort " * 3, f"l{k:03d}") for k in range(600)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 600 and len({r.lang_pred for r in got}) > 300

@@ -108,13 +108,13 @@ def test_unfinished_document(spark):
     assert [(r.ordinal, r.start, r.n_tokens, r.complete) for r in got] == [(0, 0, 1, True), (1, 1, 4, True), (2, 5, 1, True), (3, 6, 2, False)]
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 3.0}, "uniform"])
+@pytest.mark.parametrize("weights, lanes", [(None, 10_000), ({"a": 1.0, "b": 3.0}, 10_000), ("uniform", 10_000), (None, 2), ("uniform", 2)])
 @pytest.mark.parametrize("name", ["docs", "odd_docs"])
-def test_packing(name, weights, request, library):
+def test_packing(name, weights, lanes, request, library):
     df = request.getfixturevalue(name)
     if weights == "uniform":
         weights = {r.source or "": 1.0 for r in df.collect()}
-    pieces = packing.pack(df, weights=weights, window=8192).collect()
+    pieces = packing.pack(df, weights=weights, window=8192, max_lanes=lanes).collect()
     rows = df.collect()
     whole = defaultdict(int)
     for r in rows:
@@ -140,6 +140,21 @@ def test_packing(name, weights, request, library):
         assert at == 1024 or k == len(sequences) - 1
 
 
+def test_lanes_mix_their_sources(spark):
+    """With fewer lanes than sources every window still has all sources in proportion."""
+    df = spark.range(1200).selectExpr("id AS doc_id", "repeat('a ', 40) AS text", "CASE WHEN id % 2 = 0 THEN 'big' ELSE concat('s', id % 6) END AS source").repartition(3)
+    pieces = packing.pack(df, window=4096, max_lanes=2).collect()
+    total, share = 0, {}
+    for p in pieces:
+        window = (p.sequence_id * 1024 + p.offset) // 4096
+        total += p.length
+        source = "big" if p.doc_id % 2 == 0 else f"s{p.doc_id % 6}"
+        share[window, source] = share.get((window, source), 0) + p.length
+    for window in range(total // 4096):
+        assert abs(share[window, "big"] / 4096 - 0.5) < 0.05
+        assert all(abs(share[window, f"s{k}"] / 4096 - 1 / 6) < 0.05 for k in (1, 3, 5))
+
+
 def test_windows_hold_their_shares():
     rounds = packing.Rounds([100_000, 50_000, 7, 50_000], [2, 1, 1e-4, 1])
     n = np.arange(0, 200_008, 997)
