@@ -1,48 +1,67 @@
 """A training-corpus pipeline over `documents`.
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
-DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last keep the columns of documents. Sources below the largest are repeated up to
-`MOST_REPEATS` times by the mixture, so a doc_id can stand in more than one row after it.
+DataFrame, which is written as Parquet and read again as the next one's docs. So a stage
+begins by deleting the intermediate tables of the one before. All but the last keep the
+columns of documents. Sources below the largest are repeated up to `MOST_REPEATS` times by
+the mixture, so a doc_id can stand in more than one row after it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from foliary.llm import exact_dedup, jaccard_rtree, langid, mixing, packing
 from foliary.llm.scratch import Scratch, tune
 
 MOST_REPEATS = 1.25
+#: Intermediate tables of the stage that ran last.
+_before: list[Scratch] = []
+
+
+def stage(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark)
+        while _before:
+            _before.pop().close()
+        there = list(Scratch.live)
+        out = operator(docs)
+        _before.extend(x for x in Scratch.live if x not in there)
+        return out
+
+    run_stage.__doc__ = operator.__doc__
+    return run_stage
 
 
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@stage
+def known_language(docs: DataFrame) -> DataFrame:
     """Documents without a language that can be told go."""
-    tune(spark)
     return langid.keep_known(docs)
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@stage
+def exact_copies(docs: DataFrame) -> DataFrame:
     """Of equal texts the longest original stays."""
-    tune(spark)
     return exact_dedup.drop_copies(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@stage
+def near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    tune(spark)
     return jaccard_rtree.drop_near_copies(docs)
 
 
-def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@stage
+def mixed_sources(docs: DataFrame) -> DataFrame:
     """Every document at least once, those of small sources up to the repetition limit."""
-    tune(spark)
     return mixing.mix(docs, max_repeats=MOST_REPEATS)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@stage
+def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all rows in sequences of 1024 tokens."""
-    tune(spark)
     return packing.pack(docs)
 
 
@@ -60,8 +79,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, one) in enumerate(STAGES):
+        docs = one(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.save(docs, name)
             if k:
