@@ -66,6 +66,8 @@ TABLE_BYTES = 64 << 20
 KEY_BITS = 44
 #: Rows of a few numbers that may be broadcast (at most 40 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of points that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 U = np.uint64
 
 
@@ -258,7 +260,9 @@ def family_edges(shared: DataFrame, classes: DataFrame, limits: Limits, scratch:
     counts = shared.groupBy("group").agg(F.ceil(F.count("*") / CELL).cast("long").alias("buckets")).where("buckets > 1")
     rows = cells(shared, "group", scratch.save(counts, "large-groups"))
     wanted = scratch.save(classes.select("class", "n", "point").join(shared.select("class").distinct(), "class"), "points")
-    rows = rows.join(bounded(wanted), "class").select("group", "cell", "bucket", "class", "n", "point")
+    size = wanted.agg(F.sum(F.octet_length("point") + 16)).first()[0] or 0
+    wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
+    rows = rows.join(wanted, "class").select("group", "cell", "bucket", "class", "n", "point")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _, bucket, own, n, points), at, _, _ in whole_runs(batches, "group", "cell"):

@@ -54,8 +54,9 @@ class Scratch:
             files.delete(path, True)
 
     def close(self) -> None:
-        path, files = self._path(self.root)
-        files.delete(path, True)
+        if self.spark.sparkContext._jsc is not None:  # else the application has ended, and with it the tables
+            path, files = self._path(self.root)
+            files.delete(path, True)
         if self in Scratch.live:
             Scratch.live.remove(self)
 
