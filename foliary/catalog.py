@@ -479,6 +479,23 @@ def r7_inter_event(spark, sf_dir):
     return links.sections(events(spark, sf_dir))
 
 
+LINKED = PAIRS + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, name ORDER BY round(score, 9) DESC, ord) AS rank FROM s WHERE score >= 4) WHERE rank <= 3),
+r AS (SELECT project, name, '## Related' || chr(10) || chr(10) || string_agg('- [[' || peer || ']]', chr(10) ORDER BY rank) AS related FROM top GROUP BY 1, 2),
+n AS (SELECT project, note_filename AS name, subfolder, lag(note_filename) OVER w AS p, lead(note_filename) OVER w AS x FROM (SELECT DISTINCT project, subfolder, event_date, note_filename FROM v_event) WINDOW w AS (PARTITION BY project, subfolder ORDER BY event_date, note_filename)),
+m AS (SELECT project, name, nullif(concat_ws(chr(10), '← Previous in ' || subfolder || ': [[' || p || ']]  ', '→ Next in ' || subfolder || ': [[' || x || ']]'), '') AS near FROM n),
+z AS (SELECT project, name, '<!-- related-start -->' || chr(10) || concat_ws(chr(10) || chr(10), related, near) || chr(10) || '<!-- related-end -->' AS section FROM m LEFT JOIN r USING (project, name) WHERE related IS NOT NULL OR near IS NOT NULL)"""
+
+
+@query("r8_linked_bodies", LINKED + """
+SELECT v.project, note_filename AS name, CASE WHEN ord % 10 = 0 THEN 'Error: no such note' ELSE 'text ' || ord || coalesce(chr(10) || chr(10) || section || chr(10), CASE WHEN ord % 10 = 1 THEN chr(10) ELSE '' END) END AS body
+FROM v_event v LEFT JOIN z ON z.project = v.project AND z.name = v.note_filename""")
+def r8_linked_bodies(spark, sf_dir):
+    own = events(spark, sf_dir)
+    old = F.when(F.col("ord") % 10 == 1, F.lit(f"\n\n{text.MARKER_START}\nold\n{text.MARKER_END}\n")).otherwise("")
+    body = F.when(F.col("ord") % 10 == 0, "Error: no such note").otherwise(F.concat(F.lit("text "), F.col("ord").cast("string"), old))
+    return scan.linked_bodies(own, own.select("project", F.col("note_filename").alias("name"), body.alias("body")))
+
+
 @query("t1_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 7 DAY THEN 1 ELSE 0 END AS g FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
 r AS (SELECT *, sum(g) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
 SELECT user_id, event_type, min(ts) AS start, max(ts) AS "end", count(*) AS n_events FROM r GROUP BY user_id, event_type, i""")
@@ -560,7 +577,8 @@ def f42_source_plan(spark, sf_dir):
     return plan.select("topic", F.get("english", F.lit(3)).alias("news"), (F.size("chinese") == 5).alias("chinese"), F.get("urls", F.lit(0)).alias("page"))
 
 
-@query("a21_page_text")
+@query("a21_page_text", """WITH p AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, text, length(text) < 500 AS stub FROM p""")
 def a21_page_text(spark, sf_dir):
     return archive.page_fields(table(spark, sf_dir, "pages"))
 
@@ -571,17 +589,34 @@ def f9_stem_normalize(spark, sf_dir):
     return docs.select("doc_id", text.normalized_stem("text").alias("stem"), text.topic_slug(F.col("text")).alias("slug"))
 
 
-@query("r22_scan")
+@query("r22_scan", with_views("v_file", "v_index") + f""", h(ext, category) AS (VALUES {HANDLERS}),
+bp AS (SELECT * FROM v_index QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY ord DESC) = 1), bf AS (SELECT * FROM v_index QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ord DESC) = 1),
+d AS (SELECT f.*, CASE WHEN bp.fingerprint = f.fingerprint THEN 'skip' WHEN bp.fingerprint IS NOT NULL THEN 'rescan' WHEN bf.ord IS NOT NULL THEN 'rename' ELSE 'new' END AS action,
+  CASE WHEN bp.ord IS NOT NULL THEN bp.note_path ELSE bf.note_path END AS existing_note_path, CASE WHEN bp.ord IS NULL THEN bf.source_path END AS old_source_path, CASE WHEN length(text) = 0 THEN 'none' WHEN length(text) <= 100 THEN 'low' ELSE 'high' END AS confidence
+  FROM v_file f LEFT JOIN bp ON bp.source_path = f.path LEFT JOIN bf ON bf.fingerprint = f.fingerprint WHERE NOT (source LIKE 'src1%' OR source LIKE '%9' OR lang IN ('es', 'en')))
+SELECT path, action, existing_note_path, old_source_path, CAST(make_timestamp(mtime * 1000000)::DATE AS VARCHAR) AS event_date, 'mtime' AS event_date_source, category, size AS read_bytes, confidence,
+  CASE WHEN category IS NULL THEN 'unknown' WHEN category IN ('video', 'audio', 'archive') THEN category WHEN confidence = 'none' THEN 'no_content' END AS skip_reason
+FROM d LEFT JOIN h ON h.ext = regexp_extract(path, '\\.([^./]+)$', 1) WHERE action <> 'skip'""")
 def r22_scan(spark, sf_dir):
-    return scan.scan(view(spark, sf_dir, "v_file"), view(spark, sf_dir, "v_index"), SKIPS)
-
-
-@query("r1_project_pages")
+    return spelled(scan.scan(view(spark, sf_dir, "v_file"), view(spark, sf_dir, "v_index"), SKIPS))
+
+
+@query("r1_project_pages", LABELLED + """,
+b AS (SELECT project, folder, min(s) AS s, string_agg('        ' || label || ' :' || s || CASE WHEN s = e THEN ', 1d' ELSE ', ' || e END, chr(10) ORDER BY island) AS bars FROM l GROUP BY 1, 2),
+g AS (SELECT project, '```mermaid' || chr(10) || 'gantt' || chr(10) || '    title ' || project || chr(10) || '    dateFormat YYYY-MM-DD' || chr(10) || string_agg('    section ' || folder || chr(10) || bars, chr(10) ORDER BY s, folder) || chr(10) || '```' AS block FROM b GROUP BY project),
+p AS (SELECT project, subfolder, '### ' || subfolder || '/' || chr(10) || string_agg('- ==' || event_date || '== — [[' || note_filename || ']]', chr(10) ORDER BY event_date, note_filename) AS part FROM v_event GROUP BY 1, 2),
+n AS (SELECT project, string_agg(part, chr(10) || chr(10) ORDER BY subfolder) AS nav FROM p GROUP BY project HAVING count(*) > 1),
+o AS (SELECT project, party, min(ord) AS o FROM v_event GROUP BY 1, 2), q AS (SELECT project, string_agg(party, ', ' ORDER BY o) AS parties FROM o GROUP BY project),
+h AS (SELECT project, CASE WHEN DATE '2024-08-01' - max(event_date) <= 180 THEN 'active' WHEN DATE '2024-08-01' - max(event_date) <= 730 THEN 'on-hold' ELSE 'completed' END AS status, min(event_date) AS s FROM v_event GROUP BY project)
+SELECT project, concat_ws(chr(10) || chr(10), '---' || chr(10) || 'project: ' || project || chr(10) || 'status: ' || status || chr(10) || 'timeline_start: ' || h.s || chr(10) || '---', '# ' || project,
+  '## Parties' || chr(10) || chr(10) || parties, '## Timeline' || chr(10) || chr(10) || block, '## Substructures' || chr(10) || chr(10) || nav) AS page FROM h LEFT JOIN q USING (project) LEFT JOIN g USING (project) LEFT JOIN n USING (project)""")
 def r1_project_pages(spark, sf_dir):
     return scan.project_pages(events(spark, sf_dir), TODAY)
 
 
-@query("r10_research_report")
+@query("r10_research_report", f"""WITH {SOURCES}, n AS (SELECT *, page_id % 7 AS report, row_number() OVER (PARTITION BY page_id % 7 ORDER BY tier, page_id) AS k FROM t)
+SELECT report, 'tier 1: ' || count(*) FILTER (tier = 1) || ', tier 2: ' || count(*) FILTER (tier = 2) || ', tier 3: ' || count(*) FILTER (tier = 3) || ', tier 4: ' || count(*) FILTER (tier = 4) || chr(10) || chr(10)
+  || string_agg('[^' || k || ']: ' || url || ' (tier ' || tier || ')', chr(10) ORDER BY k) AS block FROM n GROUP BY report""")
 def r10_research_report(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("report"), "url", urls.tier(F.col("url"), tiers=TIERS).alias("tier"), F.col("page_id").alias("ord"))
     return research.report(pages)
@@ -797,6 +832,55 @@ def t2_merge(spark, sf_dir):
     return new.drop("ord").crossJoin(sums)  # one row
 
 
+@query("a18_log_entries", with_views("v_log") + """
+SELECT CAST(conv_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS entry, '## ' || turn || ' | ' || role AS header, 'turn ' || turn || chr(10) || '- ' || length(text) AS body FROM v_log""")
+def a18_log_entries(spark, sf_dir):
+    said = [F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" | "), "role"), F.concat(F.lit("turn "), F.col("turn").cast("string")), F.concat(F.lit("- "), F.char_length("text").cast("string"))]
+    lines = view(spark, sf_dir, "v_log").select(F.col("conv_id").cast("string").alias("file"), "turn", F.posexplode(F.array(*said)).alias("k", "line"))
+    first = lines.select("file").distinct().select("file", F.lit(-1).cast("long").alias("pos"), F.lit("before any entry").alias("line"))
+    return rows.log_entries(lines.select("file", (F.col("turn") * 3 + F.col("k")).cast("long").alias("pos"), "line").unionByName(first))
+
+
+@query("a25_image_urls", with_views("v_file") + """
+SELECT path AS note, 'http://x/' || (ord % 3) || '.png' AS url, 1 AS k FROM v_file UNION ALL SELECT path, 'http://x/' || (ord % 5 + 10) || '.png', 2 FROM v_file""")
+def a25_image_urls(spark, sf_dir):
+    image = lambda n: F.concat(F.lit("![a](http://x/"), n.cast("string"), F.lit(".png) "))
+    body = F.concat(image(F.col("ord") % 3), image(F.col("ord") % 5 + 10), image(F.col("ord") % 3), F.lit("[no](http://x/z.png)"))
+    return research.image_urls(view(spark, sf_dir, "v_file").select(F.col("path").alias("note"), body.alias("body")))
+
+
+@query("f17_abstracts", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'said ' || p_name ELSE p_name || ' is a part of some kind.' END AS abstract FROM part")
+def f17_abstracts(spark, sf_dir):
+    marked = F.concat(F.lit("# T\n> [!abstract] Overview\n> said\n> "), "p_name", F.lit("\n\ntext"))
+    plain = F.concat(F.lit("# T\n\n- "), "p_name", F.lit(" is a part of some kind. More of it.\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.abstract(F.when(F.col("p_partkey") % 2 == 0, marked).otherwise(plain)).alias("abstract"))
+
+
+@query("k2_index_notes", """WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'lost' ELSE 'active' END AS status, CASE WHEN c_custkey % 4 = 0 THEN '2024-1-1' ELSE '2024-01-01' END AS s, CASE WHEN c_custkey % 5 = 0 THEN 'a/b' ELSE 'a' END AS domain FROM customer),
+c AS (SELECT c_custkey, list_filter([CASE WHEN status = 'lost' THEN 'enum:status' END, CASE WHEN s = '2024-1-1' THEN 'date:timeline_start' END, CASE WHEN domain = 'a/b' THEN 'domain-path' END], lambda x: x IS NOT NULL) AS v FROM f)
+SELECT CAST(c_custkey AS VARCHAR) AS note_path, (i - 1)::INT AS pos, v[i] AS violation FROM (SELECT c_custkey, v, unnest(range(1, len(v) + 1)) AS i FROM c)""")
+def k2_index_notes(spark, sf_dir):
+    own = {"status": F.when(F.col("c_custkey") % 3 == 0, "lost").otherwise("active"), "timeline_start": F.when(F.col("c_custkey") % 4 == 0, "2024-1-1").otherwise("2024-01-01"), "domain": F.when(F.col("c_custkey") % 5 == 0, "a/b").otherwise("a"), "note_type": F.lit(model.INDEX_NOTE_TYPE)}
+    own |= {f: F.lit("x") for f in model.INDEX_NOTE_REQUIRED if f not in own}
+    own |= {f: F.lit("") for f in ("timeline_end",)}
+    fm = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
+    return validate.violations(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("note_path"), fm.alias("fm")))
+
+
+@query("k10_effective", """SELECT n_name AS name, 'p,d' || n_regionkey || ',t' AS skip_patterns, CASE WHEN n_nationkey % 2 = 0 THEN 'own' ELSE 'all' END AS fallback, 'd' || n_nationkey AS tone, 't' AS font FROM nation""")
+def k10_effective(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    style = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+    lists = lambda own: [(own if c == "skip_patterns" else none).alias(c) for c in config.LISTS]
+    nation = table(spark, sf_dir, "nation")
+    domains = nation.select(F.col("n_name").alias("name"), F.lit("t1").alias("template"), F.lit("/a").alias("archive_root"), *lists(F.array(F.concat(F.lit("d"), F.col("n_regionkey").cast("string")), F.lit("t"))), F.when(F.col("n_nationkey") % 2 == 0, "own").otherwise("").alias("fallback"), style(tone=F.concat(F.lit("d"), F.col("n_nationkey").cast("string"))).alias("style"))
+    one = spark.range(1)
+    templates_ = one.select(F.lit("t1").alias("name"), *lists(F.array(F.lit("t"))), F.lit(None).cast("string").alias("fallback"), style(tone=F.lit("t"), font=F.lit("t")).alias("style"))
+    project = one.select(*lists(F.array(F.lit("p"))), F.lit(None).cast("string").alias("fallback"), F.lit(None).cast("map<string,string>").alias("style"), F.lit(None).cast("map<string,string>").alias("global_style"))
+    found = config.effective(domains, templates_, project)
+    return found.select("name", F.array_join("skip_patterns", ",").alias("skip_patterns"), F.when(F.col("fallback") == "Inbox", "all").otherwise(F.col("fallback")).alias("fallback"), F.col("style")["tone"].alias("tone"), F.col("style")["font"].alias("font"))
+
+
 @query("b3_newest_snapshots", "SELECT o_orderkey, o_orderstatus AS snapshot FROM orders WHERE o_orderstatus IN (SELECT DISTINCT o_orderstatus FROM orders ORDER BY 1 DESC LIMIT 2)")
 def b3_newest_snapshots(spark, sf_dir):
     return lookup.newest_snapshots(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("snapshot")))
