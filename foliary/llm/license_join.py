@@ -163,10 +163,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
 
 def oracle_sql(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same by brute force: every line against every template."""
+    """The same by brute force: every stretch of a template's reach that begins with a template word."""
     words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
-    known = ", ".join(f"('{label}', list_distinct({text.split()}))" for label, text in (TEMPLATES if templates is None else templates))
+    known = ", ".join(f"('{label}', list_distinct({text.split()}), {reach(text)})" for label, text in (TEMPLATES if templates is None else templates))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents),
@@ -175,10 +175,11 @@ phrase(p, label) AS (VALUES {phrases}),
 hit AS (SELECT rid, i, label FROM (SELECT rid, ws, unnest(range(len(ws))) AS i FROM w) x, phrase
         WHERE ws[i + 1] = p[1] AND list_slice(ws, i + 1, i + len(p)) = p),
 base AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM hit GROUP BY rid),
-block AS (SELECT rid, {words.format("line")} AS b FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
-known(label, k) AS (VALUES {known}),
-found AS (SELECT rid, label, len(list_intersect(k, b)) / len(k) AS share FROM block, known
-          WHERE len(list_intersect(k, b)) >= ceil({threshold} * len(k) - 1e-9)),
+known(label, k, reach) AS (VALUES {known}),
+place AS (SELECT rid, i, ws[i + 1] AS word FROM (SELECT rid, ws, unnest(range(len(ws))) AS i FROM w)),
+own AS (SELECT rid, label, i, p.word, len(k) AS size, reach FROM place p JOIN (SELECT label, k, reach, unnest(k) AS word FROM known) USING (word)),
+found AS (SELECT a.rid, a.label, count(DISTINCT b.word) / a.size AS share FROM own a JOIN own b ON b.rid = a.rid AND b.label = a.label AND b.i >= a.i AND b.i < a.i + a.reach
+          GROUP BY a.rid, a.label, a.i, a.size HAVING count(DISTINCT b.word) >= ceil({threshold} * a.size - 1e-9)),
 more AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY rid)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

@@ -121,13 +121,7 @@ def scan(text, templates, threshold):
         own = phrase.split()
         hits += [(i, label) for i in range(len(words)) if words[i : i + len(own)] == own]
     base = {label for _, label in hits}
-    shares = {}
-    for line in text.split("\n"):
-        block = set(WORD.findall(line))
-        for label, t in templates:
-            share = len(block & set(t.split())) / len(set(t.split()))
-            if share >= threshold - 1e-9:
-                shares[label] = max(share, shares.get(label, 0))
+    shares = stretches(text, templates, threshold)
     at = [i for i, _ in hits]
     score = 1.0 if hits else max(shares.values(), default=0.0)
     return (len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(shares))), score)

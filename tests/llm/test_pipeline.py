@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
-from foliary.llm import tokens
+from foliary.llm import langid, tokens
 from tests.llm.test_exact_dedup import brute as exact
 from tests.llm.test_jaccard import brute as near
 from tests.llm.test_mixing_licenses import key, plan
@@ -21,6 +21,8 @@ def test_stages(spark, docs, tmp_path):
         assert k == 4 or now.columns == names
     before, after = seen["language_id"]
     assert {r.doc_id for r in before if any(c.isalpha() for c in r.text)} >= {r.doc_id for r in after} and len(after) >= 0.97 * len(before)
+    told = langid.predict(docs.select("doc_id", "text"), langid.train(docs.select("doc_id", "text", "lang"), langid.learnable())).collect()
+    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in told if r.lang_pred != "und" and r.score >= 0.5)
     before, after = seen["exact_dedup"]
     assert sorted(r.doc_id for r in after) == sorted(d for d, _, _, kept, _ in exact(before) if kept)
     before, after = seen["ngram_jaccard"]
