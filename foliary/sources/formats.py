@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -84,15 +84,17 @@ def embedded(raw: bytes) -> list[tuple[str, bytes]]:
         return [(n.rsplit("/", 1)[-1], z.read(n)) for n in sorted(z.namelist()) if re.match(r"(word|ppt|xl)/media/.", n)]
 
 
-def extract_text(files: DataFrame) -> DataFrame:
-    """[A40, A41, A31-A35] files (path, content) -> path, text, error. Types without a reader here
-    give an error; one bad file never fails the others."""
+def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """[A40, A41, A31-A35] files (path, content) -> path, text, error. readers: more of them by
+    extension, for example of a PDF library that is at hand, or other ones for known types. Types
+    without a reader give an error; one bad file never fails the others."""
+    known = READERS | (readers or {})
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                reader = READERS.get(path.rsplit(".", 1)[-1].lower())
+                reader = known.get(path.rsplit(".", 1)[-1].lower())
                 try:
                     rows.append((path, reader(raw), None) if reader else (path, "", "no reader"))
                 except Exception as e:  # a broken file is a row, not a failed task

@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from foliary import model
 
+#: Reads of a task that may hang at once.
+THREADS = 4
 Lister = Callable[[str], Iterator[tuple[str, int, int]]]
 
 
@@ -53,20 +55,27 @@ def register(spark: SparkSession, name: str, lister: Lister) -> None:
 
 
 def fetch(files: DataFrame, read: Callable[[str], bytes], seconds: float = 30.0) -> DataFrame:
-    """[A3, A4] path, content, error, seconds: each file within its own time; errors are rows."""
+    """[A3, A4] path, content, error, seconds: each file within its own time; errors are rows. A task
+    has one pool; while as many reads as it has threads hang, it starts no others and says so."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool, hanging = ThreadPoolExecutor(THREADS), []
         for pdf in frames:
             rows = []
             for path in pdf["path"]:
-                began, pool = time.monotonic(), ThreadPoolExecutor(1)
+                hanging = [f for f in hanging if not f.done()]
+                if len(hanging) == THREADS:
+                    rows.append((path, None, "not read: earlier reads still hang", 0.0))
+                    continue
+                began, one = time.monotonic(), pool.submit(read, path)
                 try:
-                    rows.append((path, pool.submit(read, path).result(seconds), None, time.monotonic() - began))
+                    rows.append((path, one.result(seconds), None, time.monotonic() - began))
                 except TooLate:
+                    hanging.append(one)
                     rows.append((path, None, "timeout", time.monotonic() - began))
                 except Exception as e:  # one file never fails the others
                     rows.append((path, None, f"{type(e).__name__}: {e}", time.monotonic() - began))
-                pool.shutdown(wait=False, cancel_futures=True)
             yield pd.DataFrame(rows, columns=["path", "content", "error", "seconds"])
+        pool.shutdown(wait=False, cancel_futures=True)
 
     return files.select("path").mapInPandas(run, "path string, content binary, error string, seconds double")

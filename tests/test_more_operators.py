@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliary import model
 from foliary.operators import config, detect, rows
-from foliary.sources import plugins, writers
+from foliary.sources import formats, plugins, writers
 
 
 def test_detection(spark):
@@ -99,6 +99,22 @@ def test_fetches_have_a_time_limit(spark):
     assert got["ok"] == (bytearray(b"ok"), None) and got["slow"][1] == "timeout" and got["bad"][1] == "OSError: no"
 
 
+def test_hanging_reads_are_few(spark):
+    def read(path):
+        time.sleep(2)
+        return b""
+
+    df = spark.createDataFrame([(f"p{k}",) for k in range(10)], "path string").coalesce(1)
+    errors = [r.error for r in plugins.fetch(df, read, 0.05).collect()]
+    assert errors == ["timeout"] * plugins.THREADS + ["not read: earlier reads still hang"] * (10 - plugins.THREADS)
+
+
+def test_readers_at_hand(spark):
+    df = spark.createDataFrame([("a.pdf", bytearray(b"x")), ("b.pdf2", bytearray(b"y"))], "path string, content binary")
+    got = {r.path: (r.text, r.error) for r in formats.extract_text(df, {"pdf": lambda raw: raw.decode() * 2}).collect()}
+    assert got == {"a.pdf": ("xx", None), "b.pdf2": ("", "no reader")}
+
+
 def test_gates(spark):
     schema = "text string, images int, captions array<string>, body string"
     got = detect.compose_gate(spark.createDataFrame([("", 0, None, ""), ("x", 0, [], "as an AI"), (None, 2, None, "fine")], schema), ["as an ai"]).collect()
