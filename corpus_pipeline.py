@@ -17,18 +17,18 @@ from foliary.llm import exact_dedup, jaccard_rtree, langid, mixing, packing
 from foliary.llm.scratch import Scratch, tune
 
 MOST_REPEATS = 1.25
-#: Intermediate tables of the stage that ran last.
+#: Intermediate tables of the stage that ran last, if another follows it.
 _before: list[Scratch] = []
 
 
-def stage(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+def stage(operator: Callable[[DataFrame], DataFrame], last: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         tune(spark)
         while _before:
             _before.pop().close()
         there = list(Scratch.live)
         out = operator(docs)
-        _before.extend(x for x in Scratch.live if x not in there)
+        _before.extend(x for x in Scratch.live if x not in there and not last)
         return out
 
     run_stage.__doc__ = operator.__doc__
@@ -59,7 +59,6 @@ def mixed_sources(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs, max_repeats=MOST_REPEATS)
 
 
-@stage
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all rows in sequences of 1024 tokens."""
     return packing.pack(docs)
@@ -70,7 +69,7 @@ STAGES = [
     ("exact_dedup", exact_copies),
     ("ngram_jaccard", near_copies),
     ("mixing", mixed_sources),
-    ("packing", packed),
+    ("packing", stage(packed, last=True)),
 ]
 #: Language ID and packing can't be said in SQL; tests compare the pipeline with brute force.
 ORACLE_SQL = None
