@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 
 #: Chunks that a task remembers (about 200 bytes each); at the bound it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 700_000
 LONGEST = 64
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARKS = ".,;:!?|"
