@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import bitpack, exact_dedup, flac, jaccard_rtree, langid, license_join, mixing, packing, quality_gam, token_count
+from foliary.llm import bitpack, drake_kmeans, exact_dedup, flac, hard_negatives, jaccard_rtree, langid, license_join, mixing, nn_descent, packing, quality_gam, token_count
 from foliary.llm.scratch import tune
 
 
@@ -53,6 +53,23 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_rtree.jaccard_components(_docs(spark, sf_dir))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark, 4096)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_embeddings(spark, sf_dir))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_embeddings(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake_kmeans.clusters(_embeddings(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_license_scan": op2_license_scan,
@@ -64,6 +81,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard": op10_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL = {
@@ -71,4 +91,7 @@ ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_jaccard": jaccard_rtree.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_near_vectors": nn_descent.ORACLE_SQL,
+    "op13_centroids": drake_kmeans.oracle_sql(),
 }
