@@ -890,3 +890,6 @@ def b3_newest_snapshots(spark, sf_dir):
 def f16_yaml_quote(spark, sf_dir):
     risky = F.when(F.col("lang") == "en", F.concat("source", F.lit(": x"))).otherwise(F.col("source"))
     return table(spark, sf_dir, "documents").select("doc_id", text.yaml_quote(risky).alias("quoted"))
+
+
+from foliary import catalog_notes  # noqa: E402, F401  it adds its queries to these

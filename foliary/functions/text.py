@@ -116,14 +116,6 @@ def key_order(fence: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(F.substring_index(x, ":", 1))), lambda k: k != "")
 
 
-def frontmatter_map(fence: Column) -> Column:
-    """Top-level scalars by key; of a key that is repeated, the last."""
-    lines = F.filter(F.split(F.coalesce(fence, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"^[^#\s\-][^:]*:"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r"""^(["'])(.*)\1$""", "$2").alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
-
-
 def with_project(note: Column, name: str) -> Column:
     """A note whose frontmatter names another project; text after the frontmatter stays."""
     head = F.regexp_extract(note, r"(?s)^(---\n.*?\n---\n)", 1)

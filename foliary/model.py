@@ -15,6 +15,9 @@ FIELD_ORDER = [
 OPTIONAL = ["attachments", "source_images", "images_embedded", "image_captions", "tags", "cssclasses", "sources_read"]
 REQUIRED = [f for f in FIELD_ORDER if f not in OPTIONAL]
 LISTS = ["sources_read", "attachments", "source_images", "image_captions", "tags", "cssclasses"]
+V1_FIELDS = [f for f in FIELD_ORDER if f not in ("domain", "source_images", "images_embedded", "image_captions", "tags")]
+V1_REQUIRED = [f for f in V1_FIELDS if f != "attachments"]
+DATES = ["captured_date", "event_date"]
 INTEGERS = ["schema_version", "read_bytes", "images_embedded"]
 FILE_TYPES = [
     "folder", "image-folder", "pdf", "docx", "pptx", "xlsx", "jpg", "png", "psd", "ai", "dxf", "dwg", "rvt", "3dm", "mov", "mp4", "md", "txt", "html", "csv", "json",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliary.functions import text
+from foliary.functions import frontmatter
 from foliary.functions.paths import basename, project_of_note, without_md
 from foliary.operators import clusters
 
@@ -27,8 +27,7 @@ def existing(pages: DataFrame) -> DataFrame:
     """[A17] pages (project, page) with what they hold: frontmatter (map), overview, the kept sections,
     user_sections (all others, as they are), marker_head and marker_tail (around the generated part)."""
     whole = F.coalesce("page", F.lit(""))
-    fence = F.regexp_extract(whole, r"(?s)^---\n(.*?)\n---\n", 1)
-    body = F.regexp_replace(whole, r"(?s)^---\n.*?\n---\n", "")
+    fence, body = F.coalesce(frontmatter.fence_of(whole), F.lit("")), frontmatter.body_of(whole)
     around = rf"(?s)^(.*?){START}.*{END}(.*)$"
     raw = F.regexp_extract("body", r"> \[!abstract\] Overview\n((?:>.*\n?)*)", 1)
     last = lambda name: F.coalesce(F.try_element_at(F.filter("sections", lambda s: s["name"] == name), F.lit(-1))["content"], F.lit(""))
@@ -36,7 +35,7 @@ def existing(pages: DataFrame) -> DataFrame:
     rows = pages.select("project", fence.alias("fence"), body.alias("body")).withColumn("sections", _sections(F.col("body")))
     return rows.select(
         "project",
-        text.frontmatter_map(F.col("fence")).alias("frontmatter"),
+        frontmatter.by_key(frontmatter.parsed(F.col("fence")), "value").alias("frontmatter"),
         stripped(F.regexp_replace(raw, r"(?m)^> ?", "")).alias("overview"),
         *[last(name).alias(column) for name, column in KEPT.items()],
         F.array_join(F.transform(own, lambda s: F.concat(F.lit("## "), s["name"], F.lit("\n"), s["content"])), "\n\n").alias("user_sections"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary import model
+from foliary.functions import frontmatter
 from foliary.functions.dates import date_prefix, is_iso_shape
 from foliary.functions.paths import file_type
 from foliary.functions.text import source_path_of_body
@@ -38,23 +39,53 @@ def invariants() -> list[tuple[str, Column]]:
     ]
 
 
-def rules() -> list[tuple[str, Column]]:
-    """[K1] All checks of an event note, in order: version, unknown, missing, type, enum, literal, invariants."""
-    known = F.array(*map(F.lit, model.FIELD_ORDER))
-    out = [("version", ~F.coalesce(field("schema_version"), F.lit("")).isin("1", "2")), ("unknown-field", F.size(F.array_except(F.map_keys("fm"), known)) > 0)]
-    out += [(f"missing:{f}", field(f).isNull()) for f in model.REQUIRED]
-    out += [(f"type:{f}", field(f).isNotNull() & ~is_integer(f)) for f in model.INTEGERS]
-    out += [(f"type:{f}", field(f).isNotNull() & F.json_array_length(field(f)).isNull()) for f in model.LISTS]
-    out += [(f"enum:{f}", field(f).isNotNull() & ~field(f).isin(values)) for f, values in model.ENUMS.items()]
-    return out + invariants()
+def kind_is(name: str, *kinds: str) -> Column:
+    return F.coalesce(F.try_element_at("kinds", F.lit(name)).isin(*kinds), F.lit(False))
 
 
-def index_note_rules() -> list[tuple[str, Column]]:
+def there(name: str, typed: bool) -> Column:
+    """Whether a note has the field; a field without a value is there if kinds tell."""
+    return F.map_contains_key("kinds", F.lit(name)) if typed else field(name).isNotNull()
+
+
+def wrong_types(integers: list[str], listed: list[str], said: list[str], typed: bool) -> list[tuple[str, Column]]:
+    """With `kinds`, a quoted number is no integer, and a field without a value has no type that fits."""
+    if typed:
+        fits = {f: kind_is(f, "int") for f in integers} | {f: kind_is(f, "list") for f in listed}
+        fits |= {f: kind_is(f, "str", *(["date"] if f in model.DATES else [])) for f in said}
+        return [(f"type:{f}", there(f, True) & ~good) for f, good in fits.items()]
+    out = [(f"type:{f}", field(f).isNotNull() & ~is_integer(f)) for f in integers]
+    return out + [(f"type:{f}", field(f).isNotNull() & F.json_array_length(field(f)).isNull()) for f in listed]
+
+
+def literal_rule(plugin: str | None) -> list[tuple[str, Column]]:
+    return [("literal:plugin", ~field("plugin").eqNullSafe(F.lit(plugin)))] if plugin else []
+
+
+def rules(typed: bool = False, plugin: str | None = None) -> list[tuple[str, Column]]:
+    """[K1] All checks of an event note, in order: version, unknown, missing, type, enum, literal, invariants.
+    Notes of the first version know fewer fields, and must have more of them."""
+    first = field("schema_version").eqNullSafe(F.lit("1"))
+    known = lambda fields: F.size(F.array_except(F.map_keys("fm"), F.array(*map(F.lit, fields)))) > 0
+    version = ~F.coalesce(field("schema_version"), F.lit("")).isin("1", "2") | (~kind_is("schema_version", "int") if typed else F.lit(False))
+    out = [("version", version), ("unknown-field", F.when(first, known(model.V1_FIELDS)).otherwise(known(model.FIELD_ORDER)))]
+    needed = [f for f in model.FIELD_ORDER if f in model.REQUIRED or f in model.V1_REQUIRED]
+    out += [(f"missing:{f}", ~there(f, typed) & (first if f not in model.REQUIRED else ~first if f not in model.V1_REQUIRED else F.lit(True))) for f in needed]
+    out += wrong_types(model.INTEGERS, model.LISTS, [f for f in model.FIELD_ORDER if f not in model.INTEGERS + model.LISTS], typed)
+    out += [(f"enum:{f}", there(f, typed) & ~F.coalesce(field(f).isin(values), F.lit(False))) for f, values in model.ENUMS.items()]
+    return out + literal_rule(plugin) + invariants()
+
+
+def index_note_rules(typed: bool = False, plugin: str | None = None) -> list[tuple[str, Column]]:
     """[K2, K4] Checks of a project's index note."""
-    known = F.array(*map(F.lit, model.INDEX_NOTE_REQUIRED + model.INDEX_NOTE_OPTIONAL))
-    out = [("unknown-field", F.size(F.array_except(F.map_keys("fm"), known)) > 0)]
-    out += [(f"missing:{f}", field(f).isNull()) for f in model.INDEX_NOTE_REQUIRED]
-    out += [("enum:status", field("status").isNotNull() & ~field("status").isin(model.INDEX_NOTE_STATUS))]
+    fields = model.INDEX_NOTE_REQUIRED + model.INDEX_NOTE_OPTIONAL
+    out = [("unknown-field", F.size(F.array_except(F.map_keys("fm"), F.array(*map(F.lit, fields)))) > 0)]
+    out += [(f"missing:{f}", ~there(f, typed)) for f in model.INDEX_NOTE_REQUIRED]
+    if typed:
+        out += [("version", ~F.coalesce(field("schema_version"), F.lit("")).isin("1", "2"))]
+        out += wrong_types(["schema_version"], ["parties", "tags", "cssclasses"], [f for f in fields if f not in ("schema_version", "parties", "tags", "cssclasses")], True)
+    out += [("enum:status", there("status", typed) & ~F.coalesce(field("status").isin(model.INDEX_NOTE_STATUS), F.lit(False)))]
+    out += literal_rule(plugin)
     out += [(f"date:{f}", (F.coalesce(field(f), F.lit("")) != "") & ~is_iso_shape(field(f))) for f in ("timeline_start", "timeline_end")]
     return out + [("domain-path", F.coalesce(field("domain").rlike(r"[/\\]|^$"), F.lit(False)))]
 
@@ -63,14 +94,34 @@ def coded(checks: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in checks]))
 
 
-def violations(notes: DataFrame, only_invariants: bool = False) -> DataFrame:
+def violations(notes: DataFrame, only_invariants: bool = False, plugin: str | None = None) -> DataFrame:
     """[K1, K2, K11] note_path, pos, violation of notes (note_path, fm map<string,string>; lists
-    as JSON). All are given; the one at pos 0 comes first."""
-    event = coded(invariants() if only_invariants else rules())
-    found = F.when(field("note_type").eqNullSafe(F.lit(model.INDEX_NOTE_TYPE)), coded(index_note_rules())).otherwise(event)
+    as JSON). All are given; the one at pos 0 comes first. With a column `kinds` (what each value
+    was written as) types are checked as a YAML reader sees them; `plugin` is the value that the
+    field of that name must have."""
+    typed = "kinds" in notes.columns
+    event = coded(invariants() if only_invariants else rules(typed, plugin))
+    found = F.when(field("note_type").eqNullSafe(F.lit(model.INDEX_NOTE_TYPE)), coded(index_note_rules(typed, plugin))).otherwise(event)
     return notes.select("note_path", F.posexplode(found).alias("pos", "violation"))
 
 
+def read_notes(notes: DataFrame) -> DataFrame:
+    """[A16] notes (note_path, text) with entries (what the frontmatter holds, in its order; null without a
+    fence), fm (values by key), kinds, formed (whether it could be read whole) and body."""
+    rows = notes.select("note_path", frontmatter.parsed(frontmatter.fence_of(F.col("text"))).alias("entries"), frontmatter.fence_of(F.col("text")).isNotNull().alias("fenced"), frontmatter.body_of(F.col("text")).alias("body"))
+    rows = rows.withColumn("entries", F.when(F.col("fenced"), F.col("entries")))
+    return rows.select("note_path", "fenced", "entries", frontmatter.by_key(F.col("entries"), "value").alias("fm"), frontmatter.by_key(F.col("entries"), "kind").alias("kinds"), frontmatter.well_formed(F.col("entries")).alias("formed"), "body")
+
+
+def violations_of_text(notes: DataFrame, plugin: str | None = None) -> DataFrame:
+    """[K1, K2, K11] note_path, pos, violation of notes (note_path, text): no-frontmatter or malformed, which
+    hide all others, else the violations of its fields."""
+    rows = read_notes(notes)
+    head = F.when(~F.col("fenced"), "no-frontmatter").when(~F.col("formed"), "malformed")
+    unread = rows.select("note_path", F.lit(0).alias("pos"), head.alias("violation")).where("violation is not null")
+    return unread.union(violations(rows.where("fenced and formed"), plugin=plugin))
+
+
 def upgrade(notes: DataFrame, today: str) -> DataFrame:
     """[K5] notes (note_path, fm, body, project, domain, mtime) -> note_path and the fields of the
     present schema as columns (lists as JSON). Idempotent. Confidence is derived from the

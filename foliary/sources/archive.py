@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliary.functions import frontmatter
 from foliary.functions.paths import any_segment_matches
 
 
@@ -28,10 +29,9 @@ def tab_rows(spark: SparkSession, path: str, names: list[str], comment: str | No
 
 
 def notes(spark: SparkSession, root: str) -> DataFrame:
-    """[A16] note_path, fence (the text between the first two --- lines), body."""
+    """[A16] note_path, fence (the text between the first two --- lines), body; frontmatter.parsed reads the fence."""
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.input_file_name().alias("note_path"), "value")
-    fence = F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
-    return df.select("note_path", fence.alias("fence"), F.regexp_replace("value", r"(?s)^---\r?\n.*?\r?\n---\r?\n?", "").alias("body"))
+    return df.select("note_path", F.coalesce(F.regexp_replace(frontmatter.fence_of(F.col("value")), r"\r?\n\z", ""), F.lit("")).alias("fence"), frontmatter.body_of(F.col("value")).alias("body"))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
