@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary import model
+from foliary import model, session
 from foliary.bindings import view, with_views
 from foliary.functions import dates, paths, scoring, text, urls
 from foliary.operators import audit, clusters, config, detect, duplicates, links, lookup, pages, reports, research, routing, rows, templates, validate, votes
 from foliary.plans import scan
-from foliary.sources import archive, writers
+from foliary.sources import archive, note_files, writers
 from foliary.streaming import deltas
 
 TODAY = datetime.date(2024, 8, 1)
@@ -534,8 +534,9 @@ def w12_note_body(spark, sf_dir):
 @query("b9_write_acknowledgement", with_views("v_file") + "\nSELECT path, size AS bytes_written, sha256(text) AS sha256, ord % 2 = 0 AS ok FROM v_file")
 def b9_write_acknowledgement(spark, sf_dir):
     good = F.sha2(F.col("text").cast("binary"), 256)
-    files = view(spark, sf_dir, "v_file").select("path", F.col("text").cast("binary").alias("content"), F.when(F.col("ord") % 2 == 0, good).otherwise("x").alias("expected"))
-    return writers.acknowledged(files)
+    files = view(spark, sf_dir, "v_file").select(F.expr("substr(path, 2)").alias("path"), F.col("text").cast("binary").alias("content"), F.when(F.col("ord") % 2 == 0, good).otherwise("x").alias("expected"))
+    told = note_files.write_acknowledged(files, session.fresh_dir(spark, "binaries"))
+    return told.select(F.concat(F.lit("/"), "path").alias("path"), "bytes_written", "sha256", "ok")
 
 
 @query("b8_new_notes", with_views("v_index") + "\nSELECT note_path FROM v_index WHERE note_path NOT IN (SELECT note_path FROM v_index WHERE ord % 3 = 0)")

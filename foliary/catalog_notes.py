@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliary import model
+from foliary import model, session
+from foliary.bindings import view, with_views
 from foliary.catalog import query, table
 from foliary.operators import validate
+from foliary.sources import archive, note_files, writers
 
 #: A note for each document, in the forms that people and programs write frontmatter in; the document's text is the body.
 NOTE_TEXT = """SELECT doc_id, CASE WHEN doc_id % 29 = 7 THEN 'no fence' || chr(10) ELSE '---' || chr(10)
@@ -86,3 +88,76 @@ b AS (SELECT doc_id, list_filter([{_text_rules()}], lambda x: x IS NOT NULL) AS
 SELECT CAST(doc_id AS VARCHAR) AS note_path, CAST(i - 1 AS INTEGER) AS pos, codes[i] AS violation FROM (SELECT *, unnest(range(1, len(codes) + 1)) AS i FROM b)""")
 def k1_from_text(spark, sf_dir):
     return validate.violations_of_text(note_texts(spark, sf_dir), plugin="kit")
+
+
+# --- files that are written and read back -----------------------------------------------
+
+
+LINES = """lines AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS line, CASE WHEN ord % 10 = 3 THEN '' WHEN ord % 10 = 5 THEN source_path || chr(9) || 'two fields'
+  ELSE source_path || chr(9) || fingerprint || chr(9) || note_path || CASE WHEN ord % 10 = 7 THEN chr(9) || 'four' ELSE '' END END AS value FROM v_index)"""
+
+
+def index_files(spark, sf_dir):
+    """An index as text files, with empty lines and lines of two or four fields."""
+    root = session.fresh_dir(spark, "index")
+    rows = view(spark, sf_dir, "v_index").orderBy("ord")
+    three = F.concat_ws("\t", "source_path", "fingerprint", "note_path")
+    line = F.when(F.col("ord") % 10 == 3, "").when(F.col("ord") % 10 == 5, F.concat("source_path", F.lit("\ttwo fields"))).otherwise(F.concat(three, F.when(F.col("ord") % 10 == 7, "\tfour").otherwise("")))
+    rows.select(line.alias("value")).write.text(root)
+    return root
+
+
+@query("a12_index_rows", with_views("v_index") + f""", {LINES}
+SELECT source_path, fingerprint, note_path, line AS ord FROM lines JOIN v_index USING (ord) WHERE ord % 10 NOT IN (3, 5, 7)""")
+def a12_index_rows(spark, sf_dir):
+    good, _ = archive.tab_rows(spark, index_files(spark, sf_dir), ["source_path", "fingerprint", "note_path"], across=True)
+    return good
+
+
+@query("a12_rejected_lines", with_views("v_index") + f""", {LINES} SELECT line AS ord, value AS line FROM lines WHERE ord % 10 IN (5, 7)""")
+def a12_rejected_lines(spark, sf_dir):
+    _, bad = archive.tab_rows(spark, index_files(spark, sf_dir), ["source_path", "fingerprint", "note_path"], across=True)
+    return bad.select("ord", "line")
+
+
+@query("a23_attachment_rows", with_views("v_index") + f""", {LINES} SELECT split_part(value, chr(9), 1) AS sha256, split_part(value, chr(9), 2) AS filename, line AS ord FROM lines WHERE value <> '' AND NOT starts_with(value, '/moved')""")
+def a23_attachment_rows(spark, sf_dir):
+    good, _ = archive.tab_rows(spark, index_files(spark, sf_dir), ["sha256", "filename"], comment="/moved", more=True, across=True)
+    return good
+
+
+@query("a14_newest_manifest", with_views("v_new") + "\nSELECT path, mtime, 3 AS snapshot FROM v_new")
+def a14_newest_manifest(spark, sf_dir):
+    root = session.fresh_dir(spark, "manifests")
+    for k, name in enumerate(["v_new", "v_old", "v_new"]):
+        writers.write_manifest(view(spark, sf_dir, name), root, k + 1)
+    return writers.newest_manifest(spark, root).select("path", "mtime", "snapshot")
+
+
+# Texts of documents as files: of every seventh there is an older one, which is kept or replaced; every fifth has a wrong digest.
+@query("b9_files_written", with_views("v_file") + """
+SELECT substr(path, 10) AS path, CASE WHEN ord % 7 = 0 THEN 3 ELSE size END AS bytes_written, sha256(CASE WHEN ord % 7 = 0 THEN 'old' ELSE text END) AS sha256, ord % 7 <> 0 AND ord % 5 <> 0 AS ok FROM v_file""")
+def b9_files_written(spark, sf_dir):
+    root = session.fresh_dir(spark, "files")
+    files = view(spark, sf_dir, "v_file").select(F.expr("substr(path, 10)").alias("path"), "ord", "text", F.when(F.col("ord") % 5 == 0, "x").otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("expected"))
+    note_files.write(files.where("ord % 7 = 0").select("path", F.lit("old").alias("text")), root)
+    return note_files.write_acknowledged(files, root).select("path", "bytes_written", "sha256", "ok")
+
+
+@query("b8_notes_replaced", with_views("v_file") + "\nSELECT substr(path, 10) AS path, text FROM v_file WHERE text <> ''")
+def b8_notes_replaced(spark, sf_dir):
+    root = session.fresh_dir(spark, "notes")
+    files = view(spark, sf_dir, "v_file").select(F.expr("substr(path, 10)").alias("path"), "ord", "text")
+    note_files.write(files.where("ord % 7 = 0").select("path", F.lit("old").alias("text")), root)
+    note_files.write(files, root, overwrite=True)
+    return note_files.read(spark, root).select("path", F.col("content").cast("string").alias("text"))
+
+
+@query("b10_sections_appended", with_views("v_file") + """
+SELECT substr(path, 10) AS path, CASE WHEN ord % 3 = 0 THEN regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || '## From ' || source || chr(10) ELSE text END AS text FROM v_file WHERE text <> ''""")
+def b10_sections_appended(spark, sf_dir):
+    root = session.fresh_dir(spark, "appended")
+    files = view(spark, sf_dir, "v_file").select(F.expr("substr(path, 10)").alias("path"), "ord", "text", "source")
+    note_files.write(files.where("text <> ''"), root)
+    note_files.append_sections(files.where("ord % 3 = 0 AND text <> ''").select("path", F.concat(F.lit("## From "), "source").alias("section")), root)
+    return note_files.read(spark, root).select("path", F.col("content").cast("string").alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliary.functions import frontmatter
 from foliary.functions.paths import any_segment_matches
@@ -18,13 +19,28 @@ def listing(spark: SparkSession, root: str, skip: list[str] = (), content: bool
     return df.select(*out, *(["content"] if content else []))
 
 
-def tab_rows(spark: SparkSession, path: str, names: list[str], comment: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """[A12, A23] (rows with as many fields as names, rejected lines). ord is the line's place in its file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
-    whole = whole.where(F.trim("line") != "")
+def numbered_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """file, ord, line of text files, whatever their size: ord is a line's place in its file, or in all files in
+    the order of their paths.
+
+    Files are read in splits. A first pass counts the lines of each split, a scan over these few rows gives
+    how many come before it, and a line's number within its split is added. Both passes see one listing of
+    the files and the same splits, so a split's first id is the same in both."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    splits = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    order = Window.orderBy("file", "start") if across else Window.partitionBy("file").orderBy("start")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each split
+    placed = splits.select("file", "start", (before - F.col("first")).alias("shift"))
+    return rows.join(placed, ["file", "start"]).select("file", (F.col("id") + F.col("shift")).alias("ord"), "line")
+
+
+def tab_rows(spark: SparkSession, path: str, names: list[str], comment: str | None = None, more: bool = False, across: bool = False) -> tuple[DataFrame, DataFrame]:
+    """[A12, A23] (rows with as many fields as names, rejected lines: file, ord, line). ord is the line's place in
+    its file, or `across` all files. With `more`, lines may have further fields, which are left out."""
+    whole = numbered_lines(spark, path, across).where(F.trim("line") != "")
     whole = whole.where(~F.startswith("line", F.lit(comment))) if comment else whole
     parts = F.split("line", "\t", -1)
-    good = F.size(parts) == len(names)
+    good = F.size(parts) >= len(names) if more else F.size(parts) == len(names)
     return whole.where(good).select(*[parts[k].alias(n) for k, n in enumerate(names)], F.col("ord").cast("long")), whole.where(~good).select("file", "ord", "line")
 
 

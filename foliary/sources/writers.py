@@ -14,23 +14,33 @@ def write_manifest(manifest: DataFrame, root: str, snapshot: int) -> None:
     manifest.select("path", "size", "mtime").write.mode("overwrite").parquet(f"{root}/snapshot={snapshot}")
 
 
+def snapshots(spark: SparkSession, root: str) -> dict[int, str]:
+    """Folders of the snapshots that were written whole, by id: names from the file system, no rows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot=*/_SUCCESS")) or []]
+    return {int(p.getParent().getName().split("=")[1]): p.getParent().toString() for p in names}
+
+
 def newest_manifest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """[A14] The newest snapshot (older than `before`); only its folder is read."""
-    rows = spark.read.schema(model.MANIFEST + ", snapshot long").parquet(root)
-    ids = rows.select("snapshot").distinct()
-    last = (ids.where(F.col("snapshot") < before) if before is not None else ids).agg(F.max("snapshot")).first()[0]
-    return rows.where(F.col("snapshot") == F.lit(last))
+    """[A14, W8] The newest whole snapshot (older than `before`); no other folder is listed by the read. No rows
+    without one."""
+    found = {k: p for k, p in snapshots(spark, root).items() if before is None or k < before}
+    if not found:
+        return spark.createDataFrame([], model.MANIFEST + ", snapshot long")
+    last = max(found)
+    return spark.read.schema(model.MANIFEST).parquet(found[last]).withColumn("snapshot", F.lit(last).cast("long"))
 
 
 def prune_manifests(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
-    """[B3] Deletes all but the newest snapshots; returns the deleted ids."""
+    """[B3] Deletes all but the newest whole snapshots; returns the deleted ids."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [(int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(path) if s.getPath().getName().startswith("snapshot=")]
-    gone = sorted(found, key=lambda x: -x[0])[keep:]
-    for _, p in gone:
-        fs.delete(p, True)
-    return sorted(k for k, _ in gone)
+    found = snapshots(spark, root)
+    gone = sorted(found, reverse=True)[keep:]
+    for k in gone:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found[k]), True)
+    return sorted(gone)
 
 
 def checked_index_rows(rows: DataFrame) -> DataFrame:
@@ -56,12 +66,6 @@ def capped_log(old: DataFrame, new: DataFrame, most: int = 200) -> DataFrame:
     return newest(old.unionByName(shifted), most)
 
 
-def acknowledged(files: DataFrame) -> DataFrame:
-    """[B9] path, bytes_written, sha256, ok of (path, content, expected): what a binary write reports."""
-    digest = F.sha2("content", 256)
-    return files.select("path", F.octet_length("content").cast("long").alias("bytes_written"), digest.alias("sha256"), (F.col("expected").isNull() | (F.col("expected") == digest)).alias("ok"))
-
-
 def new_notes(notes: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
     """[B8] Notes that may be written: creating never replaces one."""
     return notes if overwrite else notes.join(existing.select("note_path"), "note_path", "left_anti")
