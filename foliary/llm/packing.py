@@ -16,15 +16,22 @@ a window's share or a sequence ends.
 
 Edge cases: null and empty texts are one id; a null source is the queue ''; null and
 repeated doc_ids are documents like any other; other columns are ignored; an empty table
-gives no pieces. More sources than `max_lanes` share lanes, by a hash: lanes take turns, and
-within each lane its sources do, so that every window still has all of them in proportion
-and no task holds the totals of more than the lanes and of the sources in one lane.
+gives no pieces.
+
+More sources than `max_lanes` are the leaves of a tree, dealt out by hashes: at every node the
+children take turns, as queues do. A node's own window is what it is given of one of the root's, so
+that every window still has all sources in proportion; but it is never below `LEAST_RUN` ids for each
+child, so that very small sources come in runs of about so many, every few windows, and their
+deficits are carried till then. A document's place is found node by node, from its source to the root, each with the totals of
+its own children only: the cost of a document grows with the depth, the logarithm of the number of
+sources, and no task or driver holds all totals.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +47,23 @@ LENGTH = 1024
 WINDOW = 64 * LENGTH
 #: (shard, source) offsets that may be broadcast (about 40 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Ids that a node's child is given at a turn, if all are alike, at least.
+LEAST_RUN = 64
+#: Nodes whose totals a task keeps.
+REMEMBERED = 4096
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+@dataclass
+class Runs:
+    """Stretches of documents: which one, where in it, the place in a queue, how long."""
+
+    doc: np.ndarray
+    done: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+
+
 class Rounds:
     """What deficit round-robin has served each queue, as a function of the ids served in all."""
 
@@ -50,16 +71,33 @@ class Rounds:
         self.totals = np.array(totals, dtype=np.float64)
         self.weights = np.array(weights, dtype=np.float64) / sum(weights)
         self.latest = float(((self.totals + 1) / self.weights).max())
+        # Without rounding, queues run dry in this order, and between two of these times the rest grow evenly.
+        dry = self.totals / self.weights
+        order = np.argsort(dry, kind="stable")
+        self.dry = dry[order]
+        self.gone = np.concatenate([[0.0], np.cumsum(self.totals[order])])
+        self.left = np.concatenate([np.cumsum(self.weights[order][::-1])[::-1], [0.0]])
+        self.at_dry = self.gone[:-1] + self.dry * self.left[:-1]
 
     def _at(self, v: np.ndarray) -> np.ndarray:
         return np.minimum(np.floor(v[:, None] * self.weights + 0.5), self.totals).astype(np.int64)
 
+    def _near(self, n: np.ndarray) -> np.ndarray:
+        """The time at which n ids would have been served without rounding."""
+        k = np.minimum(np.searchsorted(self.at_dry, n, side="left"), len(self.dry) - 1)
+        return np.clip((n - self.gone[k]) / self.left[k], 0, self.latest)
+
     def served(self, n: np.ndarray) -> np.ndarray:
         """Rows of ids by queue, each row summing to its n. Never falls as n grows."""
-        low, high = np.zeros(len(n)), np.full(len(n), self.latest)
+        slack = len(self.totals) / 2 + 1  # what rounding can add or take away
+        low, high = self._near(n - slack), self._near(n + slack)
+        low = np.where(self._at(low).sum(axis=1) < n, low, 0.0)
+        high = np.where(self._at(high).sum(axis=1) >= n, high, self.latest)
         while True:
             mid = (low + high) / 2
-            if not ((mid > low) & (mid < high)).any():
+            # Between the two nothing but one id is served, or no time is left between them.
+            apart = self._at(high).sum(axis=1) - self._at(low).sum(axis=1) > 1
+            if not (apart & (mid > low) & (mid < high)).any():
                 break
             enough = self._at(mid).sum(axis=1) >= n
             high, low = np.where(enough, mid, high), np.where(enough, low, mid)
@@ -124,19 +162,46 @@ def write_queues(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = 0
     return scratch.save(rows.mapInArrow(write, "shard int, doc_id long, source string, ahead long, n_tokens long, ids binary"), "queues")
 
 
-def lanes_of(sources: DataFrame, weights: dict[str, float] | None, n_sources: int, max_lanes: int) -> DataFrame:
-    """source, lane, n, weight: a lane is a source, or some sources by a hash if there are more than max_lanes."""
-    if weights:
-        floor = min([w for w in weights.values() if w > 0], default=1.0) / 1000  # a queue without a weight comes last
-        named = sources.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
-        sources = sources.join(named, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(floor)))
-    else:
-        sources = sources.withColumn("weight", F.col("n").cast("double"))
-    lane = F.col("source") if n_sources <= max_lanes else F.pmod(F.xxhash64("source"), F.lit(max_lanes)).cast("string")
-    return sources.withColumn("lane", lane)
+def weighted(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """source, n, weight."""
+    if not weights:
+        return sources.withColumn("weight", F.col("n").cast("double"))
+    floor = min([w for w in weights.values() if w > 0], default=1.0) / 1000  # a queue without a weight comes last
+    named = sources.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
+    return sources.join(named, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(floor)))
+
 
+def tree(sources: DataFrame, n_sources: int, max_lanes: int, scratch: Scratch, window: int = WINDOW) -> tuple[int, DataFrame, list[DataFrame]]:
+    """depth, the path (node1, node2, ...) of each source, and below the root for each level its nodes with
+    their children (name, n, weight), about max_lanes each, and windows."""
+    depth = 1
+    while max_lanes**depth < n_sources:
+        depth += 1
+    digit = lambda k: F.pmod(F.xxhash64("source", F.lit(k)), F.lit(max_lanes)).cast("string")
+    paths = sources.withColumn("node0", F.lit(""))
+    for k in range(1, depth):
+        paths = paths.withColumn(f"node{k}", F.concat_ws("/", F.col(f"node{k - 1}"), digit(k)))
+    paths = scratch.save(paths, "paths")
+    levels, total = [], paths.agg(F.sum("weight")).first()[0] or 1.0
+    for k in range(depth):
+        below = F.col("source") if k == depth - 1 else F.col(f"node{k + 1}")
+        children = paths.groupBy(F.col(f"node{k}").alias("node"), below.alias("name")).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+        own = F.round(F.sum("weight") / F.lit(total) * window).cast("long")
+        nodes = children.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("name", "n", "weight"))).alias(f"children{k}"), F.greatest(own, F.count("*") * LEAST_RUN).alias(f"window{k}"))
+        levels.append(scratch.save(nodes.withColumnRenamed("node", f"node{k}"), f"level-{k}"))
+    return depth, paths.select("source", *[f"node{k}" for k in range(1, depth)]), levels
 
-def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, max_lanes: int = 10_000) -> DataFrame:
+
+class Node:
+    """The queues of a node, by name."""
+
+    def __init__(self, children: list[dict], window: int):
+        self.window = window
+        self.place = {c["name"]: k for k, c in enumerate(children)}
+        self.rounds = Rounds([c["n"] for c in children], [c["weight"] for c in children])
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, max_lanes: int = 64) -> DataFrame:
     """Pieces of all documents in sequences. weights: target proportions by source; by
     default the sources' token shares, so that every window mixes as the whole does."""
     tokenizer, scratch = tokenizer or tokens.default_path(), Scratch(docs.sparkSession, "packing")
@@ -144,43 +209,50 @@ def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float
     dtype = "<u2" if tokens.vocabulary_size(tokenizer) <= 1 << 16 else "<u4"
     parts = scratch.save(queues.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n")), "parts")
     sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    n_sources = sources.count()
-    lanes = scratch.save(lanes_of(sources, weights, n_sources, max_lanes), "lanes")
-    # A row a lane, max_lanes at most.
-    totals = lanes.groupBy("lane").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).orderBy("lane").collect()
-    names = {r["lane"]: k for k, r in enumerate(totals)}
-    rounds = Rounds([r["n"] for r in totals], [r["weight"] for r in totals]) if totals else None
+    depth, paths, levels = tree(weighted(sources, weights), sources.count(), max_lanes, scratch, window)
+    top = [c.asDict() for r in levels[0].collect() for c in r["children0"]]  # the root's children, about max_lanes
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("shard", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("before"))
     offsets = F.broadcast(offsets) if parts.count() <= BROADCAST_ROWS else offsets
     rows = queues.join(offsets, ["shard", "source"])
-    if n_sources > max_lanes:
-        members = lanes.groupBy("lane").agg(F.sort_array(F.collect_list(F.struct("source", "n", "weight"))).alias("m"))
-        members = members.select("lane", *[F.col(f"m.{c}").alias(c + "s") for c in ("source", "n", "weight")])
-        rows = rows.join(lanes.select("source", "lane"), "source").join(members, "lane")
-
-    def in_lane(batch: pa.RecordBatch, begin: np.ndarray, size: np.ndarray) -> list[list[tuple[int, int, int]]]:
-        """Of each document: runs (start in it, place in its lane, length). The queues of a lane take turns as lanes do."""
-        if n_sources <= max_lanes:
-            return [[(0, int(b), int(n))] for b, n in zip(begin, size, strict=True)]
-        out, known = [], {}
-        for lane, source, b, n, *own in zip(*tokens.columns(batch, "lane", "source"), begin, size, *tokens.columns(batch, "sources", "ns", "weights"), strict=True):
-            if lane not in known:
-                known[lane] = ({x: k for k, x in enumerate(own[0])}, Rounds(own[1], own[2]))
-            place, inner = known[lane]
-            out.append([(done, at, take) for done, take, _, at in cut(inner, np.array([place[source]]), np.array([b]), np.array([n]), window, 1 << 62)[0]])
-        return out
+    if depth > 1:
+        rows = rows.join(paths, "source")
+    for k in range(1, depth):
+        rows = rows.join(levels[k], f"node{k}")
+    keys = ["", *[f"node{k}" for k in range(1, depth)], "source"]
+
+    def up(batch: pa.RecordBatch, level: int, names: list[list[str]], runs: Runs, known: dict[str, Node]) -> Runs:
+        """Runs in the queues of a level's nodes as runs in the queues that the nodes are."""
+        groups: dict[str, list[int]] = {}
+        for i, doc in enumerate(runs.doc.tolist()):
+            groups.setdefault(names[level][doc], []).append(i)
+        out = []
+        for name, own in groups.items():
+            if name not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                row = int(runs.doc[own[0]])
+                known[name] = Node(batch.column(f"children{level}")[row].as_py(), batch.column(f"window{level}")[row].as_py())
+            node = known[name]
+            queue = np.array([node.place[names[level + 1][runs.doc[i]]] for i in own])
+            for i, found in zip(own, cut(node.rounds, queue, runs.begin[own], runs.size[own], node.window, 1 << 62), strict=True):
+                out += [(runs.doc[i], runs.done[i] + done, at, take) for done, take, _, at in found]
+        return Runs(*map(np.array, zip(*out, strict=True)))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, known = Node(top, window), {}
         for batch in batches:
-            doc_ids, keys, ahead, sizes, payload, first = tokens.columns(batch, "doc_id", "source" if n_sources <= max_lanes else "lane", "ahead", "n_tokens", "ids", "before")
+            doc_ids, ahead, sizes, payload, first = tokens.columns(batch, "doc_id", "ahead", "n_tokens", "ids", "before")
             if not doc_ids:
                 continue
-            runs = in_lane(batch, np.array(first) + np.array(ahead), np.array(sizes))
-            flat = [(k, names[keys[k]], done, at, take) for k, own in enumerate(runs) for done, at, take in own]
-            doc, queue, done, begin, size = (np.array(x) for x in zip(*flat, strict=True))
+            names = [[""] * len(doc_ids), *tokens.columns(batch, *keys[1:])]
+            n = len(doc_ids)
+            runs = Runs(np.arange(n), np.zeros(n, dtype=np.int64), np.array(first) + np.array(ahead), np.array(sizes))
+            for level in range(depth - 1, 0, -1):
+                runs = up(batch, level, names, runs, known)
+            queue = np.array([root.place[names[1][doc]] for doc in runs.doc.tolist()])
             rows, ids = [], [np.frombuffer(raw, dtype).astype("<u4") for raw in payload]
-            for k, offset_in, own in zip(doc.tolist(), done.tolist(), cut(rounds, queue, begin, size, window, length), strict=True):
+            for k, offset_in, own in zip(runs.doc.tolist(), runs.done.tolist(), cut(root.rounds, queue, runs.begin, runs.size, root.window, length), strict=True):
                 for start, take, sequence, offset in own:
                     start += offset_in
                     rows.append((doc_ids[k], start, take, zlib.crc32(ids[k][start : start + take].tobytes()), sizes[k], sequence, offset))
