@@ -3,14 +3,19 @@
 The blocks are all stretches of a text's words, wherever its lines break, as sets of words;
 the templates are known notices. A template matches every stretch, up to `REACH` times as long
 as itself, that holds at least `threshold` of its distinct words: words may be put in, but
-scattered ones don't match. Template words are put
-in one order, rarest in the whole corpus first; a block that reaches the threshold then
-holds one of the template's first few words (prefix filter), has enough words (length
-filter), and has enough of the ordered words left from the first shared one on
-(positional filter). Survivors are verified by counting the shared words.
+scattered ones don't match.
 
-Templates are a short constant list, so they travel as literals: nothing is shuffled but
-one count for each template word. Everything is a built-in function.
+Template words are put in one order, rarest in the whole corpus first. A stretch that reaches
+the threshold holds one of the template's first few words (prefix filter), so only places of
+such words are candidates. They meet the table of templates by equality of the word, each with
+the words around it, as far as a stretch can reach. The words around must hold enough of the
+template's (length filter), and enough of those that come after the candidate's own in the
+order, as it stands for the stretches in which it is the rarest shared word (positional filter).
+Survivors, few as they are, are dealt out evenly, and each looks at the stretches that hold it.
+
+Everything is a built-in function. The work grows with a text's words, however long the text:
+texts are cut into overlapping parts before any place is looked at. Matches depend on the text
+alone, so they are summed up by its hash.
 
 Beside the templates stand base phrases, found wherever their words follow one another.
 
@@ -24,7 +29,7 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -49,6 +54,12 @@ TEMPLATES = [
 THRESHOLD = 0.8
 #: The longest stretch of words that is compared with a template, in times the template's words.
 REACH = 1.25
+#: Words of a part of a text, in which places are looked for together.
+PART = 4096
+#: Prefix words that travel as a literal set; of larger banks every word meets the table of templates.
+SET_WORDS = 5_000
+#: Rows of the table of templates (about 500 bytes each) that may be broadcast.
+BROADCAST_ROWS = 20_000
 #: Of lower-cased text: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -88,78 +99,84 @@ def reach(text: str) -> int:
     return math.ceil(REACH * len(text.split()))
 
 
-def strings(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-
-
-def stretches(words: Column, order: list[str], length: int) -> Column:
-    """array of arrays: the stretches of up to `length` words that begin with a template word. Any
-    other holds no more template words than the one that begins at its first of them."""
-    own = F.split(F.trim(words), " ")
-    starts = F.filter(F.transform(own, lambda w, i: F.when(F.array_contains(strings(order), w), i)), lambda i: i.isNotNull())
-    return F.array_distinct(F.transform(starts, lambda i: F.slice(own, i + 1, F.lit(length))))
-
-
-def matches(blocks: Column, order: list[str], templates: list[tuple[str, str]], threshold: float) -> Column:
-    """array<struct<label, share>> of all (block, template) pairs that reach the threshold.
-    blocks: array of arrays of words, of which a template sees its own reach."""
+def template_rows(spark: SparkSession, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """word, label, words (rarest first), place (of word in them), least, reach, for each word of each prefix."""
+    rank, rows = {w: k for k, w in enumerate(order)}, []
+    for label, text in templates:
+        words = sorted(set(text.split()), key=rank.__getitem__)
+        least = need(len(words), threshold)
+        rows += [(w, label, words, k + 1, least, reach(text)) for k, w in enumerate(words[: len(words) - least + 1])]
+    found = spark.createDataFrame(rows, "word string, label string, words array<string>, place int, least int, reach int")
+    return F.broadcast(found) if len(rows) <= BROADCAST_ROWS else found
+
+
+def candidates(docs: DataFrame, prefixes: list[str], length: int) -> DataFrame:
+    """mark (the text's hash), word, around, at: places of prefix words, with up to `length` - 1 words on
+    either side, and where in these the word stands."""
+    mark = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
+    rows = docs.select(mark.alias("mark"), F.split(F.trim(spaced(lower_ascii(F.col("text")))), " ").alias("words"))
+    # Parts of a text, with `length` - 1 further words on either side.
+    side = length - 1
+    begin = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PART))
+    part = lambda k: F.struct(F.least(k, F.lit(side)).alias("before"), F.slice("words", F.greatest(k - side, F.lit(0)) + 1, F.least(k, F.lit(side)) + PART + side).alias("own"))
+    rows = rows.select("mark", F.explode(F.transform(begin, part)).alias("p")).select("mark", "p.before", "p.own")
+    known = (lambda w: w.isin(prefixes)) if len(prefixes) <= SET_WORDS else (lambda w: F.lit(True))
+    inside = lambda i: (i >= F.col("before")) & (i < F.col("before") + PART)
+    found = F.transform("own", lambda w, i: F.when(inside(i) & known(w), i))
+    found = F.filter(found, lambda i: i.isNotNull())
+    around = lambda i: F.struct(F.get("own", i).alias("word"), F.slice("own", F.greatest(i - side, F.lit(0)) + 1, F.least(i, F.lit(side)) + length).alias("around"), (F.least(i, F.lit(side)) + 1).alias("at"))
+    return rows.select("mark", F.explode(F.transform(found, around)).alias("c")).select("mark", "c.*")
+
+
+def matches(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """mark, labels, share (the best) of texts that some template matches."""
+    spark = docs.sparkSession
+    table = template_rows(spark, order, templates, threshold)
     rank = {w: k for k, w in enumerate(order)}
-    ordered = [(label, sorted(set(text.split()), key=rank.__getitem__), reach(text)) for label, text in templates]
-    prefixes = {label: words[: len(words) - need(len(words), threshold) + 1] for label, words, _ in ordered}
-    anywhere = sorted({w for words in prefixes.values() for w in words}, key=rank.__getitem__)
-
-    def of_block(whole: Column) -> Column:
-        found = []
-        for label, words, length in ordered:
-            least = need(len(words), threshold)
-            block = F.slice(whole, 1, length)
-            mine = F.array_intersect(strings(order), block)  # the block's template words, rarest first
-            first = F.get(F.array_intersect(strings(prefixes[label]), block), F.lit(0))
-            left_here = F.lit(len(words)) - F.array_position(strings(words), first) + 1
-            left_there = F.size(mine) - F.array_position(mine, first) + 1
-            shared = F.size(F.array_intersect(strings(words), block))
-            fits = (F.size(block) >= least) & first.isNotNull() & (F.least(left_here, left_there) >= least) & (shared >= least)
-            found.append(F.when(fits, F.struct(F.lit(label).alias("label"), (shared / F.lit(float(len(words)))).alias("share"))))
-        return F.array_compact(F.array(*found))
-
-    candidates = F.filter(blocks, lambda b: F.arrays_overlap(b, strings(anywhere)))
-    return F.flatten(F.transform(candidates, of_block))
+    prefixes = set()
+    for _, text in templates:
+        own = sorted(set(text.split()), key=rank.__getitem__)
+        prefixes |= set(own[: len(own) - need(len(own), threshold) + 1])
+    rows = candidates(docs, sorted(prefixes), max(reach(text) for _, text in templates)).join(table, "word")
+    # The words around, as far as this template's stretches reach.
+    from_ = F.greatest(F.col("at") - F.col("reach") + 1, F.lit(1))
+    rows = rows.select("mark", "word", "label", "words", "place", "least", "reach", F.slice("around", from_, F.col("at") - from_ + F.col("reach")).alias("around"), (F.col("at") - from_ + 1).alias("at"))
+    mine = F.array_intersect("words", "around")
+    after = F.size(mine) - F.array_position(mine, F.col("word")).cast("int") + 1
+    rows = rows.where((F.size("around") >= F.col("least")) & (F.least(after, F.size("words") - F.col("place") + 1) >= F.col("least")))
+    rows = rows.hint("rebalance")  # a text of very many candidates is no one task's
+    at_start = lambda i: F.when(F.array_contains("words", F.element_at("around", i)), F.size(F.array_intersect("words", F.slice("around", i, F.col("reach")))))
+    shared = F.array_max(F.transform(F.sequence(F.lit(1), "at"), at_start))
+    rows = rows.select("mark", "label", "least", F.size("words").alias("size"), shared.alias("shared")).where("shared >= least")
+    return rows.groupBy("mark").agg(F.collect_set("label").alias("labels"), F.max(F.col("shared") / F.col("size")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    templates = TEMPLATES if templates is None else templates
-    order = rarest_first(docs, templates)
+    templates = [t for t in (TEMPLATES if templates is None else templates) if t[1].split()]
+    docs = docs.select("doc_id", "text")
     any_phrase = "|".join(PHRASES)
-    words = F.col("words")
-    rank = {w: k for k, w in enumerate(order)}
-    prefixes = set()
-    for _, text in templates:
-        own = sorted(set(text.split()), key=rank.__getitem__)
-        prefixes |= set(own[: len(own) - need(len(own), threshold) + 1])
-    rows = docs.select("doc_id", spaced(lower_ascii(F.col("text"))).alias("words"))
-    # Only texts with some prefix word are cut into stretches.
-    hopeful = words.rlike(rf" (?:{'|'.join(sorted(prefixes))}) ") if prefixes else F.lit(False)
-    blocks = stretches(words, order, max((reach(text) for _, text in templates), default=1))
-    found = F.when(hopeful, matches(blocks, order, templates, threshold)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+    words = F.col("said")
+    rows = docs.select("doc_id", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b")).alias("mark"), spaced(lower_ascii(F.col("text"))).alias("said"))
     counts = [F.when(words.contains(f" {p} "), F.regexp_count(words, F.lit(f" {p}(?= )"))).otherwise(0).cast("long") for p in PHRASES]
-    rows = rows.select("doc_id", "words", found.alias("found"), *[c.alias(f"n{k}") for k, c in enumerate(counts)])
+    rows = rows.select("doc_id", "mark", "said", *[c.alias(f"n{k}") for k, c in enumerate(counts)])
     n_base = sum((F.col(f"n{k}") for k in range(1, len(PHRASES))), F.col("n0"))
     base = F.array_compact(F.array(*[F.when(F.col(f"n{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
     before = lambda most: F.when(F.col("n_base") > 0, spaces(F.regexp_extract(words, rf"(?s)^(.*{most}) (?:{any_phrase})(?= )", 1)))
-    rows = rows.select("doc_id", "words", "found", n_base.alias("n_base"), base.alias("base"))
-    best = F.coalesce(F.array_max(F.transform("found", lambda m: m["share"])), F.lit(0.0))
-    labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda m: m["label"]))))
+    n_words = F.when(words == "  ", F.lit(0)).otherwise(spaces(words) - 1).cast("long")
+    rows = rows.select("doc_id", "mark", "said", n_base.alias("n_base"), base.alias("base"))
+    rows = rows.select("doc_id", "mark", "n_base", "base", n_words.alias("n_words"), before("?").alias("first_word"), before("").alias("last_word"))
+    if templates:
+        rows = rows.join(matches(docs, rarest_first(docs, templates), templates, threshold), "mark", "left")
+    else:
+        rows = rows.withColumns({"labels": F.lit(None).cast("array<string>"), "share": F.lit(None).cast("double")})
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("labels", F.array().cast("array<string>")))))
     return rows.select(
-        "doc_id",
-        F.when(words == "  ", F.lit(0)).otherwise(spaces(words) - 1).cast("long").alias("n_words"),
-        "n_base",
-        before("?").alias("first_word"),
-        before("").alias("last_word"),
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
-    )
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+    )
 
 
 def oracle_sql(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
