@@ -7,7 +7,8 @@ over the word's characters. Training is expectation-maximisation: forward and ba
 each piece's expected count, Spark adds these up by language, and the sums are the next
 probabilities. A text's score is the posterior of its best language.
 
-Words are runs of letters, in lower case, with the vocabulary's space mark before them; single
+Words are runs of letters (Unicode's category L, and the marks, M, that follow one), in lower case,
+with the vocabulary's space mark before them; digits, numerals and fractions are no letters. Single
 characters outside the vocabulary share one more piece.
 
 Training reads at most about `max_docs` labelled texts of each language, whole, chosen by
@@ -27,6 +28,7 @@ a prediction.
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -35,13 +37,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import tokens
 from foliary.llm.scratch import Scratch
 
-WORD = re.compile(r"[^\W\d_]+")
+#: In ASCII texts; in others without marks, where runs may hold numerals; in all.
+ASCII_WORD, RUN, WORD = re.compile(r"[a-z]+"), re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MARK = "▁"
 #: Words of more letters are summed over one place after another.
 LONG = 4096
@@ -71,9 +75,24 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(own))}
 
 
+@lru_cache(maxsize=1)
+def marked() -> re.Pattern:
+    """What only texts with marks hold: marks up to U+FFFF, and anything beyond that."""
+    marks = [k for k in range(0x10000) if unicodedata.category(chr(k))[0] == "M"]
+    return re.compile("[" + "".join(re.escape(chr(k)) for k in marks) + "\U00010000-\U0010ffff]")
+
+
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return WORD.findall((text or "").lower())
+    """Lower-cased words. Most texts are read by a pattern that is fast and, of them, right."""
+    low = (text or "").lower()
+    if low.isascii():
+        return ASCII_WORD.findall(low)
+    if marked().search(low):
+        return WORD.findall(low)
+    found = RUN.findall(low)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else WORD.findall(run))]
 
 
 @lru_cache(maxsize=2)
@@ -298,6 +317,6 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is told with a posterior of at least `least`; the columns stay as they are."""
     model = train(docs.select("doc_id", "text", "lang"), learnable())
     names = docs.columns
-    carried = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__text"))
-    tagged = predict(carried.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("__text").alias("text")), model)
-    return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    # The row goes along as one column, so no name of its can clash.
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
+    return predict(carried, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
