@@ -18,6 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -397,6 +398,18 @@ def parse(raw: bytes) -> tuple[int, bytes, list[int], int]:
     return samples, digest, points, at
 
 
+def seek_samples(raw: bytes) -> np.ndarray:
+    """The first samples of a stream's seek points."""
+    at, last = 4, False
+    while not last:
+        last, kind, size = bool(raw[at] >> 7), raw[at] & 127, int.from_bytes(raw[at + 1 : at + 4])
+        if kind == 3:
+            table = np.frombuffer(raw[at + 4 : at + 4 + size], [("sample", ">u8"), ("byte", ">u8"), ("n", ">u2")])
+            return table["sample"][table["sample"] < 2**64 - 1].astype(np.int64)
+        at += 4 + size
+    return np.zeros(0, dtype=np.int64)
+
+
 def decode(streams: list[bytes]) -> list[list[np.ndarray]]:
     """The frames' samples of each stream. All frames that the seek tables name are decoded
     together; a stream without a full table is followed frame by frame."""
@@ -455,6 +468,62 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
+@dataclass
+class Block:
+    """The PCM of one frame and the number of its first sample, by which it can be found."""
+
+    offset: int
+    pcm: np.ndarray
+
+
+def blocks_of(streams: list[bytes]) -> list[list[Block]]:
+    """Every stream's samples as blocks with seekable offsets."""
+    out = []
+    for frames in decode(streams):
+        offsets = np.cumsum([0, *map(len, frames)]).tolist()
+        out.append([Block(o, x.astype(np.int8)) for o, x in zip(offsets, frames, strict=False)])
+    return out
+
+
+def seek(streams: list[bytes], offsets: list[int], count: int) -> list[np.ndarray]:
+    """The `count` samples (fewer at the end) from an offset of each stream. Decoding begins at the last seek
+    point before it, or at the first frame, and goes on frame by frame, all streams together."""
+    parts, first = [], []
+    for s, offset in zip(streams, offsets, strict=True):
+        _, _, points, head = parse(s)
+        samples = seek_samples(s)
+        at = int(np.searchsorted(samples, offset, side="right")) - 1
+        beyond = int(np.searchsorted(samples, offset + count, side="left"))
+        parts.append(s[head + (points[at] if at >= 0 else 0) : head + points[beyond] if beyond < len(points) else len(s)])
+        first.append(int(samples[at]) if at >= 0 else 0)
+    raw = b"".join(parts)
+    bits, stop = Bits(raw), np.cumsum(list(map(len, parts))).tolist()
+    at, got = [e - len(p) for e, p in zip(stop, parts, strict=True)], [[] for _ in parts]
+    todo = list(range(len(parts)))
+    while todo:
+        frames, ends = decode_frames(bits, raw, [at[k] for k in todo])
+        for k, x, end in zip(todo, frames, ends.tolist(), strict=True):
+            got[k].append(x)
+            at[k] = end
+        todo = [k for k in todo if sum(map(len, got[k])) < offsets[k] - first[k] + count and at[k] < stop[k]]
+    return [np.concatenate(x)[o - f : o - f + count].astype(np.int8) for x, o, f in zip(got, offsets, first, strict=True)]
+
+
+def read_samples(media: DataFrame, count: int = UNIT) -> DataFrame:
+    """doc_id, sample_offset, pcm of media (doc_id, media, sample_offset): random reads of stored streams."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids, streams, offsets = tokens.columns(batch, "doc_id", "media", "sample_offset")
+            some = [k for k, (s, o) in enumerate(zip(streams, offsets, strict=True)) if s is not None and o is not None]
+            found = dict(zip(some, seek([streams[k] for k in some], [offsets[k] for k in some], count) if some else [], strict=True))
+            pcm = [found[k].tobytes() if k in found else None for k in range(len(doc_ids))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sample_offset"), pa.array(pcm, pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+
+    rows = media.select(F.col("doc_id").cast("long"), "media", F.col("sample_offset").cast("long"))
+    return rows.mapInArrow(read, "doc_id long, sample_offset long, pcm binary")
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, block, sample_offset, n_samples, pcm (signed bytes) of every frame of every stream."""
 
@@ -462,12 +531,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
         for batch in batches:
             doc_ids, streams = tokens.columns(batch, "doc_id", "media")
             some = [(d, s) for d, s in zip(doc_ids, streams, strict=True) if s is not None]
-            rows = []
-            for (doc_id, _), frames in zip(some, decode([s for _, s in some]), strict=True):
-                offset = 0
-                for k, x in enumerate(frames):
-                    rows.append((doc_id, k, offset, len(x), x.astype(np.int8).tobytes()))
-                    offset += len(x)
+            rows = [(doc_id, k, x.offset, len(x.pcm), x.pcm.tobytes()) for (doc_id, _), own in zip(some, blocks_of([s for _, s in some]), strict=True) for k, x in enumerate(own)]
             if rows:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
@@ -475,26 +539,37 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(read, "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
 
 
-def describe(frames: list[np.ndarray]) -> str:
-    x = np.concatenate(frames)
+def middle(samples: int) -> int:
+    """Where a stream is read at random: UNIT samples from the middle on, never beyond the end."""
+    return min(samples // 2, samples - UNIT)
+
+
+def describe(blocks: list[Block], sought: np.ndarray) -> str:
+    """Features of a stream's PCM blocks: their number, the loudest one's first sample, sums over all; and the
+    checksum of what a random read of the stream gives."""
+    x = np.concatenate([b.pcm for b in blocks]).astype(np.int64)
+    energy = [int((b.pcm.astype(np.int64) ** 2).sum()) for b in blocks]
     turns = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"frames={len(frames)};sum={int(x.sum())};energy={int((x * x).sum())};peak={int(np.abs(x).max())};turns={turns}"
+    loudest = blocks[int(np.argmax(energy))].offset
+    return f"blocks={len(blocks)};sum={int(x.sum())};energy={sum(energy)};peak={int(np.abs(x).max())};turns={turns};loudest={loudest};middle={zlib.crc32(sought.tobytes()):08x}"
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Checksums and features of the samples that the stored streams hold."""
+    """Checksums and features of the PCM blocks that the stored streams hold, and of a random read of each."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, sizes, streams = tokens.columns(batch, "doc_id", "n_bytes", "media")
-            rows = []
-            for doc_id, size, stream, frames in zip(doc_ids, sizes, streams, decode(streams), strict=True):
-                raw = (np.concatenate(frames).astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
-                rows.append((doc_id, size, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(frames)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            if not doc_ids:
+                continue
+            rows, found = [], blocks_of(streams)
+            sought = seek(streams, [middle(own[-1].offset + len(own[-1].pcm)) for own in found], UNIT)
+            for doc_id, size, stream, own, part in zip(doc_ids, sizes, streams, found, sought, strict=True):
+                raw = (np.concatenate([b.pcm for b in own]).view(np.uint8) ^ 0x80).tobytes()
+                rows.append((doc_id, size, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(own, part)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.mapInArrow(read, schema)
