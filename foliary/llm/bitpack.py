@@ -26,6 +26,8 @@ from foliary.llm import tokens
 from foliary.llm.scratch import Scratch
 
 BLOCK_IDS = 1 << 16
+#: Ids that are packed at once; a multiple of 8.
+SLICE = 1 << 15
 #: Shards whose offsets (16 bytes each) may be broadcast; beyond it the join shuffles.
 BROADCAST_SHARDS = 100_000
 BLOCKS = "shard int, block int, bits int, shard_start long, n_ids long, doc_ids array<long>, doc_starts array<long>, payload binary"
@@ -40,7 +42,9 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     shifts = np.arange(bits, dtype=np.uint32)
-    return np.packbits(((ids.astype(np.uint32)[:, None] >> shifts) & 1).astype(np.uint8), bitorder="little").tobytes()
+    # Slices of whole bytes, as the matrix of bits takes far more room than ids do.
+    slices = (ids[k : k + SLICE].astype(np.uint32)[:, None] >> shifts & 1 for k in range(0, len(ids), SLICE))
+    return b"".join(np.packbits(x.astype(np.uint8), bitorder="little").tobytes() for x in slices)
 
 
 def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
@@ -82,7 +86,9 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = 0
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's hash comes in as rows of one doc_id, or of none, may be many: they are split like any others.
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     return scratch.save(ordered.mapInArrow(blocks, BLOCKS), "blocks")
 
 
