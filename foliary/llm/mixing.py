@@ -156,22 +156,53 @@ def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None
     rows = rows.groupBy("source", "key", "doc_id").agg(F.first("whole").alias("whole"), F.sum(F.when(more, 1).otherwise(0)).alias("come"), F.count("*").alias("all"))
     # The first rows in order of which not all come, and how many of them do.
     stop = F.min(F.when(F.col("come") < F.col("all"), F.struct("key", "doc_id", "come")))
-    stops = rows.groupBy(F.col("source").alias("__source")).agg(F.first("whole").alias("__whole"), stop.alias("__stop"))
-    most = F.when(F.col("__stop.come") > 0, F.col("__stop.come"))
-    stops = stops.select("__source", "__whole", F.struct("__stop.key", "__stop.doc_id").alias("__at"), F.col("__stop").isNotNull().alias("__stops"), most.alias("__most"))
+    own = unlike(docs.columns)
+    stops = rows.groupBy(F.col("source").alias(own("source"))).agg(F.first("whole").alias(own("whole")), stop.alias("stop"))
+    most = F.when(F.col("stop.come") > 0, F.col("stop.come"))
+    stops = stops.select(own("source"), own("whole"), F.struct("stop.key", "stop.doc_id").alias(own("at")), F.col("stop").isNotNull().alias(own("stops")), most.alias(own("most")))
     stops = scratch.save(stops, "stops")
-    divided = not stops.where("__most IS NOT NULL").isEmpty()
+    divided = not stops.where(F.col(own("most")).isNotNull()).isEmpty()
     stops = F.broadcast(stops) if stops.count() <= BROADCAST_SOURCES else stops
-    tagged = docs.withColumn("__key", order_key(seed)).join(stops, source_of() == F.col("__source"))
-    at = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("doc_id"))
-    whole_rows = tagged.withColumn("__more", ~F.col("__stops") | F.coalesce(at < F.col("__at"), F.lit(False)))
+    tagged = docs.withColumn(own("key"), order_key(seed)).join(stops, source_of() == F.col(own("source")))
+    at = F.struct(F.col(own("key")).alias("key"), F.col("doc_id").alias("doc_id"))
+    more = ~F.col(own("stops")) | F.coalesce(at < F.col(own("at")), F.lit(False))
+    whole_rows = tagged.withColumn(own("more"), more)
     if divided:
-        at_stop = F.coalesce(F.col("__most").isNotNull() & (at == F.col("__at")), F.lit(False))
-        order = Window.partitionBy("__source").orderBy(tokens_of())  # rows of one doc_id of each source
-        numbered = tagged.where(at_stop).withColumn("__more", F.row_number().over(order) <= F.col("__most"))
-        whole_rows = whole_rows.where(~at_stop).unionByName(numbered)
-    copies = (F.col("__whole") + F.col("__more").cast("long")).cast("int")
-    return whole_rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        at_stop = F.coalesce(F.col(own("most")).isNotNull() & (at == F.col(own("at"))), F.lit(False))
+        shared = tagged.where(at_stop).withColumns({own("n"): tokens_of(), own("hash"): F.xxhash64("text")})
+        taken = scratch.save(divided_rows(shared.select(F.col(own("source")).alias("source"), F.col(own("n")).alias("n"), F.col(own("hash")).alias("hash"), F.col(own("most")).alias("most"))), "taken")
+        taken = taken.select(F.col("source").alias(own("s")), F.col("n").alias(own("t")), F.col("hash").alias(own("h")), F.col("take").alias(own("take")), F.col("all").alias(own("all")))
+        same = (F.col(own("source")) == F.col(own("s"))) & (F.col(own("n")) == F.col(own("t"))) & F.col(own("hash")).eqNullSafe(F.col(own("h")))
+        shared = shared.join(F.broadcast(taken) if taken.count() <= BROADCAST_SOURCES else taken, same)
+        parted = (F.col(own("take")) > 0) & (F.col(own("take")) < F.col(own("all")))
+        order = Window.partitionBy(own("source")).orderBy(own("hash"))  # equal texts, of which some come
+        numbered = shared.where(parted).withColumn(own("more"), F.row_number().over(order) <= F.col(own("take")))
+        numbered = shared.where(~parted).withColumn(own("more"), F.col(own("take")) > 0).unionByName(numbered)
+        names = [*docs.columns, own("whole"), own("more")]
+        whole_rows = whole_rows.where(~at_stop).select(*map(quoted, names)).unionByName(numbered.select(*map(quoted, names)))
+    copies = (F.col(own("whole")) + F.col(own("more")).cast("long")).cast("int")
+    return whole_rows.withColumn(own("copy"), F.explode(F.array_repeat(F.lit(0), copies))).select(*map(quoted, docs.columns))
+
+
+def quoted(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def unlike(columns: list[str]) -> Callable[[str], str]:
+    """Names that no column has."""
+    mark = "own_"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark = "_" + mark
+    return lambda name: mark + name
+
+
+def divided_rows(rows: DataFrame) -> DataFrame:
+    """source, n, hash, all, take: of the rows (source, n, hash, most) that share the doc_id at which their source
+    stops, how many come with each size and text, fewest tokens first. Counted before anything is put in order."""
+    counts = rows.groupBy("source", "n", "hash", "most").agg(F.count("*").alias("all"))
+    earlier = Window.partitionBy("source").orderBy("n", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("all").over(earlier), F.lit(0))
+    return counts.select("source", "n", "hash", "all", F.least("all", F.greatest(F.col("most") - before, F.lit(0))).alias("take"))
 
 
 ORACLE_SQL = rf"""

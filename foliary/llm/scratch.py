@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where this thread's new tables are noted, if anywhere.
+_collecting: ContextVar[list[Scratch] | None] = ContextVar("collecting", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[list[Scratch]]:
+    """The list of what is made within: for callers that delete the tables of one step and no others."""
+    own: list[Scratch] = []
+    token = _collecting.set(own)
+    try:
+        yield own
+    finally:
+        _collecting.reset(token)
+
+
 class Scratch:
     """A folder of named Parquet tables."""
 
@@ -41,6 +59,9 @@ class Scratch:
         path, files = self._path(self.root)
         files.deleteOnExit(path)
         Scratch.live.append(self)
+        own = _collecting.get()
+        if own is not None:
+            own.append(self)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
