@@ -14,21 +14,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliary.llm import exact_dedup, jaccard_rtree, langid, mixing, packing
-from foliary.llm.scratch import Scratch, tune
+from foliary.llm.scratch import Scratch, collecting, tune
 
 MOST_REPEATS = 1.25
-#: Intermediate tables of the stage that ran last, if another follows it.
-_before: list[Scratch] = []
+#: Intermediate tables of the stage that ran last, by application and input, if another stage follows it.
+_before: dict[tuple[str, str], list[Scratch]] = {}
 
 
 def stage(operator: Callable[[DataFrame], DataFrame], last: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         tune(spark)
-        while _before:
-            _before.pop().close()
-        there = list(Scratch.live)
-        out = operator(docs)
-        _before.extend(x for x in Scratch.live if x not in there and not last)
+        run = (spark.sparkContext.applicationId, sf_dir)
+        for scratch in _before.pop(run, []):
+            scratch.close()
+        with collecting() as own:
+            out = operator(docs)
+        if not last:
+            _before[run] = own
         return out
 
     run_stage.__doc__ = operator.__doc__
