@@ -10,21 +10,35 @@ from pyspark.sql.window import Window
 
 from foliary.functions import text
 from foliary.functions.paths import without_md
+from foliary.operators.rows import joined
 
 GAP_DAYS = 7
 
 
-def islands(events: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
-    """Dated events with folder ('' is '(root)') and island: a new one begins after a gap of more days."""
-    rows = events.where("event_date IS NOT NULL").withColumn("folder", F.coalesce(F.nullif(F.col("subfolder"), F.lit("")), F.lit("(root)")))
-    order = Window.partitionBy("project", "folder").orderBy("event_date", "note_filename", "ord")
+def dated(events: DataFrame) -> DataFrame:
+    """Events with a date, with folder ('' is '(root)')."""
+    return events.where("event_date IS NOT NULL").withColumn("folder", F.coalesce(F.nullif(F.col("subfolder"), F.lit("")), F.lit("(root)")))
+
+
+def days(events: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
+    """project, folder, event_date, n_events, island: a new island begins after a gap of more days.
+
+    Islands depend on days alone, so events are counted by day first: a folder's window has a row
+    for each of its days, however many events it has."""
+    each = dated(events).groupBy("project", "folder", "event_date").agg(F.count("*").alias("n_events"))
+    order = Window.partitionBy("project", "folder").orderBy("event_date")
     gap = F.datediff("event_date", F.lag("event_date").over(order)) > gap_days
-    return rows.withColumn("island", F.sum(F.when(gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return each.withColumn("island", F.sum(F.when(gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def islands(events: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
+    """Dated events with folder and island."""
+    return joined(dated(events), days(events, gap_days).drop("n_events"), ["project", "folder", "event_date"])
 
 
 def clusters(events: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     """[W1, W9] project, folder, island, start, end, n_events, n_islands (of the folder)."""
-    grouped = islands(events, gap_days).groupBy("project", "folder", "island").agg(F.min("event_date").alias("start"), F.max("event_date").alias("end"), F.count("*").alias("n_events"))
+    grouped = days(events, gap_days).groupBy("project", "folder", "island").agg(F.min("event_date").alias("start"), F.max("event_date").alias("end"), F.sum("n_events").alias("n_events"))
     return grouped.withColumn("n_islands", F.count("*").over(Window.partitionBy("project", "folder")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from foliary.functions import scoring, text
 from foliary.functions.paths import wikilink
+from foliary.operators.rows import joined
 
 
 def _meeting_keys(days: int) -> Callable[[Column, Column], Column]:
@@ -40,41 +41,118 @@ def pair_keys() -> Column:
     )
 
 
-def pair_scores(events: DataFrame, least: float = scoring.LEAST_RELATED) -> DataFrame:
-    """[D11j, F60] project, name, peer, peer_ord, score of ordered pairs in a project that reach `least`
-    (4 or more). Events meet under keys that such pairs share, so that those of a large project aren't
-    all compared; a pair counts under the first of its keys only."""
-    if least < scoring.LEAST_RELATED:
-        raise ValueError("events that score less than 4 need not share a key")
-    rows = events.where("note_filename <> ''").select(
+def features(events: DataFrame) -> DataFrame:
+    """What scores are made of, for events with a name; names may repeat in a project."""
+    return events.where("note_filename <> ''").select(
         "project", "note_filename", "subfolder", "event_date", "ord",
         F.array_distinct(F.concat(text.tokens(F.col("note_filename")), text.tokens(F.col("summary_hint")))).alias("tokens"),
         F.coalesce("parties", F.array().cast("array<string>")).alias("parties"),
-    ).withColumn("keys", pair_keys()).withColumn("key", F.explode("keys"))
-    a, b = rows.alias("a"), rows.alias("b")
-    joined = a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.note_filename") != F.col("b.note_filename")))
-    joined = joined.where(F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys")))
+    )
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """project, name, subfolder, peer, peer_ord, score of pairs of features a and b."""
     score = scoring.pair_score(
         F.size(F.array_intersect("a.tokens", "b.tokens")),
         (F.col("a.subfolder") != "") & (F.col("a.subfolder") == F.col("b.subfolder")),
         F.size(F.array_intersect("a.parties", "b.parties")),
         F.col("a.event_date"), F.col("b.event_date"),
     )
-    return joined.select(F.col("a.project").alias("project"), F.col("a.note_filename").alias("name"), F.col("a.subfolder").alias("subfolder"), F.col("b.note_filename").alias("peer"), F.col("b.ord").alias("peer_ord"), score.alias("score")).where(F.col("score") >= least)
+    return pairs.select(F.col("a.project").alias("project"), F.col("a.note_filename").alias("name"), F.col("a.subfolder").alias("subfolder"), F.col("b.note_filename").alias("peer"), F.col("b.ord").alias("peer_ord"), score.alias("score"), F.col("a.ord").alias("ord"))
 
 
-def related(events: DataFrame, k: int = 3) -> DataFrame:
-    """[W3] The k best peers of each event; ties by the peer's order."""
-    best = Window.partitionBy("project", "name").orderBy(F.desc("score"), "peer_ord")
-    return pair_scores(events).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("project", "name", "peer", "score", "rank")
+def meeting(rows: DataFrame) -> DataFrame:
+    """Pairs of rows (features, keys, key) of a project that share a key, under the first one that both have."""
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.note_filename") != F.col("b.note_filename")))
+    return pairs.where(F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys")))
+
+
+def pair_scores(events: DataFrame, least: float = scoring.LEAST_RELATED) -> DataFrame:
+    """[D11j, F60] project, name, peer, peer_ord, score of ordered pairs in a project that reach `least`
+    (4 or more). Events meet under keys that such pairs share, so that those of a large project aren't
+    all compared; a pair counts under the first of its keys only. These are all such pairs; `related`
+    has the best ones of each event, without making the others."""
+    if least < scoring.LEAST_RELATED:
+        raise ValueError("events that score less than 4 need not share a key")
+    rows = features(events).withColumn("keys", pair_keys()).withColumn("key", F.explode("keys"))
+    return scored(meeting(rows)).drop("ord").where(F.col("score") >= least)
+
+
+def combinations(values: Column, most: int = 3) -> Column:
+    """The subsets of up to `most` values, each joined to one string; the values are sorted first."""
+    own = F.array_sort(F.array_distinct(values))
+    ones = F.transform(own, lambda v: F.concat(F.lit("\x1e"), v))
+    twos = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.lit(1 << 30)), lambda y: F.concat(F.lit("\x1e"), x, F.lit("\x1e"), y))))
+    threes = F.flatten(F.transform(own, lambda x, i: F.flatten(F.transform(F.slice(own, i + 2, F.lit(1 << 30)), lambda y, j: F.transform(F.slice(own, i + j + 3, F.lit(1 << 30)), lambda z: F.concat(F.lit("\x1e"), x, F.lit("\x1e"), y, F.lit("\x1e"), z))))))
+    return F.concat(F.array(F.lit("")), ones, twos, threes)
+
+
+def crowded(rows: DataFrame, hot: DataFrame, k: int) -> DataFrame:
+    """Of events that share hot keys (project, key): pairs (a, b) that hold the k best peers of each which share
+    none but such keys with it.
+
+    Events are grouped by what two of them can share: up to three hot tokens, the subfolder, up to
+    three parties. All that share such a group with an event score at least as the group says, and the
+    dates decide between them; so of a group only the k nearest in time, and the k first by order, can be
+    among an event's best. These are the same for all events of a day: each day's first ones are kept, a
+    window over the days of a group gathers the nearest, and events meet these few."""
+    named = rows.select("project", "note_filename", "ord").groupBy("project", "note_filename").agg(F.count("*").alias("n")).groupBy("project").agg(F.max("n").alias("times"))
+    room = F.lit(k) + F.col("times")  # an event's own rows are no peers of it
+    hot_tokens = hot.where(F.startswith("key", F.lit("t\x1f"))).select("project", F.substring("key", 3, 1 << 30).alias("token")).groupBy("project").agg(F.collect_set("token").alias("hot_tokens"))
+    in_crowd = rows.withColumn("key", F.explode("keys")).join(hot, ["project", "key"], "left_semi").select("project", "note_filename", "ord").distinct()
+    own = rows.join(in_crowd, ["project", "note_filename", "ord"], "left_semi").join(hot_tokens, "project", "left").join(named, "project")
+    shared = F.filter("tokens", lambda t: F.coalesce(F.array_contains("hot_tokens", t), F.lit(False)))
+    folder = F.when(F.col("subfolder") != "", F.array(F.lit(""), F.col("subfolder"))).otherwise(F.array(F.lit("")))
+    group = lambda t: F.flatten(F.transform(folder, lambda s: F.transform(combinations(F.col("parties")), lambda p: F.concat_ws("\x1f", t, s, p))))
+    own = own.withColumn("group", F.explode(F.flatten(F.transform(combinations(shared), group))))
+    first = Window.partitionBy("project", "group", "event_date").orderBy("ord", "note_filename")
+    most = k + (named.agg(F.max("times")).first()[0] or 1)  # a constant lets tasks drop the rest before the shuffle
+    heads = own.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most).where(F.col("nth") <= room)
+    peer = F.struct("ord", "note_filename", "subfolder", "event_date", "tokens", "parties")
+    by_day = heads.groupBy("project", "group", "event_date").agg(F.array_sort(F.collect_list(peer)).alias("heads"), F.max("times").alias("times"))
+    around = Window.partitionBy("project", "group").orderBy(F.coalesce(F.unix_date("event_date"), F.lit(-(1 << 30)))).rangeBetween(-13, 13)  # days of a group
+    far = F.lit(1 << 20)
+    nearest = F.array_sort(F.transform(F.flatten(F.collect_list("heads").over(around)), lambda p: F.struct(F.coalesce(F.abs(F.datediff(p["event_date"], F.col("event_date"))), far).alias("days"), p["ord"].alias("ord"), p.alias("peer"))))
+    near = by_day.withColumn("near", nearest).select("project", "group", "event_date", F.slice("near", F.lit(1), room.cast("int")).alias("near"))
+    all_days = by_day.groupBy("project", "group").agg(F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), F.lit(1), (F.lit(k) + F.max("times")).cast("int")).alias("first"))
+    chosen = near.join(all_days, ["project", "group"]).select(F.col("project").alias("p"), F.col("group").alias("g"), F.col("event_date").alias("d"), F.array_distinct(F.concat(F.transform("near", lambda x: x["peer"]), "first")).alias("peers"))
+    met = own.join(chosen, (F.col("project") == F.col("p")) & (F.col("group") == F.col("g")) & F.col("event_date").eqNullSafe(F.col("d")))
+    a = F.struct("project", "note_filename", "subfolder", "event_date", "ord", "tokens", "parties").alias("a")
+    return met.select(a, F.explode("peers").alias("b")).where("a.note_filename <> b.note_filename").distinct()
+
+
+def related(events: DataFrame, k: int = 3, crowd: int = 64) -> DataFrame:
+    """[W3] The k best peers of each event; ties by the peer's order, then by its name.
+
+    Under a key that more than `crowd` events of a project share, not all pairs are made, but those that
+    can be among the k best; so the pairs grow with the events, also if all share a token."""
+    rows = features(events).withColumn("keys", pair_keys())
+    each = rows.select("project", F.explode("keys").alias("key"))
+    hot = each.groupBy("project", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("project", "key")
+    hot_keys = hot.groupBy("project").agg(F.collect_list("key").alias("hot"))
+    cold = rows.join(hot_keys, "project", "left").withColumn("keys", F.array_except("keys", F.coalesce("hot", F.array().cast("array<string>")))).drop("hot")
+    pairs = scored(meeting(cold.withColumn("key", F.explode("keys")))).unionByName(scored(crowded(rows, hot, k)))
+    pairs = pairs.where(F.col("score") >= scoring.LEAST_RELATED).distinct()
+    best = Window.partitionBy("project", "name").orderBy(F.desc("score"), "peer_ord", "peer")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("project", "name", "peer", "score", "rank")
 
 
 def neighbours(events: DataFrame) -> DataFrame:
     """[W2] project, subfolder, name, prev, next in order of date and name. Rows that repeat a
-    date and name count once."""
-    keys = events.where("subfolder <> '' AND event_date IS NOT NULL").select("project", "subfolder", "event_date", F.col("note_filename").alias("name")).distinct()
-    order = Window.partitionBy("project", "subfolder").orderBy("event_date", "name")
-    return keys.select("project", "subfolder", "event_date", "name", F.lag("name").over(order).alias("prev"), F.lead("name").over(order).alias("next"))
+    date and name count once.
+
+    Each day of a folder is a window of its own; what stands before its first name and after its
+    last one comes from a window over the days."""
+    day = ["project", "subfolder", "event_date"]
+    rows = events.where("subfolder <> '' AND event_date IS NOT NULL").select(*day, F.col("note_filename").alias("name"))
+    keys = rows.repartition(*day).distinct()  # dealt once for the rows of a day, which are all that follows needs together
+    over = Window.partitionBy("project", "subfolder").orderBy("event_date")
+    ends = keys.groupBy(*day).agg(F.min("name").alias("first"), F.max("name").alias("last"))
+    ends = ends.select(*day, F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
+    own = Window.partitionBy(*day).orderBy("name")
+    near = joined(keys.select(*day, "name", F.lag("name").over(own).alias("p"), F.lead("name").over(own).alias("n")), ends, day)
+    return near.select(*day, "name", F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"))
 
 
 def wikilinks(notes: DataFrame) -> DataFrame:

@@ -9,17 +9,45 @@ from pyspark.sql.window import Window
 from foliary.functions.scoring import sha_prefix
 
 
+#: Numbers of an order that are looked at together.
+WIDTH = 1 << 16
+
+
 def first_seen(rows: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
     """[W5, U7] key, value and order of the first row of each key, and how many rows it has."""
     first = F.min_by(F.struct(value, order), order)
     return rows.groupBy(key).agg(first.alias("f"), F.count("*").alias("hits")).select(key, f"f.{value}", f"f.{order}", "hits")
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right where the keys are the same, nulls too."""
+    other = right.select(*[F.col(k).alias(f"{k}_of_") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of_")) for k in keys]
+    return left.join(other, same).drop(*[f"{k}_of_" for k in keys])
+
+
+def running_before(rows: DataFrame, keys: list[str], order: str, value: Column, width: int = WIDTH, below: int | None = None) -> DataFrame:
+    """rows with before: the sum of value over the rows of the key that come earlier in an integer order.
+
+    A key's rows are cut into stretches of `width` numbers. Sums of the stretches are added up
+    before any row is put in order, and then each stretch is a window of its own, so that a key
+    that has very many rows is no one task's. With `below`, stretches that begin with as much go
+    before anything is ordered."""
+    stretch = F.coalesce(F.floor(F.col(order) / width), F.lit(-(1 << 62))).cast("long")
+    cut = rows.withColumn("stretch_", stretch).withColumn("value_", value)
+    sums = cut.groupBy(*keys, "stretch_").agg(F.sum("value_").alias("sum_"))
+    earlier = Window.partitionBy(*keys).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    starts = sums.withColumn("start_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0))).drop("sum_")
+    starts = starts.where(F.col("start_") < below) if below is not None else starts
+    own = Window.partitionBy(*keys, "stretch_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = joined(cut, starts, [*keys, "stretch_"]).withColumn("before", F.col("start_") + F.coalesce(F.sum("value_").over(own), F.lit(0)))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], "before")
+
+
 def within_budget(rows: DataFrame, success: Column, limit: int, group: str) -> DataFrame:
     """[W6] Rows of a group until so many before them succeeded."""
-    before = Window.partitionBy(group).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(success.cast("int")).over(before), F.lit(0))
-    return rows.withColumn("spent", spent).where(F.col("spent") < limit)
+    counted = running_before(rows, [group], "ord", F.coalesce(success.cast("int"), F.lit(0)), below=limit)
+    return counted.withColumnRenamed("before", "spent").where(F.col("spent") < limit)
 
 
 def newest(rows: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -89,8 +117,8 @@ def layered(layers: list[DataFrame], key: str) -> DataFrame:
 def log_entries(lines: DataFrame) -> DataFrame:
     """[A18, W11] lines (file, pos, line) -> file, entry, header, body: an entry is a header line
     `## timestamp | type` and the lines after it; lines before the first header belong to none."""
-    order = Window.partitionBy("file").orderBy("pos")
-    head = F.col("line").rlike(r"^## \S+ \| \S+")
-    rows = lines.withColumn("head", head).withColumn("entry", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("entry > 0")
+    head = F.coalesce(F.col("line").rlike(r"^## \S+ \| \S+"), F.lit(False))
+    rows = running_before(lines.select("file", "pos", "line").withColumn("head", head), ["file"], "pos", F.col("head").cast("int"))
+    rows = rows.withColumn("entry", F.col("before") + F.col("head").cast("int")).where("entry > 0")
     listed = F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))))
     return rows.groupBy("file", "entry").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("header"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))
