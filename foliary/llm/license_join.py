@@ -32,6 +32,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliary.llm.scratch import Scratch
+
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: label: words of a notice. Lower case, no punctuation.
 TEMPLATES = [
@@ -60,6 +62,8 @@ PART = 4096
 SET_WORDS = 5_000
 #: Rows of the table of templates (about 500 bytes each) that may be broadcast.
 BROADCAST_ROWS = 20_000
+#: Texts with matches (about 100 bytes each) that may be broadcast.
+BROADCAST_MATCHES = 100_000
 #: Of lower-cased text: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -167,7 +171,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     rows = rows.select("doc_id", "mark", "said", n_base.alias("n_base"), base.alias("base"))
     rows = rows.select("doc_id", "mark", "n_base", "base", n_words.alias("n_words"), before("?").alias("first_word"), before("").alias("last_word"))
     if templates:
-        rows = rows.join(matches(docs, rarest_first(docs, templates), templates, threshold), "mark", "left")
+        # Written first, so that the join sees how many there are, and can split a text that very many rows have.
+        found = Scratch(docs.sparkSession, "licenses").save(matches(docs, rarest_first(docs, templates), templates, threshold), "matches")
+        rows = rows.join(F.broadcast(found) if found.count() <= BROADCAST_MATCHES else found, "mark", "left")
     else:
         rows = rows.withColumns({"labels": F.lit(None).cast("array<string>"), "share": F.lit(None).cast("double")})
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("labels", F.array().cast("array<string>")))))
