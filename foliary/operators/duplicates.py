@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliary.functions.paths import basename, has_prefix, project_of_note, rewrite_prefix
 from foliary.functions.scoring import jaccard
+from foliary.session import written
 
 
 def duplicates(index: DataFrame, domain: str, min_overlap: int = 3, min_confidence: float = 0.6) -> DataFrame:
@@ -16,28 +16,38 @@ def duplicates(index: DataFrame, domain: str, min_overlap: int = 3, min_confiden
     later note, then the one that sorts first.
 
     Two projects that are similar enough share one of their rarest fingerprints, so only these
-    pair projects: a fingerprint that very many have is left out of all but the smallest. What
-    they share is then counted over all fingerprints."""
+    pair projects: a fingerprint that very many have is left out of all but the smallest. Sizes and
+    places rule most pairs out; those that are left are counted on the projects' sets."""
     rows = index.where(F.startswith("note_path", F.lit(domain + "/")) & (F.size(F.split("note_path", "/")) >= 3))
     rows = rows.select(project_of_note(F.col("note_path")).alias("project"), "fingerprint", F.regexp_extract(basename(F.col("note_path")), r"^\d{4}-\d{2}-\d{2}", 0).alias("day"))
-    latest = rows.groupBy("project").agg(F.max("day").alias("latest"), F.count_distinct("fingerprint").alias("n"))
-    pairs = rows.where(~F.col("fingerprint").isin("", "unknown")).select("project", "fingerprint").distinct()
-    known = pairs.join(pairs.groupBy("fingerprint").agg(F.count("*").alias("times")), "fingerprint").join(latest.select("project", "n"), "project")
-    own = Window.partitionBy("project")
-    rare = known.withColumn("nth", F.row_number().over(own.orderBy("times", "fingerprint"))).withColumn("usable", F.count("*").over(own))
+    sets = written(project_sets(rows), "project-sets")
     needed = F.greatest(F.lit(max(1, min_overlap)), F.ceil(F.col("n") * F.lit(min_confidence) - 1e-9))
-    rare = rare.where(F.col("nth") <= F.col("usable") - needed + 1).select("project", "fingerprint")
-    a, b = rare.withColumnRenamed("project", "a"), rare.withColumnRenamed("project", "b")
-    near = a.join(b, "fingerprint").where("a < b").select("a", "b").distinct()
-    shared = near.join(pairs.withColumnRenamed("project", "a"), "a").join(pairs.withColumnRenamed("project", "b"), ["b", "fingerprint"])
-    shared = shared.groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= min_overlap)
-    shared = shared.join(latest.select(F.col("project").alias("a"), F.col("latest").alias("la"), F.col("n").alias("na")), "a")
-    shared = shared.join(latest.select(F.col("project").alias("b"), F.col("latest").alias("lb"), F.col("n").alias("nb")), "b")
-    confidence = jaccard(F.col("overlap"), F.col("na"), F.col("nb"))
-    longer = F.char_length("b") > F.char_length("a")
-    second = longer | ((F.char_length("b") == F.char_length("a")) & (F.col("lb") > F.col("la")))
-    out = shared.select(F.when(second, F.col("b")).otherwise(F.col("a")).alias("canonical"), F.when(second, F.col("a")).otherwise(F.col("b")).alias("alias"), "overlap", confidence.alias("confidence"))
-    return out.where(F.col("confidence") >= min_confidence)
+    prefix = F.greatest(F.size("prints") - needed + 1, F.lit(0)).cast("int")
+    rare = sets.select("project", "n", F.size("prints").alias("own"), F.posexplode(F.slice("prints", F.lit(1), prefix)).alias("pos", "print"))
+    a, b = rare.alias("a"), rare.alias("b")
+    # What two projects must share, by their sizes; what they can, by the places of a print that they do share.
+    least = F.greatest(F.lit(max(1, min_overlap)), F.ceil(F.lit(min_confidence) / F.lit(1 + min_confidence) * (F.col("a.n") + F.col("b.n")) - 1e-9))
+    most = F.least("a.pos", "b.pos") + F.least(F.col("a.own") - F.col("a.pos"), F.col("b.own") - F.col("b.pos"))
+    fits = (F.least("a.own", "b.own") >= F.greatest("a.n", "b.n") * F.lit(min_confidence) - 1e-9) & (most >= least)
+    near = a.join(b, (F.col("a.print") == F.col("b.print")) & (F.col("a.project") < F.col("b.project")) & fits).select(F.col("a.project").alias("a"), F.col("b.project").alias("b")).distinct()
+    both = near.select("a", "b", F.explode(F.array("a", "b")).alias("project")).join(sets, "project")
+    side = lambda name: F.max(F.when(F.col("project") == F.col(name), F.struct("n", "latest", "prints")))
+    pairs = both.groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
+    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("x.prints", "y.prints")).cast("long")).where(F.col("overlap") >= min_overlap)
+    confidence = jaccard(F.col("overlap"), F.col("x.n"), F.col("y.n"))
+    second = (F.char_length("b") > F.char_length("a")) | ((F.char_length("b") == F.char_length("a")) & (F.col("y.latest") > F.col("x.latest")))
+    out = pairs.select(F.when(second, F.col("b")).otherwise(F.col("a")).alias("canonical"), F.when(second, F.col("a")).otherwise(F.col("b")).alias("alias"), "overlap", confidence.alias("confidence"))
+    return out.where((F.col("confidence") >= min_confidence) & (F.col("overlap") > 0))
+
+
+def project_sets(rows: DataFrame) -> DataFrame:
+    """[E4, E5] project, n (distinct fingerprints), latest (day), prints: the fingerprints that mean something,
+    rarest first. One row a project, of 16 characters a fingerprint."""
+    each = written(rows.groupBy("project", "fingerprint").agg(F.max("day").alias("day")), "project-prints")
+    useful = ~F.col("fingerprint").isin("", "unknown")
+    known = each.join(each.groupBy("fingerprint").agg(F.count("*").alias("times")), "fingerprint")
+    listed = F.sort_array(F.collect_list(F.when(useful, F.struct("times", "fingerprint"))))
+    return known.groupBy("project").agg(F.count("*").alias("n"), F.max("day").alias("latest"), F.transform(listed, lambda x: x["fingerprint"]).alias("prints"))
 
 
 def merge_plan(index: DataFrame, domain: str, canonical: str, alias: str) -> DataFrame:

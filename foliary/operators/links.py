@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from foliary.functions import scoring, text
 from foliary.functions.paths import wikilink
 from foliary.operators.rows import joined
+from foliary.session import written
 
 
 def _meeting_keys(days: int) -> Callable[[Column, Column], Column]:
@@ -182,6 +183,7 @@ def candidates(orphan: DataFrame, notes: DataFrame, k: int = 20) -> DataFrame:
     folder = lambda path: F.array_join(F.slice(F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda s: s != ""), 1, 2), "/")
     once = notes.select("project", "event_date", "file_type", "source_path", "vault_path").distinct().withColumn("folder", folder(F.col("source_path")))
     mine = orphan.select("project", "event_date", "file_type", "source_path", "vault_path").withColumn("folder", folder(F.col("source_path")))
+    once, mine = written(once, "candidates"), written(mine, "orphans")
     far = mine.withColumn("day", F.explode(F.sequence(F.date_sub("event_date", 3), F.date_add("event_date", 3)))).where("event_date IS NOT NULL")
     ways = [
         (mine, _least_paths(once, k, "project"), ["project"]),

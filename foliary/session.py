@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
@@ -43,3 +43,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return root
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once: no part of it is computed twice, also
+    if an executor is lost. It goes when the application ends."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,10 +6,11 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import queue
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as TooLate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from foliary import model
 
-#: Reads of a task that may hang at once.
-THREADS = 4
+#: Files that a task reads at once, and files whose contents it gives out together.
+SLOTS, TOGETHER = 4, 64
 Lister = Callable[[str], Iterator[tuple[str, int, int]]]
 
 
@@ -54,28 +55,78 @@ def register(spark: SparkSession, name: str, lister: Lister) -> None:
     spark.dataSource.register(Source)
 
 
-def fetch(files: DataFrame, read: Callable[[str], bytes], seconds: float = 30.0) -> DataFrame:
-    """[A3, A4] path, content, error, seconds: each file within its own time; errors are rows. A task
-    has one pool; while as many reads as it has threads hang, it starts no others and says so."""
+class Slot:
+    """A process that reads one file at a time and can be killed."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool, hanging = ThreadPoolExecutor(THREADS), []
-        for pdf in frames:
-            rows = []
-            for path in pdf["path"]:
-                hanging = [f for f in hanging if not f.done()]
-                if len(hanging) == THREADS:
-                    rows.append((path, None, "not read: earlier reads still hang", 0.0))
-                    continue
-                began, one = time.monotonic(), pool.submit(read, path)
+    def __init__(self, read: Callable[[str], bytes]):
+        self.read, self.process = read, None
+
+    def _start(self) -> None:
+        context = multiprocessing.get_context("fork")  # read needn't be importable
+        self.pipe, other = context.Pipe()
+
+        def serve() -> None:
+            while (path := other.recv()) is not None:
                 try:
-                    rows.append((path, one.result(seconds), None, time.monotonic() - began))
-                except TooLate:
-                    hanging.append(one)
-                    rows.append((path, None, "timeout", time.monotonic() - began))
+                    other.send((self.read(path), None))
                 except Exception as e:  # one file never fails the others
-                    rows.append((path, None, f"{type(e).__name__}: {e}", time.monotonic() - began))
-            yield pd.DataFrame(rows, columns=["path", "content", "error", "seconds"])
-        pool.shutdown(wait=False, cancel_futures=True)
+                    other.send((None, f"{type(e).__name__}: {e}"))
+
+        self.process = context.Process(target=serve, daemon=True)
+        self.process.start()
+        other.close()
+
+    def fetch(self, path: str, seconds: float) -> tuple[str, bytes | None, str | None, float]:
+        began = time.monotonic()
+        content, error = None, None
+        try:
+            if self.process is None or not self.process.is_alive():
+                self._start()
+            self.pipe.send(path)
+            if self.pipe.poll(seconds):
+                content, error = self.pipe.recv()
+            else:
+                error = "timeout"
+                self.close()
+        except (EOFError, OSError):
+            error = "the reader died"
+            self.close()
+        return path, content, error, time.monotonic() - began
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = None
+
+
+def fetch(files: DataFrame, read: Callable[[str], bytes], seconds: float = 30.0, slots: int = SLOTS) -> DataFrame:
+    """[A3, A4] path, content, error, seconds: each file within its own time; errors are rows.
+
+    A task reads some files at once, each in a process; one that takes too long is killed and another
+    takes its place, so that every file has an outcome of its own, however many hang."""
 
-    return files.select("path").mapInPandas(run, "path string, content binary, error string, seconds double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [Slot(read) for _ in range(slots)]
+        free: queue.SimpleQueue[Slot] = queue.SimpleQueue()
+        for slot in own:
+            free.put(slot)
+
+        def one(path: str) -> tuple:
+            slot = free.get()
+            try:
+                return slot.fetch(path, seconds)
+            finally:
+                free.put(slot)
+
+        try:
+            with ThreadPoolExecutor(slots) as pool:
+                for pdf in frames:
+                    for k in range(0, len(pdf), TOGETHER):
+                        yield pd.DataFrame(list(pool.map(one, pdf["path"][k : k + TOGETHER])), columns=["path", "content", "error", "seconds"])
+        finally:
+            for slot in own:
+                slot.close()
+
+    return files.select("path").where("path is not null").mapInPandas(run, "path string, content binary, error string, seconds double")

@@ -1,6 +1,9 @@
 """Event detection, settings, sinks and plug-ins."""
 
+import io
+import os
 import time
+import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
@@ -99,14 +102,24 @@ def test_fetches_have_a_time_limit(spark):
     assert got["ok"] == (bytearray(b"ok"), None) and got["slow"][1] == "timeout" and got["bad"][1] == "OSError: no"
 
 
-def test_hanging_reads_are_few(spark):
-    def read(path):
-        time.sleep(2)
-        return b""
+def test_every_read_has_its_own_outcome(spark):
+    """Ten files of a hundred hang, one kills its reader, and all in one task."""
 
-    df = spark.createDataFrame([(f"p{k}",) for k in range(10)], "path string").coalesce(1)
-    errors = [r.error for r in plugins.fetch(df, read, 0.05).collect()]
-    assert errors == ["timeout"] * plugins.THREADS + ["not read: earlier reads still hang"] * (10 - plugins.THREADS)
+    def read(path):
+        k = int(path[1:])
+        if k % 10 == 3:
+            time.sleep(600)
+        if k == 50:
+            os._exit(1)
+        return path.encode() * 1000
+
+    df = spark.createDataFrame([(f"p{k}",) for k in range(100)], "path string").coalesce(1)
+    began = time.monotonic()
+    got = {r.path: (r.content, r.error) for r in plugins.fetch(df, read, 0.5).collect()}
+    assert time.monotonic() - began < 60
+    assert [p for p, (_, e) in got.items() if e == "timeout"] == [f"p{k}" for k in range(3, 100, 10)]
+    assert got["p50"] == (None, "the reader died")
+    assert sum(c == bytearray(p.encode() * 1000) for p, (c, _) in got.items()) == 89
 
 
 def test_readers_at_hand(spark):
@@ -122,3 +135,44 @@ def test_gates(spark):
     stubs = spark.createDataFrame([("a", "# TODO"), ("b", 'def read_text(p):\n    return ""\n\ndef extract_images(p, o):\n    return []\n'), ("c", "def read_text(p):\n    return open(p).read()\n")], "path string, value string")
     assert {r.path: r.stub for r in detect.is_stub(stubs).collect()} == {"a": True, "b": True, "c": False}
     assert [r.v for r in spark.createDataFrame([("1", "1"), ("1", "2"), (None, "2")], "a string, b string").select(config.version_notice(F.col("a"), F.col("b")).alias("v")).collect()] == [False, True, False]
+
+
+def zipped(entries, broken=False):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in entries.items():
+            z.writestr(name, body)
+    raw = bytearray(out.getvalue())
+    if broken:
+        raw[40] ^= 0xFF
+    return raw
+
+
+def test_limits_are_asked_for_and_said(spark):
+    sheet = "<x><row>" + "<c><v>1</v></c>" * 3 + "</row><row><c><v>2</v></c></row></x>"
+    doc = "<d>" + "<p><t>x</t></p>" * 4 + "</d>"
+    files = spark.createDataFrame([("a.txt", bytearray("é" * 10, "utf-8")), ("b.docx", zipped({"word/document.xml": doc})), ("c.xlsx", zipped({"xl/worksheets/sheet1.xml": sheet})), ("d.pptx", zipped({f"ppt/slides/slide{k}.xml": "<s><p><t>y</t></p></s>" for k in (1, 2, 3)}))], "path string, content binary")
+    whole = {r.path: (r.text, r.cut) for r in formats.extract_text(files).collect()}
+    assert whole == {"a.txt": ("é" * 10, None), "b.docx": ("x\nx\nx\nx", None), "c.xlsx": ("1\t1\t1\n2", None), "d.pptx": ("y\ny\ny", None)}
+    few = {r.path: (r.text, r.cut) for r in formats.extract_text(files, limits=formats.Limits(5, 3, 2, 1, 2)).collect()}
+    assert few == {"a.txt": ("éé", "bytes: 15 of 20"), "b.docx": ("x\nx\nx", "paragraphs: 1 of 4"), "c.xlsx": ("1\t1", "rows: 1 of 2; columns: 1 of 3"), "d.pptx": ("y\ny", "slides: 1 of 3")}
+
+
+def test_images_of_files(spark):
+    png, jpg = b"\x89PNG\r\n\x1a\n" + b"1" * 20_000, b"\xff\xd8\xff" + b"2" * 20_000
+    files = {
+        "a.docx": zipped({"word/media/1.png": png, "word/media/2.jpg": jpg, "word/media/3.png": png, "word/media/4.gif": b"GIF8 small"}),
+        "b.pptx": zipped({"ppt/media/x.jpg": jpg}), "c.xlsx": zipped({"xl/media/1.png": png}), "d.docx": zipped({"word/media/1.png": png}, broken=True), "e.docx": bytearray(b"no archive"),
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content binary").repartition(2)
+    got = formats.extract_images(df).collect()
+    assert sorted((r.path, r.k, r.kind) for r in got if r.error is None) == [("a.docx", 0, "png"), ("a.docx", 1, "jpg"), ("a.docx", 2, "png"), ("a.docx", 3, "gif"), ("b.pptx", 0, "jpg")]
+    assert sorted(r.path for r in got if r.error) == ["d.docx", "e.docx"]
+    shown = sorted((r.path, r.name, r.kind, r.row, r.write) for r in formats.embedded_images(df).collect())
+    assert shown == [("a.docx", "1.png", "png", 0, True), ("a.docx", "2.jpg", "jpg", 0, True), ("b.pptx", "x.jpg", "jpg", 0, False)]
+
+
+def test_image_kinds(spark):
+    heads = {b"\x89PNG\r\n\x1a\n.": "png", b"\xff\xd8\xff.": "jpg", b"GIF89a": "gif", b"BM..": "bmp", b"II*\x00": "tiff", b"MM\x00*": "tiff", b"RIFF....WEBPVP8": "webp", b"RIFF....WAVE": "bin", b"": "bin", b"x\x89PNG": "bin"}
+    rows_ = spark.createDataFrame([(bytearray(b),) for b in heads] + [(None,)], "c binary").select("c", formats.image_kind(F.col("c")).alias("k")).collect()
+    assert {bytes(r.c): r.k for r in rows_ if r.c is not None} == heads and [r.k for r in rows_ if r.c is None] == [None]
