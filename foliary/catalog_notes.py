@@ -9,6 +9,7 @@ from foliary.bindings import view, with_views
 from foliary.catalog import query, table
 from foliary.operators import validate
 from foliary.sources import archive, note_files, writers
+from foliary.streaming import logbook
 
 #: A note for each document, in the forms that people and programs write frontmatter in; the document's text is the body.
 NOTE_TEXT = """SELECT doc_id, CASE WHEN doc_id % 29 = 7 THEN 'no fence' || chr(10) ELSE '---' || chr(10)
@@ -161,3 +162,35 @@ def b10_sections_appended(spark, sf_dir):
     note_files.write(files.where("text <> ''"), root)
     note_files.append_sections(files.where("ord % 3 = 0 AND text <> ''").select("path", F.concat(F.lit("## From "), "source").alias("section")), root)
     return note_files.read(spark, root).select("path", F.col("content").cast("string").alias("text"))
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+def log_stream(spark, sf_dir):
+    """Turns of conversations as three batches of a file stream, each logged; the log holds 200 entries."""
+    source, root, checkpoint = (session.fresh_dir(spark, name) for name in ("turns", "logbook", "checkpoint"))
+    rows = view(spark, sf_dir, "v_log")
+    for k in range(3):
+        rows.where(F.col("conv_id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+    entries = lambda batch, _: batch.select(F.lit("2024-01-01").alias("timestamp"), F.col("role").alias("event_type"), F.concat_ws("-", "conv_id", "turn").alias("summary"), F.lit(None).cast("string").alias("details"), "ord")
+    later = lambda batch, _: batch.where("turn = 0").select(F.col("conv_id").cast("string").alias("path"), F.lit("new").alias("action"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = stream.writeStream.foreachBatch(logbook.record(root, entries, later)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return root
+
+
+@query("t7_log_stream", with_views("v_log") + "\nSELECT role AS event_type, conv_id || '-' || turn AS summary FROM v_log ORDER BY conv_id % 3 DESC, ord DESC LIMIT 200")
+def t7_log_stream(spark, sf_dir):
+    return logbook.log(spark, log_stream(spark, sf_dir)).select("event_type", "summary")
+
+
+@query("t7_counters", with_views("v_log") + "\nSELECT role AS event_type, count(*) AS n FROM v_log GROUP BY role")
+def t7_counters(spark, sf_dir):
+    return logbook.counters(spark, log_stream(spark, sf_dir))
+
+
+@query("t5_deferred", with_views("v_log") + "\nSELECT CAST(conv_id AS VARCHAR) AS path, 'new' AS action, conv_id % 3 AS batch FROM v_log WHERE turn = 0")
+def t5_deferred(spark, sf_dir):
+    return logbook.deferred(spark, log_stream(spark, sf_dir))
