@@ -584,7 +584,11 @@ def a21_page_text(spark, sf_dir):
     return archive.page_fields(table(spark, sf_dir, "pages"))
 
 
-@query("f9_stem_normalize")
+SLUG = "trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query("f9_stem_normalize", f"""WITH s AS (SELECT doc_id, CASE WHEN {SLUG} = '' THEN 'image' ELSE {SLUG} END AS stem FROM documents)
+SELECT doc_id, stem, CASE WHEN len(stem) <= 60 THEN stem WHEN substr(stem, 61, 1) = '-' THEN left(stem, 60) ELSE rtrim(CASE WHEN contains(left(stem, 60), '-') THEN left(stem, 60 - strpos(reverse(left(stem, 60)), '-')) ELSE left(stem, 60) END, '-') END AS slug FROM s""")
 def f9_stem_normalize(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", text.normalized_stem("text").alias("stem"), text.topic_slug(F.col("text")).alias("slug"))
@@ -893,4 +897,4 @@ def f16_yaml_quote(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.yaml_quote(risky).alias("quoted"))
 
 
-from foliary import catalog_notes  # noqa: E402, F401  it adds its queries to these
+from foliary import catalog_columns, catalog_notes  # noqa: E402, F401  they add their queries to these

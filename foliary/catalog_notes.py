@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from foliary import model, session
 from foliary.bindings import view, with_views
-from foliary.catalog import query, table
-from foliary.operators import validate
+from foliary.catalog import ORACLE_SQL, TODAY, events, query, table
+from foliary.operators import reports, validate
+from foliary.plans import scan
 from foliary.sources import archive, note_files, writers
 from foliary.streaming import logbook
 
@@ -194,3 +195,27 @@ def t7_counters(spark, sf_dir):
 @query("t5_deferred", with_views("v_log") + "\nSELECT CAST(conv_id AS VARCHAR) AS path, 'new' AS action, conv_id % 3 AS batch FROM v_log WHERE turn = 0")
 def t5_deferred(spark, sf_dir):
     return logbook.deferred(spark, log_stream(spark, sf_dir))
+
+
+# --- pages and reports in parts, put together by the file sink ----------------------------------
+
+
+@query("r1_pages_written", ORACLE_SQL["r1_project_pages"])
+def r1_pages_written(spark, sf_dir):
+    root = session.fresh_dir(spark, "pages")
+    parts = scan.page_parts(events(spark, sf_dir), TODAY)
+    note_files.write(parts.select(F.concat("project", F.lit(".md")).alias("path"), "part", "text"), root)
+    return note_files.read(spark, root).select(F.regexp_replace("path", r"\.md$", "").alias("project"), F.col("content").cast("string").alias("page"))
+
+
+@query("r18_reports_written", f"SELECT report || '/' || file_name AS path, body FROM ({ORACLE_SQL['r18_scan_reports']})")
+def r18_reports_written(spark, sf_dir):
+    root = session.fresh_dir(spark, "reports")
+    at = lambda hour: F.lit(f"2024-08-01 {hour}:00:00").cast("timestamp_ntz")
+    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("report"), F.lit("retro").alias("kind"), at("09").alias("started"), at("10").alias("finished"))
+    notes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("report"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("path"))
+    counts = notes.groupBy("report").agg(F.count("*").alias("value")).select("report", F.lit(0).alias("ord"), F.lit("notes").alias("name"), "value")
+    warnings = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("report"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("text"))
+    parts = reports.scan_report_parts(own, counts, notes, warnings)
+    note_files.write(parts.select(F.concat_ws("/", F.col("report").cast("string"), "path").alias("path"), "part", "text"), root)
+    return note_files.read(spark, root).select("path", F.col("content").cast("string").alias("body"))

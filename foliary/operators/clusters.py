@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,11 +85,15 @@ def labels(events: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     return rows.select(*key, "start", "end", "n_events", text.gantt_escape(label).alias("label"))
 
 
+def bar() -> Column:
+    """The line of a labelled island."""
+    return F.concat(F.lit("        "), "label", F.lit(" :"), F.col("start").cast("string"), F.when(F.col("start") == F.col("end"), ", 1d").otherwise(F.concat(F.lit(", "), F.col("end").cast("string"))))
+
+
 def gantt(events: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     """[R3] project, block: folders by their first start, islands by start."""
     rows = labels(events, gap_days)
-    bar = F.concat(F.lit("        "), "label", F.lit(" :"), F.col("start").cast("string"), F.when(F.col("start") == F.col("end"), ", 1d").otherwise(F.concat(F.lit(", "), F.col("end").cast("string"))))
-    bars = rows.groupBy("project", "folder").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("island", bar.alias("bar")))).alias("bars"))
+    bars = rows.groupBy("project", "folder").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("island", bar().alias("bar")))).alias("bars"))
     lines = F.concat(F.lit("    section "), text.gantt_escape(F.col("folder")), F.lit("\n"), F.array_join(F.transform("bars", lambda b: b["bar"]), "\n"))
     whole = bars.groupBy("project").agg(F.sort_array(F.collect_list(F.struct("start", "folder", lines.alias("lines")))).alias("s"))
     head = F.concat(F.lit("```mermaid\ngantt\n    title "), text.gantt_escape(F.col("project")), F.lit("\n    dateFormat YYYY-MM-DD\n"))

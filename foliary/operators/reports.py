@@ -37,6 +37,31 @@ def scan_reports(reports: DataFrame, counts: DataFrame, notes: DataFrame, warnin
     return rows.select("report", F.concat(F.date_format("finished", "yyyy-MM-dd_HH-mm-ss"), F.lit("_"), "kind", F.lit(".md")).alias("file_name"), body.alias("body"))
 
 
+def scan_report_parts(reports: DataFrame, counts: DataFrame, notes: DataFrame, warnings: DataFrame, shown: int = 50) -> DataFrame:
+    """[R18, B7] report, path, part, text: the reports of scan_reports in pieces, a line each, for the file sink; so a
+    report may have any number of warnings."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    name = F.concat(F.date_format("finished", "yyyy-MM-dd_HH-mm-ss"), F.lit("_"), "kind", F.lit(".md")).alias("path")
+    head = F.concat(F.lit("# "), "kind", F.lit(" report\n\n- **Scan type:** "), "kind", F.lit("\n- **Started:** "), stamp("started"), F.lit("\n- **Finished:** "), stamp("finished"))
+    part = lambda section, at: F.struct(F.lit(section).alias("section"), at.cast("long").alias("at"), F.lit("").alias("tie")).alias("part")
+    own = reports.select("report", name)
+    rows = reports.select("report", name, part(0, F.lit(0)), head.alias("text"))
+
+    def section(k: int, title: str, lines: DataFrame) -> DataFrame:
+        """lines: report, at, line."""
+        found = lines.join(own, "report")
+        titles = found.select("report", "path").distinct().select("report", "path", part(k, F.lit(0)), F.lit(f"\n\n## {title}\n").alias("text"))
+        each = F.struct(F.lit(k + 1).alias("section"), F.col("at").cast("long").alias("at"), F.col("line").alias("tie")).alias("part")
+        return titles.union(found.select("report", "path", each, F.concat(F.lit("\n"), "line").alias("text")))
+
+    few = notes.withColumn("at", F.row_number().over(Window.partitionBy("report").orderBy("ord"))).where(F.col("at") <= shown).select("report", "at", F.concat(F.lit("- `"), "path", F.lit("`")).alias("line"))
+    more = notes.groupBy("report").agg(F.count("*").alias("n")).where(F.col("n") > shown).select("report", F.lit(shown + 1).alias("at"), F.concat(F.lit("- …and "), (F.col("n") - shown).cast("string"), F.lit(" more")).alias("line"))
+    rows = rows.union(section(1, "Counts", counts.select("report", F.col("ord").alias("at"), F.concat(F.lit("- **"), "name", F.lit(":** "), F.col("value").cast("string")).alias("line"))))
+    rows = rows.union(section(3, "Notes written", few.union(more)))
+    rows = rows.union(section(5, "Warnings", warnings.select("report", F.col("ord").alias("at"), F.concat(F.lit("- "), "text").alias("line"))))
+    return rows.union(reports.select("report", name, part(9, F.lit(0)), F.lit("\n").alias("text")))
+
+
 def log_text(entries: DataFrame, most: int = 200) -> DataFrame:
     """[R19] One row, body: counters by type and entries (ord, timestamp, type, summary, details), the
     newest first. An order of all entries is cut off at `most`, so the body is bounded."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliary.functions import dates, text
 from foliary.operators import clusters, links, lookup, routing
@@ -39,6 +40,38 @@ def project_pages(events: DataFrame, today: datetime.date) -> DataFrame:
     return named.select("project", F.concat_ws("\n\n", front, F.concat(F.lit("# "), "project"), people, F.concat(F.lit("## Timeline\n\n"), "block"), F.concat(F.lit("## Substructures\n\n"), "nav")).alias("page"))
 
 
+PART = "struct<section:int,start:date,folder:string,kind:int,island:long,at:date,name:string,line:string>"
+
+
+def page_parts(events: DataFrame, today: datetime.date) -> DataFrame:
+    """[R1-R4] project, part, text: the pages of project_pages in pieces, which one after another, in the order of
+    part, are the page. A piece is a line or a heading, so no row grows with a project; the file sink
+    puts them together."""
+
+    def part(section: int, text: Column, **at: Column) -> list[Column]:
+        values = {"start": "date", "folder": "string", "kind": "int", "island": "long", "at": "date", "name": "string", "line": "string"}
+        fields = [F.lit(section).alias("section"), *[at.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in values.items()]]
+        return [F.col("project"), F.struct(*fields).cast(PART).alias("part"), text.alias("text")]
+
+    head = clusters.status(events, today).join(clusters.parties(events), "project", "left")
+    front = F.concat(F.lit("---\nproject: "), text.yaml_quote(F.col("project")), F.lit("\nstatus: "), "status", F.lit("\ntimeline_start: "), F.col("timeline_start").cast("string"), F.lit("\n---"))
+    rows = head.select(*part(0, F.concat_ws("\n\n", front, F.concat(F.lit("# "), "project"), F.concat(F.lit("## Parties\n\n"), "parties"))))
+    bars = clusters.labels(events).withColumn("first", F.min("start").over(Window.partitionBy("project", "folder")))
+    dated = bars.select("project").distinct()
+    title = F.concat(F.lit("\n\n## Timeline\n\n```mermaid\ngantt\n    title "), text.gantt_escape(F.col("project")), F.lit("\n    dateFormat YYYY-MM-DD"))
+    rows = rows.union(dated.select(*part(1, title))).union(dated.select(*part(3, F.lit("\n```"))))
+    folders = bars.select("project", "folder", "first").distinct()
+    rows = rows.union(folders.select(*part(2, F.concat(F.lit("\n    section "), text.gantt_escape(F.col("folder"))), start=F.col("first"), folder=F.col("folder"), kind=F.lit(0))))
+    rows = rows.union(bars.select(*part(2, F.concat(F.lit("\n"), clusters.bar()), start=F.col("first"), folder=F.col("folder"), kind=F.lit(1), island=F.col("island"))))
+    lines = events.where("subfolder <> ''").withColumn("line", text.timeline_line(F.col("event_date"), F.col("note_filename"), F.col("summary_hint"), F.col("fallback_hint")))
+    subfolders = lines.select("project", "subfolder").distinct()
+    several = subfolders.groupBy("project").agg(F.min("subfolder").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    name = F.concat(F.when(F.col("subfolder") == F.col("least"), "\n\n## Substructures").otherwise(""), F.lit("\n\n### "), "subfolder", F.lit("/"))
+    rows = rows.union(subfolders.join(several, "project").select(*part(4, name, folder=F.col("subfolder"), kind=F.lit(0))))
+    line = part(4, F.concat(F.lit("\n"), "line"), folder=F.col("subfolder"), kind=F.lit(1), at=F.col("event_date"), name=F.col("note_filename"), line=F.col("line"))
+    return rows.union(lines.join(several, "project").where("line IS NOT NULL").select(*line)).where("text IS NOT NULL")
+
+
 def changed_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     """[R6] Pages to be written: new ones and those that differ but for white space at their ends."""
     return new.join(old.select("project", F.col("page").alias("was")), "project", "left").where("was IS NULL OR trim(was) <> trim(page)").select("project", "page")
