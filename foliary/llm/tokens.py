@@ -13,8 +13,9 @@ like any other, so that no text gives the end mark's id.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -61,9 +62,11 @@ class Chunks(dict):
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.chars = self.tokenizer.model, _char_of_byte()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize = self.model.tokenize
+        self.written = [k.to_bytes(self.dtype.itemsize, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.space = self.chars[32]
         self.pieces: dict[str, bytes] = {}
+        self.most = REMEMBERED
         self.marks = {m: self.plain(m) for m in MARKS}
 
     def plain(self, text: str) -> bytes:
@@ -71,7 +74,7 @@ class Chunks(dict):
 
     def merged(self, written: str) -> bytes:
         """The library's ids of one piece, which needs no splitting."""
-        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        return b"".join([self.written[t.id] for t in self.tokenize(written)])
 
     def piece(self, piece: str) -> bytes:
         if piece[0] == " " and piece[1:].isalpha():
@@ -80,7 +83,7 @@ class Chunks(dict):
         if ids is None:
             ids = self.merged("".join(map(self.chars.__getitem__, piece.encode())))
             if len(piece) <= LONGEST:
-                if len(self.pieces) >= REMEMBERED // 10:
+                if len(self.pieces) >= self.most // 10:
                     self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
@@ -94,10 +97,10 @@ class Chunks(dict):
             else:
                 ids = self.plain(f" {chunk}")
         elif chunk[:-1].isalpha() and chunk[-1] in self.marks:
-            seen = chunk[:-1] in self
-            ids = self[chunk[:-1]] + self.marks[chunk[-1]]
-            if not seen:  # a new word is remembered once
-                return ids
+            ids = self.get(chunk[:-1])
+            if ids is None:  # a new word is remembered once
+                return self[chunk[:-1]] + self.marks[chunk[-1]]
+            ids += self.marks[chunk[-1]]
         elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Odd
         elif COMMON.fullmatch(chunk):
@@ -105,7 +108,7 @@ class Chunks(dict):
         else:
             ids = self.plain(f" {chunk}")
         if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = ids
         return ids
@@ -137,12 +140,28 @@ def token_id(path: str, token: str) -> int:
     return _chunks(path).tokenizer.token_to_id(token)
 
 
-def encode(texts: list[str | None], path: str, end: int | None, ordinary: bool = False) -> list[np.ndarray]:
+def encode(texts: list[str | None], path: str, end: int | None, ordinary: bool = False, remembered: int | None = None) -> list[np.ndarray]:
     """Ids of each text (null: empty), with the id `end` appended unless it is None; 16 bits
-    each if the vocabulary fits, else 32. ordinary: added tokens' strings are text."""
+    each if the vocabulary fits, else 32. ordinary: added tokens' strings are text. remembered:
+    chunks that the task keeps at most, for jobs whose workers hold much else."""
     chunks = _chunks(path, ordinary)
+    chunks.most = remembered or REMEMBERED
     tail = b"" if end is None else np.array([end], dtype=chunks.dtype).tobytes()
-    return [np.frombuffer(chunks.text(t or "") + tail, dtype=chunks.dtype) for t in texts]
+    collects = gc.isenabled()
+    gc.disable()  # nothing here is part of a cycle, and the collector would look through all that is remembered
+    try:
+        return [np.frombuffer(chunks.text(t or "") + tail, dtype=chunks.dtype) for t in texts]
+    finally:
+        if collects:
+            gc.enable()
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system, as Python workers go on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
