@@ -51,7 +51,7 @@ GROUPS, IN_GROUP = 32, 8
 #: Sets below this size use single shingles as keys.
 SMALL = 24
 BAND = 1.5
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Most classes, and most shingles, that a family's bucket has on average.
 CELL = 4096
 CELL_SHINGLES = 1 << 19
@@ -191,6 +191,8 @@ def measured(docs: DataFrame, k: int, limits: Limits) -> DataFrame:
             columns += [pa.array([point(s, groups_of(len(s))).astype("<u4").tobytes() for s in own], pa.binary()), longs([limits.keys(s) for s in own])]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "n", "hi", "lo", "point", "keys"])
             row += len(own)
+        words.clear()
+        tokens.release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
     return rows.mapInArrow(read, "row long, doc_id long, mark long, n long, hi long, lo long, point binary, keys array<long>")
@@ -434,6 +436,8 @@ def search(rows: DataFrame, k: int, limits: Limits) -> DataFrame:
                 found.clear()
         if found:
             yield send()
+        words.clear()
+        tokens.release()
 
     return rows.mapInArrow(look, "a long, b long")
 

@@ -257,8 +257,9 @@ def train(docs: DataFrame, learn: Column, path: str | None = None, max_docs: int
     return langs, log_p, np.log(prior / prior.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], path: str | None = None) -> DataFrame:
-    """docs' columns with lang_pred and score added; text is all that it looks at."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """docs' columns with lang_pred and score added; text is all that it looks at. remembered: words whose
+    scores a task keeps at most."""
     langs, log_p, prior = model
     path = path or default_path()
     shared = docs.sparkSession.sparkContext.broadcast((langs, log_p, prior))  # pieces x languages, bounded
@@ -271,7 +272,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
         for batch in batches:
             texts = [Counter(words_of(t)) for t in tokens.columns(batch, "text")[0]]
             fresh = list(set().union(*texts) - place.keys())
-            if len(place) + len(fresh) > REMEMBERED or letters > REMEMBERED_LETTERS:
+            if len(place) + len(fresh) > remembered or letters > REMEMBERED_LETTERS:
                 place, known, letters = {}, known[:0], 0
                 fresh = list(set().union(*texts))
             letters += sum(map(len, fresh))
@@ -291,6 +292,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
                 scores.append(float(1 / np.exp(sums - sums[best]).sum()))
             keep = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        del place, known
+        tokens.release()
 
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string, score double"])
@@ -313,10 +316,10 @@ def language_id(docs: DataFrame) -> DataFrame:
     return predict(rows, model)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.5, remembered: int = REMEMBERED) -> DataFrame:
     """The rows whose language is told with a posterior of at least `least`; the columns stay as they are."""
     model = train(docs.select("doc_id", "text", "lang"), learnable())
     names = docs.columns
     # The row goes along as one column, so no name of its can clash.
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
-    return predict(carried, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    return predict(carried, model, remembered=remembered).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

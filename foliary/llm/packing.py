@@ -140,7 +140,7 @@ def cut(rounds: Rounds, queue: np.ndarray, begin: np.ndarray, size: np.ndarray,
     return out
 
 
-def write_queues(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = 0) -> DataFrame:
+def write_queues(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = 0, remembered: int | None = None) -> DataFrame:
     """Every document's ids, and the ids of its source before it in its shard. Shards follow
     the input's partitions, so no text is shuffled."""
     dtype = "<u2" if tokens.vocabulary_size(tokenizer) <= 1 << 16 else "<u4"
@@ -149,7 +149,7 @@ def write_queues(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = 0
         shard, so_far = TaskContext.get().partitionId(), {}
         for batch in batches:
             doc_ids, sources, texts = tokens.columns(batch, "doc_id", "source", "text")
-            ids, ahead = tokens.encode(texts, tokenizer, end), []
+            ids, ahead = tokens.encode(texts, tokenizer, end, remembered=remembered), []
             for source, x in zip(sources, ids, strict=True):
                 ahead.append(so_far.get(source, 0))
                 so_far[source] = ahead[-1] + len(x)
@@ -201,11 +201,12 @@ class Node:
         self.rounds = Rounds([c["n"] for c in children], [c["weight"] for c in children])
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, max_lanes: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, max_lanes: int = 64, remembered: int | None = None) -> DataFrame:
     """Pieces of all documents in sequences. weights: target proportions by source; by
-    default the sources' token shares, so that every window mixes as the whole does."""
+    default the sources' token shares, so that every window mixes as the whole does. remembered:
+    see tokens.encode."""
     tokenizer, scratch = tokenizer or tokens.default_path(), Scratch(docs.sparkSession, "packing")
-    queues = write_queues(docs, scratch, tokenizer)
+    queues = write_queues(docs, scratch, tokenizer, remembered=remembered)
     dtype = "<u2" if tokens.vocabulary_size(tokenizer) <= 1 << 16 else "<u4"
     parts = scratch.save(queues.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n")), "parts")
     sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
