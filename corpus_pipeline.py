@@ -17,6 +17,9 @@ from foliary.llm import exact_dedup, jaccard_rtree, langid, mixing, packing
 from foliary.llm.scratch import Scratch, collecting, tune
 
 MOST_REPEATS = 1.25
+#: Words and chunks that a task of the first and the last stage keeps: fewer than by themselves, as workers go on
+#: from stage to stage.
+WORDS, CHUNKS = 300_000, 400_000
 #: Intermediate tables of the stage that ran last, by application and input, if another stage follows it.
 _before: dict[tuple[str, str], list[Scratch]] = {}
 
@@ -40,7 +43,7 @@ def stage(operator: Callable[[DataFrame], DataFrame], last: bool = False) -> Cal
 @stage
 def known_language(docs: DataFrame) -> DataFrame:
     """Documents without a language that can be told go."""
-    return langid.keep_known(docs)
+    return langid.keep_known(docs, remembered=WORDS)
 
 
 @stage
@@ -63,7 +66,7 @@ def mixed_sources(docs: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all rows in sequences of 1024 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=CHUNKS)
 
 
 STAGES = [
