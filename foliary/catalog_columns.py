@@ -9,7 +9,7 @@ from foliary.bindings import view, with_views
 from foliary.catalog import query, table
 from foliary.functions import dates, paths, text
 from foliary.operators import config, detect
-from foliary.sources import formats, writers
+from foliary.sources import archive, formats, writers
 
 
 @query("f4_join_path", """SELECT doc_id, array_to_string(list_filter([regexp_replace(trim(x), '^/+|/+$', '', 'g') FOR x IN ['/' || source || '//', ' ' || lang || ' ', CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'n/' || doc_id END, '/']], lambda x: x <> ''), '/') AS path FROM documents""")
@@ -148,3 +148,16 @@ def b12_edit_guard(spark, sf_dir):
     hashed = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.col("p_type"))
     present = own.where("p_partkey % 7 <> 0").select("name", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("text"), F.sha2(hashed.cast("binary"), 256).alias("stored_hash"))
     return writers.guarded(own.select("name", F.col("p_name").alias("text")), present)
+
+
+META_PAGES = """SELECT page_id, replace(html, '<title>', CASE page_id % 4 WHEN 0 THEN '<meta name="author" content=" Ann > Bo ">' WHEN 1 THEN '<META content="Cy" property="article:author"/><meta name=date content=2024-01-02>' WHEN 2 THEN '<meta name="author" content=""><meta name="dc.creator" content="Di">' ELSE '' END || '<title>') AS html FROM {}"""
+
+
+@query("a22_page_property", f"""WITH p AS ({META_PAGES.format("pages")}), m AS (SELECT page_id, html, [x FOR x IN string_split(html, '<') IF starts_with(lower(x), 'meta ')] AS tags FROM p)
+SELECT page_id, trim(split_part(split_part(html, '<title>', 2), '</title>', 1)) AS title, split_part(split_part(html, '<html lang="', 2), '"', 1) AS language, split_part(split_part(html, 'charset="', 2), '"', 1) AS charset,
+  CASE WHEN contains(array_to_string(tags, '|'), 'Ann') THEN 'Ann > Bo' WHEN len(list_filter(tags, lambda x: contains(x, 'article:author'))) > 0 THEN split_part(split_part(list_filter(tags, lambda x: contains(x, 'article:author'))[1], 'content="', 2), '"', 1)
+    WHEN len(list_filter(tags, lambda x: contains(x, 'dc.creator'))) > 0 THEN split_part(split_part(list_filter(tags, lambda x: contains(x, 'dc.creator'))[1], 'content="', 2), '"', 1) END AS author,
+  CASE WHEN len(list_filter(tags, lambda x: contains(x, 'name=date'))) > 0 THEN '2024-01-02' END AS published FROM m""")
+def a22_page_property(spark, sf_dir):
+    rows = spark.sql(META_PAGES.format("{pages}"), pages=table(spark, sf_dir, "pages"))
+    return rows.select("page_id", *[archive.page_property(F.col("html"), n).alias(n) for n in ("title", "language", "charset", "author", "published")])

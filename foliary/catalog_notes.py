@@ -219,3 +219,15 @@ def r18_reports_written(spark, sf_dir):
     parts = reports.scan_report_parts(own, counts, notes, warnings)
     note_files.write(parts.select(F.concat_ws("/", F.col("report").cast("string"), "path").alias("path"), "part", "text"), root)
     return note_files.read(spark, root).select("path", F.col("content").cast("string").alias("body"))
+
+
+# Pages of which every other project has one already, with a section of the user's own.
+@query("r6_pages_updated", f"""WITH g AS ({ORACLE_SQL["r1_project_pages"]}), m AS (SELECT project, '<!-- auto-start -->' || chr(10) || page || chr(10) || '<!-- auto-end -->' AS page FROM g)
+SELECT project, CASE WHEN CAST(substr(project, 6) AS BIGINT) % 2 = 0 THEN page || chr(10) || chr(10) || '## Parties' || chr(10) || chr(10) || 'People of ' || project || chr(10) || chr(10) || '## Mine' || chr(10) || project ELSE page END AS page FROM m""")
+def r6_pages_updated(spark, sf_dir):
+    root, own = session.fresh_dir(spark, "vault"), events(spark, sf_dir)
+    old = own.select("project").distinct().where("CAST(substr(project, 6) AS BIGINT) % 2 = 0")
+    text = F.concat(F.lit("# old\n\n## Parties\n\nPeople of "), "project", F.lit("\n\n## Mine\n"), "project", F.lit("\n\n## Timeline\n\nold"))
+    note_files.write(old.select(F.concat("project", F.lit(".md")).alias("path"), text.alias("text")), root)
+    scan.update_pages(own, root, TODAY)
+    return note_files.read(spark, root).select(F.regexp_replace("path", r"\.md$", "").alias("project"), F.col("content").cast("string").alias("page"))

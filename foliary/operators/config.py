@@ -36,10 +36,12 @@ def merged_map(*tiers: Column) -> Column:
 
 def effective(domains: DataFrame, templates: DataFrame, project: DataFrame, legacy: bool = False) -> DataFrame:
     """[K10] One row per domain (name, template, archive_root, fallback, style, lists) with its template's
-    and the project's (one row) entries. Styles: template, then global, then domain, then project; the
+    and the project's entries (one row; more fail the job). Styles: template, then global, then domain, then project; the
     legacy order begins with global."""
     t = templates.select(F.col("name").alias("template"), *[F.col(c).alias(f"t_{c}") for c in (*LISTS, "fallback", "style")])
-    p = project.select(*[F.col(c).alias(f"p_{c}") for c in (*LISTS, "fallback", "style")], F.col("global_style").alias("g_style")).limit(1)
+    p = project.select(*[F.col(c).alias(f"p_{c}") for c in (*LISTS, "fallback", "style")], F.col("global_style").alias("g_style"))
+    only = F.when(F.count("*") > 1, F.raise_error(F.lit("settings of more than one project"))).otherwise(F.first(F.struct("*")))
+    p = p.agg(only.alias("row")).select("row.*")
     rows = domains.join(t, "template", "left").join(F.broadcast(p), F.lit(True), "left")  # one row
     first = (F.col("g_style"), F.col("t_style")) if legacy else (F.col("t_style"), F.col("g_style"))
     merge = merged_list_legacy if legacy else merged_list

@@ -23,12 +23,12 @@ def _sections(body: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(stripped(F.substring_index(p, "\n", 1)).alias("name"), stripped(F.regexp_replace(p, r"^[^\n]*", "")).alias("content")))
 
 
-def existing(pages: DataFrame) -> DataFrame:
+def existing(pages: DataFrame, start: str = START, end: str = END) -> DataFrame:
     """[A17] pages (project, page) with what they hold: frontmatter (map), overview, the kept sections,
     user_sections (all others, as they are), marker_head and marker_tail (around the generated part)."""
     whole = F.coalesce("page", F.lit(""))
     fence, body = F.coalesce(frontmatter.fence_of(whole), F.lit("")), frontmatter.body_of(whole)
-    around = rf"(?s)^(.*?){START}.*{END}(.*)$"
+    around = rf"(?s)^(.*?)\Q{start}\E.*\Q{end}\E(.*)$"
     raw = F.regexp_extract("body", r"> \[!abstract\] Overview\n((?:>.*\n?)*)", 1)
     last = lambda name: F.coalesce(F.try_element_at(F.filter("sections", lambda s: s["name"] == name), F.lit(-1))["content"], F.lit(""))
     own = F.filter("sections", lambda s: ~s["name"].isin([*KEPT, *GENERATED]))
@@ -45,11 +45,11 @@ def existing(pages: DataFrame) -> DataFrame:
     )
 
 
-def regenerated(generated: DataFrame, old: DataFrame) -> DataFrame:
+def regenerated(generated: DataFrame, old: DataFrame, start: str = START, end: str = END) -> DataFrame:
     """[R6] generated (project, page) put into the existing pages: between the markers where there are
     any, else before the kept sections and the user's own."""
-    kept = existing(old)
-    marked = F.concat(F.lit(START + "\n"), "page", F.lit("\n" + END))
+    kept = existing(old, start, end)
+    marked = F.concat(F.lit(start + "\n"), "page", F.lit("\n" + end))
     said = [F.when(F.col(c) != "", F.concat(F.lit(f"## {name}\n\n"), F.col(c))) for name, c in KEPT.items()]
     overview = F.when(F.col("overview") != "", F.concat(F.lit("> [!abstract] Overview\n> "), F.replace("overview", F.lit("\n"), F.lit("\n> "))))
     plain = F.concat_ws("\n\n", overview, marked, *said, F.nullif("user_sections", F.lit("")))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliary.functions import dates, text
-from foliary.operators import clusters, links, lookup, routing
+from foliary.operators import clusters, links, lookup, pages, routing
+from foliary.session import written
+from foliary.sources import note_files
 
 
 def scan(files: DataFrame, index: DataFrame, skips: list[str] = ()) -> DataFrame:
@@ -77,6 +79,20 @@ def changed_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old.select("project", F.col("page").alias("was")), "project", "left").where("was IS NULL OR trim(was) <> trim(page)").select("project", "page")
 
 
+def update_pages(events: DataFrame, root: str, today: datetime.date, start: str = pages.START, end: str = pages.END) -> DataFrame:
+    """[R6, B8] Reads the pages below root (project.md), generates those of the events' projects anew, keeps what users
+    wrote in them, and writes the ones that have changed, each whole. Returns project, page of these.
+
+    start and end are the markers around what is generated, for pages that other tools have written. A page is
+    one row here; pages of very many events are written by page_parts."""
+    spark = events.sparkSession
+    old = note_files.read(spark, root) if note_files.has_files(spark, root) else spark.createDataFrame([], "path string, content binary")
+    old = old.where(F.col("path").rlike(r"^[^/]+\.md$")).select(F.regexp_replace("path", r"\.md$", "").alias("project"), F.col("content").cast("string").alias("page"))
+    changed = written(changed_pages(old, pages.regenerated(project_pages(events, today), old, start, end)), "changed-pages")
+    note_files.write(changed.select(F.concat("project", F.lit(".md")).alias("path"), F.col("page").alias("text")), root, overwrite=True)
+    return changed
+
+
 def linked_bodies(events: DataFrame, bodies: DataFrame) -> DataFrame:
     """[R8, C14] bodies (project, name, body) with their block of links renewed; bodies that are an
     error message are left alone."""

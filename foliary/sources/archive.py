@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,3 +56,44 @@ def page_fields(pages: DataFrame) -> DataFrame:
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?s)<[^>]*>", " "), r"\s+", " "))
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     return pages.select("page_id", title.alias("title"), plain.alias("text"), (F.char_length(plain) < 500).alias("stub"))
+
+
+#: Where a page says a property, in order: names of its meta tags.
+META = {
+    "author": ["author", "article:author", "dc.creator"],
+    "published": ["article:published_time", "date", "pubdate", "dc.date"],
+    "description": ["description", "og:description"],
+    "site": ["og:site_name", "application-name"],
+    "image": ["og:image"],
+    "keywords": ["keywords"],
+}
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag's text, quoted or not; null if it has none."""
+    value = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    bare = F.regexp_replace(F.regexp_replace(value, rf"(?is)^[\s\"'/]{name}\s*=\s*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.when(value != "", bare)
+
+
+def page_property(html: Column, name: str) -> Column:
+    """[A22] One value that a page says of itself, trimmed; null if it doesn't, or says nothing. name: title,
+    language, charset, one of META, or the name of a meta tag."""
+    if name == "title":
+        found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    elif name == "language":
+        found = attribute(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), "lang")
+    else:
+        tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), 0)
+        if name == "charset":
+            found = F.get(F.filter(F.transform(tags, lambda t: attribute(t, "charset")), lambda v: v.isNotNull()), F.lit(0))
+        else:
+            said = lambda t: F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"), F.lit("")))
+
+            def first_of(wanted: str) -> Column:
+                named = F.filter(tags, lambda t: said(t) == wanted)
+                return F.get(F.filter(F.transform(named, lambda t: F.nullif(F.trim(attribute(t, "content")), F.lit(""))), lambda v: v.isNotNull()), F.lit(0))
+
+            first = [first_of(n) for n in META.get(name, [name.lower()])]
+            found = F.coalesce(*first)
+    return F.nullif(F.regexp_replace(found, r"^\s+|\s+$", ""), F.lit(""))

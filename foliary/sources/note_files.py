@@ -163,6 +163,11 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     return files.select(below.alias("path"), "content").where(~F.startswith("path", F.lit(PENDING + "/")))
 
 
+def has_files(spark: SparkSession, root: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def acknowledged(rows: DataFrame, root: str) -> DataFrame:
     """[B9] path, bytes_written, sha256, ok, error of rows (path, maybe expected): of the bytes that executors
     read back from the files, not of those that were sent. A file that isn't there or can't be read is an
