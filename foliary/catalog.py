@@ -630,7 +630,7 @@ def r10_research_report(spark, sf_dir):
 HEALTH = f"""n AS (SELECT note_path, 'n' || k AS stem, 'n' || (k * 4 % 500) AS target, k FROM ({FM.format("documents")})),
 v AS (SELECT note_path, CASE WHEN schema_version = '3' THEN 'version' WHEN file_type = 'weird' THEN 'enum:file_type' WHEN sources_read = '[]' AND read_bytes <> '0' THEN 'bytes-without-sources' WHEN domain = 'a/b' THEN 'domain-path' WHEN images_embedded = '2' THEN 'images-without-attachments' END AS violation FROM ({FM.format("documents")})),
 h AS (SELECT 'orphan' AS "check", stem AS note, '' AS detail FROM n WHERE stem NOT IN (SELECT target FROM n WHERE target <> stem)
-UNION ALL SELECT 'broken-source', note_path, '/archive/x' FROM n
+UNION ALL SELECT 'broken-source', note_path, f.path || 'x' FROM n JOIN v_file f ON f.ord = n.k WHERE f.path || 'x' NOT IN (SELECT path FROM v_file) AND n.k % 3 = 0
 UNION ALL SELECT 'schema', note_path, violation FROM v WHERE violation IS NOT NULL
 UNION ALL SELECT 'repeated', source_path, 'path' FROM v_index GROUP BY source_path HAVING count(*) > 1
 UNION ALL SELECT 'repeated', fingerprint, 'fingerprint' FROM v_index GROUP BY fingerprint HAVING count(DISTINCT source_path) > 1
@@ -639,9 +639,10 @@ UNION ALL SELECT 'missing-attachment', note_path, 'a' || k % 5 FROM n WHERE k %
 
 
 def health(spark, sf_dir):
-    own = frontmatter(spark, sf_dir)
+    own = frontmatter(spark, sf_dir).join(view(spark, sf_dir, "v_file").select(F.col("ord").alias("k"), "path"), "k")
     body = F.concat(F.lit("[[n"), (F.col("k") * 4 % 500).cast("string"), F.lit("]]"))
-    notes = own.select("note_path", F.concat(F.lit("n"), "k").alias("stem"), body.alias("body"), F.lit("/archive/x").alias("source_path"), "fm", F.array(F.concat(F.lit("a"), (F.col("k") % 5).cast("string"))).alias("attachments"))
+    source = F.when(F.col("k") % 3 == 0, F.concat("path", F.lit("x"))).otherwise(F.col("path"))
+    notes = own.select("note_path", F.concat(F.lit("n"), "k").alias("stem"), body.alias("body"), source.alias("source_path"), "fm", F.array(F.concat(F.lit("a"), (F.col("k") % 5).cast("string"))).alias("attachments"))
     files = spark.createDataFrame([(f"a{k}",) for k in range(3)], "name string")
     return audit.health(notes, view(spark, sf_dir, "v_index"), view(spark, sf_dir, "v_file"), files, ["[[n12"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliary import model, session
 from foliary.bindings import view, with_views
 from foliary.catalog import ORACLE_SQL, TODAY, events, query, table
+from foliary.functions import frontmatter, text
 from foliary.operators import reports, validate
 from foliary.plans import scan
 from foliary.sources import archive, note_files, writers
@@ -55,6 +56,12 @@ def a16_frontmatter(spark, sf_dir):
     return rows.select("note_path", F.posexplode("entries").alias("pos", "e")).select("note_path", "pos", "e.key", "e.kind", "e.value")
 
 
+@query("f30_keys_of_notes", PARSED + "\nSELECT CAST(doc_id AS VARCHAR) AS note_path, string_agg(key, ',' ORDER BY pos) AS keys FROM v GROUP BY doc_id")
+def f30_keys_of_notes(spark, sf_dir):
+    fence = frontmatter.fence_of(F.col("text"))
+    return note_texts(spark, sf_dir).where(fence.isNotNull()).select("note_path", F.array_join(text.key_order(fence), ",").alias("keys"))
+
+
 def _text_rules() -> str:
     """The rules on what PARSED found: v holds a row for each key."""
     has = lambda f: f"list_contains(keys, '{f}')"
@@ -227,7 +234,7 @@ SELECT project, CASE WHEN CAST(substr(project, 6) AS BIGINT) % 2 = 0 THEN page |
 def r6_pages_updated(spark, sf_dir):
     root, own = session.fresh_dir(spark, "vault"), events(spark, sf_dir)
     old = own.select("project").distinct().where("CAST(substr(project, 6) AS BIGINT) % 2 = 0")
-    text = F.concat(F.lit("# old\n\n## Parties\n\nPeople of "), "project", F.lit("\n\n## Mine\n"), "project", F.lit("\n\n## Timeline\n\nold"))
-    note_files.write(old.select(F.concat("project", F.lit(".md")).alias("path"), text.alias("text")), root)
+    page = F.concat(F.lit("# old\n\n## Parties\n\nPeople of "), "project", F.lit("\n\n## Mine\n"), "project", F.lit("\n\n## Timeline\n\nold"))
+    note_files.write(old.select(F.concat("project", F.lit(".md")).alias("path"), page.alias("text")), root)
     scan.update_pages(own, root, TODAY)
     return note_files.read(spark, root).select(F.regexp_replace("path", r"\.md$", "").alias("project"), F.col("content").cast("string").alias("page"))
