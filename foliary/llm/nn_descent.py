@@ -399,7 +399,8 @@ def near_duplicates(embeddings: DataFrame, link: float = 0.9) -> DataFrame:
     classes = classes.select("row", "vec_id", F.coalesce("first", "row").alias("class"), F.coalesce("n", F.lit(1)).alias("times"), F.when(F.col("n") > 1, F.col("rep")).otherwise(F.col("vec_id")).alias("rep"), "dim", "embedding")
     vecs = scratch.save(classes.where("row = class").select("class", "times", "rep", "dim", "embedding"), "classes")
     found = None
-    for dim in [r.dim for r in vecs.select("dim").distinct().orderBy("dim").limit(1000).collect()]:
+    # Lengths that two classes have: a few, each searched by itself.
+    for dim in [r.dim for r in vecs.groupBy("dim").count().where("count > 1").orderBy("dim").collect()]:
         own = Scratch(embeddings.sparkSession, f"nn-{dim}")
         of_dim = vecs.where(F.col("dim") == dim).drop("dim")
         one = own.save(counted(of_dim, connected(of_dim, link, own), link, own), "counted")
