@@ -53,6 +53,8 @@ LONG = 4096
 TABLE = 1 << 20
 #: Words whose scores a task remembers (about 150 bytes each), and letters in them; at either bound it starts anew.
 REMEMBERED, REMEMBERED_LETTERS = 600_000, 8_000_000
+#: Languages whose shares may be broadcast (about 40 bytes each).
+BROADCAST_LANGS = 100_000
 #: Added to every piece's expected count.
 PRIOR_COUNT = 0.01
 ROUNDS = 3
@@ -213,7 +215,8 @@ def labelled(docs: DataFrame, learn: Column, max_docs: int) -> DataFrame:
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = rows.groupBy("lang").agg((F.lit(max_docs) / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    return rows.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "text")  # a row a language, as in the model
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_LANGS else shares  # a row a language, as in the model
+    return rows.join(shares, "lang").where(chance < F.col("share")).select("lang", "text")
 
 
 def train(docs: DataFrame, learn: Column, path: str | None = None, max_docs: int = 1500, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
