@@ -149,7 +149,7 @@ def neighbours(events: DataFrame) -> DataFrame:
     rows = events.where("subfolder <> '' AND event_date IS NOT NULL").select(*day, F.col("note_filename").alias("name"))
     keys = rows.repartition(*day).distinct()  # dealt once for the rows of a day, which are all that follows needs together
     over = Window.partitionBy("project", "subfolder").orderBy("event_date")
-    ends = keys.groupBy(*day).agg(F.min("name").alias("first"), F.max("name").alias("last"))
+    ends = rows.groupBy(*day).agg(F.min("name").alias("first"), F.max("name").alias("last"))  # before the shuffle, a row a day of each task
     ends = ends.select(*day, F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
     own = Window.partitionBy(*day).orderBy("name")
     near = joined(keys.select(*day, "name", F.lag("name").over(own).alias("p"), F.lead("name").over(own).alias("n")), ends, day)
