@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from foliary.functions.dates import date_prefix
 from foliary.functions.paths import extension
+from foliary.operators.rows import filled
 
 # Fixed values.
 DOCUMENTS = ["pdf", "docx", "pptx", "xlsx"]
@@ -32,14 +33,11 @@ def detect_events(files: DataFrame) -> DataFrame:
     above = inner.select("project", F.explode(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), "/"))).alias("folder"), "child").where("folder <> child")
     leaf = inner.withColumnRenamed("child", "folder").join(above.select("project", "folder").distinct(), ["project", "folder"], "left_anti")
     dated = leaf.where(date_prefix(F.element_at(F.split("folder", "/"), -1)).isNotNull()).select("project", "folder", F.lit(True).alias("dated"))
-    rows = rows.join(dated, ["project", "folder"], "left")
     own = F.when(F.col("dated"), F.col("folder"))
-    order = Window.partitionBy("project").orderBy("path")
-    before = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(own, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = filled(rows.join(dated, ["project", "folder"], "left"), ["project"], "path", own)
     image = F.col("ext").isin(IMAGES)
     kind = F.when(F.col("dated"), "folder").when(F.col("ext").isin(DOCUMENTS), "document").when(F.col("ext").isin(MODELS), "metadata-only")
-    event = F.coalesce(own, F.when(kind.isNotNull(), F.col("path")), F.when(image, F.coalesce(before, after)))
+    event = F.coalesce(own, F.when(kind.isNotNull(), F.col("path")), F.when(image, F.coalesce("before", "after")))
     return rows.select("project", "path", event.alias("event"), F.coalesce(kind, F.when(image & event.isNotNull(), "linked-image"), F.lit("skip")).alias("kind"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliary.functions.scoring import sha_prefix
+from foliary.session import written
 
 
 #: Numbers of an order that are looked at together.
@@ -44,6 +45,24 @@ def running_before(rows: DataFrame, keys: list[str], order: str, value: Column,
     return found.select(*[F.col(f"`{c}`") for c in rows.columns], "before")
 
 
+def filled(rows: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
+    """rows with before and after: the last value that isn't null among the rows of the key up to this one, and
+    the first among those from this one on.
+
+    Rows are dealt by ranges of keys and order, and each range of a key is a window of its own; what
+    stands before and after it comes from windows over the ranges, a row each, so that a key that has
+    very many rows is no one task's. No frame reaches forward, as Spark reads such a frame anew for each row."""
+    cut = written(rows.withColumn("value_", value).repartitionByRange(*keys, order).withColumn("range_", F.spark_partition_id()), "ranges")
+    at = F.when(F.col("value_").isNotNull(), F.col(order))
+    ends = cut.groupBy(*keys, "range_").agg(F.min_by("value_", at).alias("first_"), F.max_by("value_", at).alias("last_"))
+    over = lambda by, *w: Window.partitionBy(*keys, *w).orderBy(by).rowsBetween(Window.unboundedPreceding, 0 if w else -1)
+    ends = ends.withColumn("earlier_", F.last("last_", ignorenulls=True).over(over(F.asc("range_")))).withColumn("later_", F.last("first_", ignorenulls=True).over(over(F.desc("range_"))))
+    near = joined(cut, ends.drop("first_", "last_"), [*keys, "range_"])
+    near = near.withColumn("before", F.coalesce(F.last("value_", ignorenulls=True).over(over(F.asc(order), "range_")), "earlier_"))
+    near = near.withColumn("after", F.coalesce(F.last("value_", ignorenulls=True).over(over(F.desc(order), "range_")), "later_"))
+    return near.select(*[F.col(f"`{c}`") for c in rows.columns], "before", "after")
+
+
 def within_budget(rows: DataFrame, success: Column, limit: int, group: str) -> DataFrame:
     """[W6] Rows of a group until so many before them succeeded."""
     counted = running_before(rows, [group], "ord", F.coalesce(success.cast("int"), F.lit(0)), below=limit)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliary import model
-from foliary.operators import clusters, links, rows
+from foliary.operators import clusters, detect, links, rows
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -126,3 +126,25 @@ def test_pairs_of_a_crowd_grow_with_its_events(spark):
         made[n] = links.crowded(own, each, 3).count()
     assert made[2000] < 40 * 2000 and made[2000] < 6 * made[500]
     assert said(links.related(events)) == said(best_of_all(events))
+
+
+def test_images_between_dated_folders(spark):
+    """As by looking at every file of a project, over several ranges, with nothing that reads on to a project's end for each file."""
+    r = random.Random(5)
+    files = sorted({(p, r.choice([f"2401{r.randrange(10, 30)} visit{r.randrange(9)}", f"S{r.randrange(9)}", "T/240105 u"]) + f"/{r.randrange(10_000)}." + r.choice(["jpg", "png", "pdf", "txt"])) for p in ["p"] * 8 + ["q", "r"] for _ in range(200)} | {("none", "S/1.jpg")})
+    df = spark.createDataFrame(files, "project string, path string").repartition(3)
+    want = {}
+    for p, path in files:
+        folder, ext = path.rsplit("/", 1)[0], path[-3:]
+        dated = [f for q, f in files if q == p and "240" in f]
+        near = [f.rsplit("/", 1)[0] for f in [x for x in dated if x < path][-1:] + [x for x in dated if x > path][:1]]
+        want[p, path] = (folder, "folder") if "240" in folder else (path, "document") if ext == "pdf" else (near[0], "linked-image") if ext != "txt" and near else (None, "skip")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = detect.detect_events(df)
+        assert {(x.project, x.path): (x.event, x.kind) for x in found.collect()} == want
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+        ranges = rows.filled(df, ["project"], "path", F.lit(1)).withColumn("task", F.spark_partition_id()).where("project = 'p'")
+        assert ranges.groupBy("task").count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
