@@ -148,3 +148,17 @@ def test_images_between_dated_folders(spark):
         assert ranges.groupBy("task").count().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_best_peers_of_small_projects_make_no_pairs_to_shuffle(spark, seed):
+    """All of a small project are compared in one row: events are dealt once, and nothing is joined or put in order."""
+    own = [e if e[0] else event(None, 1, f"n{k}", ord_=k) for k, e in enumerate(random_events(400, seed, ("p", "q", "r", "s", None)))]
+    own += [event("twice", d, n, "a", ["x"], o) for d, n, o in [(1, "click 1", 1), (40, "click 1", 2), (40, "click 1", 2), (80, "click 2", 3), (80, "click 2", 5), (None, "click 3", 4)]]
+    events = frame(spark, own)
+    for crowd in (20, 200):
+        found = links.best_peers(events, 3, crowd)
+        got = links.related(events, 3, crowd)
+        assert got.where("project <> 'twice'").count() > 900 and said(got) == said(links.related(events, 3, 0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
