@@ -25,17 +25,21 @@ def _sections(body: Column) -> Column:
 
 def existing(pages: DataFrame, start: str = START, end: str = END) -> DataFrame:
     """[A17] pages (project, page) with what they hold: frontmatter (map), overview, the kept sections,
-    user_sections (all others, as they are), marker_head and marker_tail (around the generated part)."""
+    user_sections (all others, as they are), marker_head and marker_tail (around the generated part).
+
+    A small file of many pages is few tasks but much work, so pages are dealt to all cores first. The entries of
+    a fence are a column, as an expression that stands several times may be computed as often."""
     whole = F.coalesce("page", F.lit(""))
     fence, body = F.coalesce(frontmatter.fence_of(whole), F.lit("")), frontmatter.body_of(whole)
     around = rf"(?s)^(.*?)\Q{start}\E.*\Q{end}\E(.*)$"
     raw = F.regexp_extract("body", r"> \[!abstract\] Overview\n((?:>.*\n?)*)", 1)
     last = lambda name: F.coalesce(F.try_element_at(F.filter("sections", lambda s: s["name"] == name), F.lit(-1))["content"], F.lit(""))
     own = F.filter("sections", lambda s: ~s["name"].isin([*KEPT, *GENERATED]))
-    rows = pages.select("project", fence.alias("fence"), body.alias("body")).withColumn("sections", _sections(F.col("body")))
+    rows = pages.select("project", "page").repartition("project", "page").select("project", fence.alias("fence"), body.alias("body"))
+    rows = rows.withColumn("sections", _sections(F.col("body"))).withColumn("entries", frontmatter.parsed(F.col("fence")))
     return rows.select(
         "project",
-        frontmatter.by_key(frontmatter.parsed(F.col("fence")), "value").alias("frontmatter"),
+        frontmatter.by_key(F.col("entries"), "value").alias("frontmatter"),
         stripped(F.regexp_replace(raw, r"(?m)^> ?", "")).alias("overview"),
         *[last(name).alias(column) for name, column in KEPT.items()],
         F.array_join(F.transform(own, lambda s: F.concat(F.lit("## "), s["name"], F.lit("\n"), s["content"])), "\n\n").alias("user_sections"),

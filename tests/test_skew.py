@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliary import model
-from foliary.operators import clusters, detect, links, rows
+from foliary.operators import clusters, detect, links, pages, rows
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -162,3 +162,14 @@ def test_best_peers_of_small_projects_make_no_pairs_to_shuffle(spark, seed):
         assert got.where("project <> 'twice'").count() > 900 and said(got) == said(links.related(events, 3, 0))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_pages_of_one_small_file_are_dealt_to_all_tasks(spark):
+    old = spark.range(400).coalesce(1).select(F.col("id").cast("string").alias("project"), F.concat(F.lit("---\nproject: p"), "id", F.lit("\nproject: q"), "id", F.lit("\n---\n## Budget\n"), "id").alias("page"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = pages.existing(old).select("project", "frontmatter", "budget", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(x.project, x.frontmatter["project"], x.budget) for x in found} == {(str(k), f"q{k}", str(k)) for k in range(400)}
+    assert len({x.task for x in found}) > 1
